@@ -42,6 +42,11 @@ class Rules:
     max_lost_percent: int = 30
 
 
+RESULTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words", "clean_text", "base_failed", "kept",
+]
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -93,7 +98,7 @@ def repeated_window_words(df: DataFrame, words: str, out: str) -> DataFrame:
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """Adds the base counts, ``clean_text`` (the lines that stay), ``kept_words``, ``base_failed`` and ``kept``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_lines", F.split(t, "\n"))
+    df = docs.withColumn("_lines", F.split(t, "\n")).drop(*RESULTS)
     df = df.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x.alias("l"), words_of(x).alias("w"))))
     df = df.withColumn("_lines", F.filter("_lines", lambda x: F.size(x["w"]) > 0))
     df = df.withColumn("_words", F.flatten(F.transform("_lines", lambda x: x["w"])))
@@ -119,4 +124,9 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -
         )
     )
     lost = (F.col("n_words") - F.col("kept_words")) * 100 > F.col("n_words") * rules.max_lost_percent
-    return df.withColumn("kept", ~F.col("base_failed") & ~lost)
+    df = df.withColumn("kept", ~F.col("base_failed") & ~lost)
+    # A filter on a result must not be pushed down into the steps above: it would put their array expressions into
+    # each other's lambdas.  The optimizer doesn't move filters below a row number.
+    fixed = F.when(F.monotonically_increasing_id() >= 0, F.struct(*RESULTS))
+    df = df.withColumn("_result", fixed).drop(*RESULTS)
+    return df.select("*", *(F.col(f"_result.{c}").alias(c) for c in RESULTS)).drop("_result")
