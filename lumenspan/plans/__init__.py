@@ -1,8 +1,6 @@
-"""Registered queries of the reference's operators and the SQL they are checked with."""
+"""Registered queries of the analytics operators and the SQL they are checked with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lumenspan.plans.oracle import ORACLE_SQL
+from lumenspan.plans.queries import QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
