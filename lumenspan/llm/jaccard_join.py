@@ -12,8 +12,8 @@
    compared with the smallest of its group; then only members that are in different components so far are compared.
 
 Sizes matter only within factors of two: level ``floor(log2(n))``; a document just above a level's lower end is also
-listed in the level below, so similar documents always share a level.  In levels of 256 shingles and more the tokens
-used are a fixed share of all hashes (the same for all documents), which gives several times as many as a prefix needs;
+listed in the level below, so similar documents always share a level.  In levels of 32 shingles and more the tokens
+used are a fixed share of all hashes (the same for all documents), which still gives about twice what a prefix needs;
 a document whose share is too small for its prefix is joined with other such documents over all its tokens.
 
 Cases: a null text or one without words has an empty set, links with nothing and is its own component.  Fewer than
@@ -37,12 +37,17 @@ from lumenspan.store import staged
 
 #: A token in so many documents or more counts as frequent.
 FREQUENT = 12
-#: From this level on (256 shingles) only tokens with a hash below the share of all hashes are used.
-SAMPLED_LEVEL = 8
-SHARE = 0.4
+#: By level (32, 64, 128 shingles, and 256 or more) the share of all hashes that tokens are taken from; below 32 all.
+#: About four standard deviations more tokens than the longest prefix needs.
+SHARES = {5: 0.6, 6: 0.5, 7: 0.35}
+LEAST_SHARE = 0.25
 CLASS_TOKENS = 4
 
 
+def _share(level: int) -> float:
+    return 1.0 if level < 5 else SHARES.get(level, LEAST_SHARE)
+
+
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -55,7 +60,7 @@ def _levels(n: int, percent: int) -> list[int]:
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
     """(doc_id, n, fp1, fp2, levels of (level, tokens)); with ``whole`` all tokens instead of levels."""
-    limit = np.uint64(int(SHARE * 2**64))
+    limits = {v: np.uint64(min(int(_share(v) * 2**64), 2**64 - 1)) for v in range(64)}
     out_type = pa.list_(pa.int64()) if whole else pa.list_(pa.struct([("level", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
     tail = "tokens array<long>" if whole else "levels array<struct<level: int, tokens: array<long>>>"
 
@@ -74,10 +79,9 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) ->
                     if whole:
                         sets.append(_as_long(s))
                     else:
-                        low = s[s < limit]
                         sets.append(
                             [
-                                {"level": v, "tokens": _as_long(low if v >= SAMPLED_LEVEL else s)}
+                                {"level": v, "tokens": _as_long(s[s <= limits[v]])}
                                 for v in (_levels(len(s), percent) if len(s) else [])
                             ]
                         )
@@ -134,7 +138,7 @@ def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataF
 def _combinations(tokens: np.ndarray, level: int, need: int) -> tuple[np.ndarray, int]:
     """Two-token keys of the shortest prefix of ``tokens`` whose classes outweigh ``need``; what is lacking then."""
     # Tokens in order of hash; the class comes from other bits than the order.
-    classes = max(1, int((1 << level) * (SHARE if level >= SAMPLED_LEVEL else 1)) // CLASS_TOKENS)
+    classes = max(1, int((1 << level) * _share(level)) // CLASS_TOKENS)
     groups: dict[int, list[int]] = {}
     for t in tokens.tolist():
         own = groups.setdefault((t * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) % classes, [])
