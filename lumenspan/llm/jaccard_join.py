@@ -8,8 +8,9 @@
    two-token combinations: with f tokens of a class in the prefix, f - 1 must be missing before no combination is
    shared.  The prefix is therefore extended until ``rare + sum(f - 1)`` exceeds what may be missing.  Classes are
    sized so that about four frequent tokens of a document fall into each, so combinations stay in proportion to it.
-4. Candidates are verified on the whole sets.  A group of candidates is not turned into all its pairs: first each is
-   compared with the smallest of its group; then only members that are in different components so far are compared.
+4. Candidates are verified on the whole sets.  A group of candidates is not turned into all its pairs: for a few turns
+   each is compared with one hub of its group, and groups that have become one component are done; only members that
+   are still in different components are then compared with each other.
 
 Sizes matter only within factors of two: level ``floor(log2(n))``; a document just above a level's lower end is also
 listed in the level below, so similar documents always share a level.  In levels of 32 shingles and more the tokens
@@ -42,6 +43,8 @@ FREQUENT = 12
 SHARES = {5: 0.6, 6: 0.5, 7: 0.35}
 LEAST_SHARE = 0.25
 CLASS_TOKENS = 4
+#: Turns in which a group is compared with one of its members only.
+HUB_TURNS = 4
 
 
 def _share(level: int) -> float:
@@ -194,36 +197,49 @@ def _similar_size(n: str, m: str, percent: int) -> Column:
 def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between class representatives that share a key, enough of them for exact components."""
     keyed = keyed.select("id", "level", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("level", "key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = keyed.groupBy("level", "key").agg(F.count("*").alias("size")).where("size > 1")
     listed = staged(
-        keyed.join(hubs, ["level", "key"]).select("level", "key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")),
+        keyed.join(hubs.select("level", "key"), ["level", "key"]).select("level", "key", "id", "n"),
         "keys",
     )
-    stars = listed.where((F.col("id") != F.col("hub")) & _similar_size("n", "hub_n", percent))
-    stars = stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     needed = listed.select("id").distinct()
     whole = shingle_sets(docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)
     # Repeated doc_ids (rows of one id) have been reduced to their first text before.
     sets = staged(whole.select(F.col("doc_id").alias("id"), "tokens"), "sets")
-    first = staged(_links(stars, sets, percent), "links-1")
-    so_far = staged(connected_components(first.where("linked").select("a", "b")), "components-1")
-    placed = listed.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # Groups whose members are all in one component are done; the others compare members of different components.
-    open_groups = (
-        placed.groupBy("level", "key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        .where("lo <> hi and size > 2")
-        .select("level", "key")
-    )
-    open_rows = staged(placed.join(open_groups, ["level", "key"]).select("level", "key", "id", "n", "component"), "open")
-    other = open_rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
-    pairs = open_rows.join(other, ["level", "key"]).where(
+    compared, components = None, None
+    for turn in range(HUB_TURNS):
+        # The hub is another one each turn, so that a group around a document that isn't the first gets together.
+        rows = _open_rows(listed, components)
+        order = F.xxhash64("id", F.lit(turn))
+        hub = rows.groupBy("level", "key").agg(F.min_by(F.struct("id", "n", "component"), order).alias("hub"))
+        pairs = rows.join(hub, ["level", "key"]).where(
+            (F.col("component") != F.col("hub.component")) & _similar_size("n", "hub.n", percent)
+        )
+        pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        found = staged(_links(pairs, sets, percent), "links")
+        compared = found if compared is None else compared.unionAll(found)
+        components = staged(connected_components(compared.where("linked").select("a", "b")), "components")
+    # What is still apart: members of different components of a group, each with each.
+    rows = _open_rows(listed, components)
+    other = rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
+    pairs = rows.join(other, ["level", "key"]).where(
         (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _similar_size("n", "n2", percent)
     )
     pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = staged(_links(pairs, sets, percent), "links-2")
-    return first.where("linked").select("a", "b").unionAll(second.where("linked").select("a", "b"))
+    pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    last = staged(_links(pairs, sets, percent), "links")
+    return compared.unionAll(last).where("linked").select("a", "b")
+
+
+def _open_rows(listed: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Rows of the key groups whose members are in several components; the others are done."""
+    if components is None:
+        return listed.select("level", "key", "id", "n", F.col("id").alias("component"))
+    placed = listed.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ends = placed.groupBy("level", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return staged(placed.join(ends.select("level", "key"), ["level", "key"]).select("level", "key", "id", "n", "component"), "open")
 
 
 def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
