@@ -17,6 +17,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = staged(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    same = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    before = edges.agg(F.count("*"), same).first()
     for _ in range(rounds):
         # Large star: larger neighbours of u go to u's smallest neighbour (or u).
         sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,11 +29,11 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = staged(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        same = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-        before, after = edges.agg(F.count("*"), same).first(), new.agg(F.count("*"), same).first()
+        after = new.agg(F.count("*"), same).first()
         edges = new
         if before == after:
             break
+        before = after
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -10,7 +10,9 @@
    sized so that about four frequent tokens of a document fall into each, so combinations stay in proportion to it.
 4. Candidates are verified on the whole sets.  A group of candidates is not turned into all its pairs: for a few turns
    each is compared with one hub of its group, and groups that have become one component are done; only members that
-   are still in different components are then compared with each other.
+   are still in different components are then paired, if their parity vectors allow it.  Such a vector holds for each
+   of 256 bins of hashes whether the set has an odd number in it; every bit in which two vectors differ needs a shingle
+   that one of the sets lacks, so no similar pair is lost.
 
 Sizes matter only within factors of two: level ``floor(log2(n))``; a document just above a level's lower end is also
 listed in the level below, so similar documents always share a level.  In levels of 32 shingles and more the tokens
@@ -44,7 +46,9 @@ SHARES = {5: 0.6, 6: 0.5, 7: 0.35}
 LEAST_SHARE = 0.25
 CLASS_TOKENS = 4
 #: Turns in which a group is compared with one of its members only.
-HUB_TURNS = 4
+HUB_TURNS = 2
+#: Bits of a set's parity vector.
+PARITY_BITS = 256
 
 
 def _share(level: int) -> float:
@@ -55,6 +59,11 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _levels(n: int, percent: int) -> list[int]:
     top = n.bit_length() - 1
     low = -(-n * percent // 100)  # the smallest similar set
@@ -62,17 +71,17 @@ def _levels(n: int, percent: int) -> list[int]:
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
-    """(doc_id, n, fp1, fp2, levels of (level, tokens)); with ``whole`` all tokens instead of levels."""
+    """(doc_id, n, fp1, fp2, levels of (level, tokens)); with ``whole`` all tokens and their parity instead of levels."""
     limits = {v: np.uint64(min(int(_share(v) * 2**64), 2**64 - 1)) for v in range(64)}
     out_type = pa.list_(pa.int64()) if whole else pa.list_(pa.struct([("level", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
-    tail = "tokens array<long>" if whole else "levels array<struct<level: int, tokens: array<long>>>"
+    tail = "tokens array<long>, parity array<long>" if whole else "levels array<struct<level: int, tokens: array<long>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, fp1, fp2, sets = [], [], [], []
+                n, fp1, fp2, sets, parities = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(hashes.array((text or "").encode().lower().split()), k)
                     n.append(len(s))
@@ -81,6 +90,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) ->
                     fp2.append(int(_as_long((mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64, keepdims=True))[0]))
                     if whole:
                         sets.append(_as_long(s))
+                        parities.append(_parity(s))
                     else:
                         sets.append(
                             [
@@ -89,9 +99,11 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) ->
                             ]
                         )
                 arrays = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array(sets, out_type)], ["doc_id", "n", "fp1", "fp2", "tokens" if whole else "levels"]
-                )
+                arrays.append(pa.array(sets, out_type))
+                if whole:
+                    arrays.append(pa.array(parities, pa.list_(pa.int64())))
+                names = ["doc_id", "n", "fp1", "fp2", *(("tokens", "parity") if whole else ("levels",))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, fp1 long, fp2 long, {tail}")
 
@@ -194,8 +206,15 @@ def _similar_size(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _similar_parity(percent: int) -> Column:
+    """Two similar sets differ in ``(100 - percent) / percent`` of the smaller one's size at most."""
+    words = range(PARITY_BITS // 64)
+    unlike = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in words), F.lit(0))
+    return unlike * percent <= F.least("n", "n2") * (100 - percent)
+
+
 def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between class representatives that share a key, enough of them for exact components."""
+    """Links that give the exact components of the class representatives that share a key."""
     keyed = keyed.select("id", "level", "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("level", "key").agg(F.count("*").alias("size")).where("size > 1")
     listed = staged(
@@ -205,7 +224,7 @@ def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, k: int, percen
     needed = listed.select("id").distinct()
     whole = shingle_sets(docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)
     # Repeated doc_ids (rows of one id) have been reduced to their first text before.
-    sets = staged(whole.select(F.col("doc_id").alias("id"), "tokens"), "sets")
+    sets = staged(whole.select(F.col("doc_id").alias("id"), "tokens", "parity"), "sets")
     compared, components = None, None
     for turn in range(HUB_TURNS):
         # The hub is another one each turn, so that a group around a document that isn't the first gets together.
@@ -220,17 +239,29 @@ def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, k: int, percen
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         found = staged(_links(pairs, sets, percent), "links")
         compared = found if compared is None else compared.unionAll(found)
-        components = staged(connected_components(compared.where("linked").select("a", "b")), "components")
+        linked = found.where("linked").select("a", "b")
+        if components is None or not linked.isEmpty():
+            components = staged(connected_components(_with_stars(components, linked)), "components")
     # What is still apart: members of different components of a group, each with each.
-    rows = _open_rows(listed, components)
-    other = rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
+    rows = _open_rows(listed, components).join(sets.select("id", "parity"), "id")
+    other = rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "parity")))
     pairs = rows.join(other, ["level", "key"]).where(
-        (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _similar_size("n", "n2", percent)
+        (F.col("id") < F.col("id2"))
+        & (F.col("component") != F.col("component2"))
+        & _similar_size("n", "n2", percent)
+        & _similar_parity(percent)
     )
     pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     last = staged(_links(pairs, sets, percent), "links")
-    return compared.unionAll(last).where("linked").select("a", "b")
+    return _with_stars(components, last.where("linked").select("a", "b"))
+
+
+def _with_stars(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``links`` and those that stand for the components found so far: each id with its component's smallest."""
+    if components is None:
+        return links
+    return links.unionAll(components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
 
 
 def _open_rows(listed: DataFrame, components: DataFrame | None) -> DataFrame:
