@@ -71,7 +71,7 @@ class Views:
 
     @property
     def traces(self) -> DataFrame:
-        return self.ex.where("eid % 3 = 0").select(
+        return self.ex.select(
             F.col("source").alias("repo_id"),
             (F.col("eid") % 7).alias("file"),
             F.col("eid").alias("trace_id"),
@@ -124,7 +124,7 @@ pairs AS (
 ), acts AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, vec_id % 4 AS layer, label FROM embeddings
 ), traces AS (
-  SELECT source AS repo_id, eid % 7 AS file, eid AS trace_id, eid % 50 * 5 AS start_line, eid % 50 * 5 + 4 AS end_line, 'CWE-' || lang AS cwe FROM ex WHERE eid % 3 = 0
+  SELECT source AS repo_id, eid % 7 AS file, eid AS trace_id, eid % 50 * 5 AS start_line, eid % 50 * 5 + 4 AS end_line, 'CWE-' || lang AS cwe FROM ex
 ), leads AS (
   SELECT source AS repo_id, eid % 7 AS file, eid AS lead_id, eid * 13 % 250 AS start_line, eid * 13 % 250 + 2 AS end_line,
     CASE WHEN eid % 11 <> 0 THEN eid * 31 % 97 END AS rank FROM ex

@@ -181,7 +181,7 @@ m AS (SELECT eid, avg(l) AS a FROM b GROUP BY eid), t AS (SELECT eid, l FROM b Q
 SELECT eid, round(0.5 * a + 0.5 * l, 6) AS loss FROM m JOIN t USING (eid)""",
     "f5_logit_aggregation": SQL + "SELECT vec_id, round(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp((v - list_max(x)) * 4)))) / 4, 6) AS lse, round(list_max(x), 6) AS top FROM acts",
     "f10_pattern_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS capitalised, CAST(len(regexp_extract_all(text, '[.,;]')) AS BIGINT) AS marks FROM documents",
-    "f22_char_ngrams": SQL + """SELECT gram, count(*) AS n FROM (SELECT substr(c, i, 3) AS gram FROM (SELECT c, unnest(range(1, length(c) - 1)) AS i FROM (SELECT substr(code, 1, 400) AS c FROM ex WHERE eid % 10 = 0))) GROUP BY gram ORDER BY n DESC, gram LIMIT 50""",
+    "f22_char_ngrams": SQL + """SELECT gram, count(*) AS n FROM (SELECT substr(c, i, 3) AS gram FROM (SELECT c, unnest(range(1, length(c) - 1)) AS i FROM (SELECT code AS c FROM ex))) GROUP BY gram ORDER BY n DESC, gram LIMIT 50""",
     "f24_json_fields": "SELECT event_id, CAST(length(coalesce(props, '')) AS BIGINT) AS size FROM events",
     "x1_random_split": SQL + f""", o AS (SELECT *, row_number() OVER (PARTITION BY row_label ORDER BY {hashed('7', 'eid')}, eid) AS i, count(*) OVER (PARTITION BY row_label) AS n FROM ex)
 SELECT CAST(row_label AS BIGINT) AS row_label, CASE WHEN i <= round(n * 0.2) THEN 'test' ELSE 'train' END AS side, count(*) AS n, CAST(sum(eid) AS BIGINT) AS ids FROM o GROUP BY 1, 2""",

@@ -401,8 +401,8 @@ def f10_pattern_counts(v):
 
 @query
 def f22_char_ngrams(v):
-    t = v.ex.where("eid % 10 = 0").select(F.substring("code", 1, 400).alias("c"))
-    g = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - 2), lambda i: F.substring("c", i, F.lit(3)))).alias("gram"))
+    t = v.ex.where("length(code) >= 3").select(F.col("code").alias("c"))
+    g = t.select("c", F.explode(F.sequence(F.lit(1), F.length("c") - 2)).alias("i")).select(F.substring("c", F.col("i"), F.lit(3)).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(50)
 
 
