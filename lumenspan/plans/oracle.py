@@ -182,7 +182,21 @@ SELECT eid, round(0.5 * a + 0.5 * l, 6) AS loss FROM m JOIN t USING (eid)""",
     "f5_logit_aggregation": SQL + "SELECT vec_id, round(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp((v - list_max(x)) * 4)))) / 4, 6) AS lse, round(list_max(x), 6) AS top FROM acts",
     "f10_pattern_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS capitalised, CAST(len(regexp_extract_all(text, '[.,;]')) AS BIGINT) AS marks FROM documents",
     "f22_char_ngrams": SQL + """SELECT gram, count(*) AS n FROM (SELECT substr(c, i, 3) AS gram FROM (SELECT c, unnest(range(1, length(c) - 1)) AS i FROM (SELECT code AS c FROM ex))) GROUP BY gram ORDER BY n DESC, gram LIMIT 50""",
-    "f24_json_fields": "SELECT event_id, CAST(length(coalesce(props, '')) AS BIGINT) AS size FROM events",
+    "f24_json_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '{}' ELSE '{\"k\":' || json_extract_string(props, '$.k') || '}' END AS again FROM events",
+    "j6_adjacent_pairs": SQL + """, n AS (SELECT grp, row_label, row_number() OVER (PARTITION BY grp ORDER BY eid) - 1 AS i FROM ex),
+p AS (SELECT a.grp, coalesce(a.row_label = 1 AND b.row_label = 0, FALSE) AS ok FROM n a LEFT JOIN n b ON b.grp = a.grp AND b.i = a.i + 1 WHERE a.i % 2 = 0)
+SELECT grp, count(*) FILTER (ok) AS n_pairs, count(*) FILTER (NOT ok) AS n_rejected FROM p GROUP BY grp""",
+    "j13_span_meets_live": SQL + """SELECT eid, EXISTS (SELECT 1 FROM spans a WHERE a.eid = ex.eid AND key = 'sink') AND (NOT EXISTS (SELECT 1 FROM spans a WHERE a.eid = ex.eid AND key = 'evidence')
+  OR EXISTS (SELECT 1 FROM spans a JOIN spans b ON a.eid = b.eid AND a.s < b.e AND a.e > b.s WHERE a.key = 'sink' AND b.key = 'evidence' AND a.eid = ex.eid)) AS subtractive FROM ex""",
+    "j18_negative_pools": src("""SELECT pool AS grp, score, y, 1 AS w FROM exs, (SELECT unnest(['all_clean', 'english_only', 'matched']) AS pool)
+WHERE y = 1 OR pool = 'all_clean' OR (pool = 'english_only' AND lang = 'en') OR (pool = 'matched' AND eid IN (SELECT safe_eid FROM pairs))""") + "SELECT grp AS pool, round(auc, 6) AS auc, n_pos, n_neg FROM auc",
+    "a22_agreement": SQL + "SELECT n_models, count(*) AS n, min(eid) AS first_eid FROM (SELECT eid, count(*) FILTER (score >= 0.5) AS n_models FROM member_scores GROUP BY eid) GROUP BY n_models",
+    "a23_false_alarm_kinds": SQL + """, t AS (SELECT eid, row_label, cs AS s, ce AS e FROM tok_scores WHERE y = 0 AND logit >= 4),
+d AS (SELECT t.eid, t.row_label, (SELECT min(greatest(0, k.s - t.e, t.s - k.e)) FROM spans k WHERE k.key = 'sink' AND k.eid = t.eid) AS d FROM t)
+SELECT CASE WHEN row_label = 0 THEN 'safe_alarm' WHEN d <= 40 THEN 'spread' ELSE 'misplaced' END AS kind, count(*) AS n, count(DISTINCT eid) AS n_examples FROM d GROUP BY 1""",
+    "o5_top_per_kind": SQL + """SELECT lang, eid, n_models, row_number() OVER (PARTITION BY lang ORDER BY n_models DESC, eid) AS place
+FROM (SELECT eid, count(*) FILTER (score >= 0.5) AS n_models FROM member_scores GROUP BY eid) JOIN ex USING (eid) QUALIFY place <= 15""",
+    "o7_hardest_examples": SQL + """SELECT CAST(y AS BIGINT) AS y, eid, round(score, 6) AS score, row_number() OVER (PARTITION BY y ORDER BY CASE WHEN y = 1 THEN score ELSE -score END, eid) AS place FROM exs QUALIFY place <= 2""",
     "x1_random_split": SQL + f""", o AS (SELECT *, row_number() OVER (PARTITION BY row_label ORDER BY {hashed('7', 'eid')}, eid) AS i, count(*) OVER (PARTITION BY row_label) AS n FROM ex)
 SELECT CAST(row_label AS BIGINT) AS row_label, CASE WHEN i <= round(n * 0.2) THEN 'test' ELSE 'train' END AS side, count(*) AS n, CAST(sum(eid) AS BIGINT) AS ids FROM o GROUP BY 1, 2""",
     "x6_group_holdout": SQL + f""", g AS (SELECT DISTINCT grp FROM ex), o AS (SELECT grp, row_number() OVER (ORDER BY {hashed('42', 'grp')}, grp) AS i, count(*) OVER () AS n FROM g)

@@ -130,6 +130,71 @@ def j5_ordinal_pairs(v):
     return v.pairs
 
 
+@query
+def j6_adjacent_pairs(v):
+    # Rows 2i and 2i + 1 of a group are a pair only if their labels are 1 and 0.
+    i = F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("eid")) - 1) / 2)
+    p = v.ex.select("grp", "eid", "row_label", i.alias("i")).groupBy("grp", "i")
+    p = p.agg(F.count("*").alias("n"), F.min_by("row_label", "eid").alias("a"), F.max_by("row_label", "eid").alias("b"))
+    ok = (F.col("n") == 2) & (F.col("a") == 1) & (F.col("b") == 0)
+    return p.groupBy("grp").agg(F.count_if(ok).alias("n_pairs"), F.count_if(~ok).alias("n_rejected"))
+
+
+@query
+def j13_span_meets_live(v):
+    # An example is subtractive if one of its tight spans meets one of its live ranges.
+    span = v.spans.where("key = 'sink'").groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("tight"))
+    live = I.merge_spans(v.spans.where("key = 'evidence'").select("eid", "s", "e"), ["eid"])
+    live = live.groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("live"))
+    x = v.ex.select("eid").join(span, "eid", "left").join(live, "eid", "left")
+    meets = F.exists("tight", lambda t: F.exists("live", lambda r: (t["s"] < r["e"]) & (t["e"] > r["s"])))
+    return x.select("eid", F.coalesce(F.when(F.col("live").isNull(), F.size("tight") > 0).otherwise(meets), F.lit(False)).alias("subtractive"))
+
+
+@query
+def j18_negative_pools(v):
+    # The positives stay; the negatives are all, those of one language, or those paired with a positive.
+    x = example_scores(v)
+    pos, neg = x.where("y = 1").select("score", "y"), x.where("y = 0")
+    matched = neg.join(v.pairs.select(F.col("safe_eid").alias("eid")), "eid", "left_semi")
+    pools = {"all_clean": neg, "english_only": neg.where("lang = 'en'"), "matched": matched}
+    each = [rows.select("score", "y").unionByName(pos).withColumn("pool", F.lit(name)) for name, rows in pools.items()]
+    return R.roc_auc(each[0].unionByName(each[1]).unionByName(each[2]), ["pool"]).select("pool", *r6("auc"), "n_pos", "n_neg")
+
+
+def _detections(v):
+    return v.member_scores.groupBy("eid").agg(F.count_if(F.col("score") >= 0.5).alias("n_models"))
+
+
+@query
+def a22_agreement(v):
+    return _detections(v).groupBy("n_models").agg(F.count("*").alias("n"), F.min("eid").alias("first_eid"))
+
+
+@query
+def a23_false_alarm_kinds(v):
+    # A high-scored negative token is a safe alarm, spread (near a positive span) or misplaced.
+    t = v.tok_scores.where("y = 0 and logit >= 4").select("eid", "row_label", F.col("cs").alias("s"), F.col("ce").alias("e"))
+    near = I.nearest_distance(t.select("eid", "s", "e"), v.spans.where("key = 'sink'").select("eid", "s", "e")).select("eid", "s", "distance").distinct()
+    kind = F.when(F.col("row_label") == 0, "safe_alarm").when(F.col("distance") <= 40, "spread").otherwise("misplaced")
+    return t.join(near, ["eid", "s"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("eid").alias("n_examples"))
+
+
+@query
+def o5_top_per_kind(v):
+    w = Window.partitionBy("lang").orderBy(F.desc("n_models"), "eid")
+    x = _detections(v).join(v.ex.select("eid", "lang"), "eid").withColumn("place", F.row_number().over(w))
+    return x.where("place <= 15").select("lang", "eid", "n_models", F.col("place").cast("long").alias("place"))
+
+
+@query
+def o7_hardest_examples(v):
+    # Weakest positives and strongest negatives, two of each.
+    hard = F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score"))
+    x = example_scores(v).withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(hard, "eid")))
+    return x.where("place <= 2").select(F.col("y").cast("long").alias("y"), "eid", *r6("score"), F.col("place").cast("long").alias("place"))
+
+
 @query
 def j11_member_combine(v):
     return P.combine_members(v.member_scores).select("eid", *r6("best", "mean"), "n_members")
@@ -408,8 +473,8 @@ def f22_char_ngrams(v):
 
 @query
 def f24_json_fields(v):
-    e = v.table("events").select("event_id", "props")
-    return e.select("event_id", F.length(F.coalesce("props", F.lit(""))).cast("long").alias("size"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return v.table("events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"))).alias("again"))
 
 
 # splits
