@@ -16,8 +16,9 @@
 
 Sizes matter only within factors of two: level ``floor(log2(n))``; a document just above a level's lower end is also
 listed in the level below, so similar documents always share a level.  In levels of 32 shingles and more the tokens
-used are a fixed share of all hashes (the same for all documents), which still gives about twice what a prefix needs;
-a document whose share is too small for its prefix is joined with other such documents over all its tokens.
+used are a fixed share of all hashes (the same for all documents), which follows from the percentage and gives more
+than a prefix needs.  A document whose share is too small for its prefix lists all of it, which any similar document
+with a full prefix meets, and is joined with other such documents over all its tokens.
 
 Cases: a null text or one without words has an empty set, links with nothing and is its own component.  Fewer than
 three words: the whole sequence is the one shingle.  Equal sets are linked, so their documents share a component.
@@ -40,19 +41,26 @@ from lumenspan.store import staged
 
 #: A token in so many documents or more counts as frequent.
 FREQUENT = 12
-#: By level (32, 64, 128 shingles, and 256 or more) the share of all hashes that tokens are taken from; below 32 all.
-#: About four standard deviations more tokens than the longest prefix needs.
-SHARES = {5: 0.6, 6: 0.5, 7: 0.35}
-LEAST_SHARE = 0.25
 CLASS_TOKENS = 4
+#: So many standard deviations more tokens than the longest prefix needs are taken, in steps of the least share.
+SPARE = 3.0
+SHARE_STEP = 0.05
 #: Turns in which a group is compared with one of its members only.
 HUB_TURNS = 2
 #: Bits of a set's parity vector.
 PARITY_BITS = 256
 
 
-def _share(level: int) -> float:
-    return 1.0 if level < 5 else SHARES.get(level, LEAST_SHARE)
+def _share(level: int, percent: int) -> float:
+    """The share of all hashes that tokens of a level are taken from: enough if all are frequent; below 32 shingles all."""
+    n = 1 << level
+    need = n - -(-n * percent // 100) + 1
+    for step in range(4, round(1 / SHARE_STEP)):
+        share = step * SHARE_STEP
+        tokens = n * share
+        if level >= 5 and tokens - tokens / CLASS_TOKENS - SPARE * (tokens * (1 - share)) ** 0.5 >= need:
+            return share
+    return 1.0
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
@@ -72,7 +80,7 @@ def _levels(n: int, percent: int) -> list[int]:
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
     """(doc_id, n, fp1, fp2, levels of (level, tokens)); with ``whole`` all tokens and their parity instead of levels."""
-    limits = {v: np.uint64(min(int(_share(v) * 2**64), 2**64 - 1)) for v in range(64)}
+    limits = {v: np.uint64(min(int(_share(v, percent) * 2**64), 2**64 - 1)) for v in range(64)}
     out_type = pa.list_(pa.int64()) if whole else pa.list_(pa.struct([("level", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
     tail = "tokens array<long>, parity array<long>" if whole else "levels array<struct<level: int, tokens: array<long>>>"
 
@@ -135,7 +143,7 @@ def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataF
                     keys = rare[:need]
                     need -= len(keys)
                     if need > 0 and combine:
-                        more, need = _combinations(np.sort(token[frequent]), level, need)
+                        more, need = _combinations(np.sort(token[frequent]), level, need, percent)
                         keys = np.concatenate([keys, more])
                     short = need > 0
                 out.append((doc, level, n, short, _as_long(keys)))
@@ -150,10 +158,10 @@ def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataF
     return tokens.mapInArrow(run, KEYS)
 
 
-def _combinations(tokens: np.ndarray, level: int, need: int) -> tuple[np.ndarray, int]:
+def _combinations(tokens: np.ndarray, level: int, need: int, percent: int) -> tuple[np.ndarray, int]:
     """Two-token keys of the shortest prefix of ``tokens`` whose classes outweigh ``need``; what is lacking then."""
     # Tokens in order of hash; the class comes from other bits than the order.
-    classes = max(1, int((1 << level) * _share(level)) // CLASS_TOKENS)
+    classes = max(1, int((1 << level) * _share(level, percent)) // CLASS_TOKENS)
     groups: dict[int, list[int]] = {}
     for t in tokens.tolist():
         own = groups.setdefault((t * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) % classes, [])
@@ -293,8 +301,11 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     )
     keyed = staged(_prefix_keys(_with_frequency(tokens), percent), "prefixes")
     one_each = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    links = set_links(one_each, reps, keyed.where("not short"), k, percent)
-    short = keyed.where("short").select("id").distinct()
+    # A short document lists all its tokens, so any partner that is not short meets it here.
+    links = set_links(one_each, reps, keyed, k, percent)
+    # Without a token that others have it is not in ``keyed``.
+    few = reps.select("id", "n", F.explode("levels").alias("x")).where(F.size("x.tokens") <= _missing(F.col("n"), percent))
+    short = keyed.where("short").select("id").unionAll(few.select("id")).distinct()
     if not short.isEmpty():
         # Prefixes that the fixed share of hashes didn't fill: all tokens, rare ones first, singly.
         again = shingle_sets(one_each.join(short.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)

@@ -46,6 +46,19 @@ def test_jaccard_join(spark):
     assert got == brute_components(texts)
 
 
+def test_jaccard_join_of_short_and_full_prefixes(spark):
+    from lumenspan.llm.jaccard_join import similar_documents
+
+    # Every shingle is frequent, and each pair of similar documents hangs on its own link.
+    parts = [[f"p{p}w{i}" for i in range(120)] for p in range(8)]
+    texts = []
+    for three in itertools.combinations(parts, 3):
+        words = [w for p in three for w in p]
+        texts += [" ".join(words), " ".join(words[:310])]
+    got = sorted(tuple(r) for r in similar_documents(docs(spark, texts), percent=80).collect())
+    assert got == brute_components(texts, percent=80)
+
+
 def test_packing_plan_is_whole_and_gapless():
     from lumenspan.llm.packing import packing_plan
 
