@@ -5,10 +5,12 @@ of ``k`` template words of all documents are hash-joined with those of the bench
 enough of the item's windows stand on one diagonal of it (the item's words in order, give or take a few), and the slot
 values agree: an item's value must always stand for the same value of the document, and the other way round.
 
-A window needs words of its own for half its length at least; otherwise placeholders alone would match.
+A window needs words of its own for half its length at least; otherwise placeholders alone would match.  One with fewer
+matches only with the same words, values included; for this every capitalised word and every unit counts as a
+placeholder, so that what stands before the window makes no difference.
 
 Cases: null or empty texts have no windows and leak nothing.  Items with fewer than ``k`` words are looked up as one
-window of their own length; items without a word never match.  Repeated items are reported for each item_id.  Repeated
+window of their own length; items without a letter or digit never match.  Repeated items are reported for each item_id.  Repeated
 rows of a document are counted together, as they hold the same text; a null doc_id leaks nothing that could be named.
 Empty tables give an empty result.  Other columns of the documents are not carried.
 """
@@ -42,6 +44,8 @@ KEEP = 300_000
 LITERAL, NAME, NUM, UNIT = range(4)
 TYPES = (np.uint64, np.int64, np.bool_)
 ROWS = "id long, pos int, h long, slots string"
+#: Sets the hashes of windows that match as they are apart from the templates'.
+EXACT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Canonical:
@@ -74,8 +78,11 @@ class Canonical:
         self.ends.append(word.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", "…"))
         return i
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Codes, kinds and the words they come from; marks without a letter or digit are left out."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Codes, kinds and the words they come from; marks without a letter or digit are left out.
+
+        Then the words' own codes, and whether a word is one wherever it stands.
+        """
         words = text.split()
         if len(self.ids) > KEEP:
             self.clear()
@@ -91,9 +98,10 @@ class Canonical:
             words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
         starts = np.concatenate([[True], ends[:-1]])[: len(kind)]
         after_number = np.concatenate([[False], kind[:-1] == NUM])[: len(kind)]
+        always = kind == LITERAL
         kind = np.where((kind == NAME) & starts, LITERAL, kind)
         kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
-        return np.where(kind == LITERAL, code, kind.astype(np.uint64)), kind, words
+        return np.where(kind == LITERAL, code, kind.astype(np.uint64)), kind, words, code, always
 
 
 def word_code(low: str) -> int:
@@ -103,6 +111,8 @@ def word_code(low: str) -> int:
 def template_windows(rows: DataFrame, lengths: list[int], k: int, whole_if_short: bool) -> DataFrame:
     """(id, text) -> a row per window of k template words, with the window's slot values, if it has any.
 
+    Windows of few words of their own have the hash of the words themselves instead; on the limit both.
+
     Documents get windows of all ``lengths``; with ``whole_if_short`` a shorter text is one window.
     """
 
@@ -110,33 +120,37 @@ def template_windows(rows: DataFrame, lengths: list[int], k: int, whole_if_short
         canonical = Canonical()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
-                part, ids, places, hashes, slots = whole.slice(at, 128), [], [], [], []
+                part, ids, places, hashes, slots, rows_before = whole.slice(at, 128), [], [], [], [], 0
                 for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if not text:
                         continue
-                    code, kind, words = canonical(text)
+                    code, kind, words, own, always = canonical(text)
                     sizes = [min(k, len(code))] if whole_if_short else lengths
                     for size in sizes:
                         h = window_hashes(code, size) if size else code[:0]
                         if not len(h):
                             continue
-                        h = h ^ np.uint64(size)
-                        literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-                        plain = literal[size:] - literal[:-size]
-                        where = np.flatnonzero(plain * 2 >= size)
-                        for p in where[plain[where] < size].tolist():
-                            slots.append((len(places) and sum(map(len, places)) or 0, np.searchsorted(where, p), "\x1f".join(
-                                EDGES.sub("", words[p + j]).lower() for j in range(size) if kind[p + j] != LITERAL
-                            )))
-                        ids.append(np.full(len(where), doc if doc is not None else -1, dtype=np.int64))
-                        places.append(where.astype(np.int32))
-                        hashes.append(h[where].view(np.int64))
+                        same = window_hashes(own, size) ^ EXACT
+                        for h, word, few in ((h, kind == LITERAL, False), (same, always, True)):
+                            literal = np.concatenate([[0], np.cumsum(word)])
+                            plain = literal[size:] - literal[:-size]
+                            where = np.flatnonzero((plain * 2 < size) if few else (plain * 2 >= size))
+                            if not len(where):
+                                continue
+                            for i in np.flatnonzero(plain[where] < size).tolist():
+                                slots.append((rows_before + i, "\x1f".join(
+                                    EDGES.sub("", words[j]).lower() for j in range(where[i], where[i] + size) if not word[j]
+                                )))
+                            rows_before += len(where)
+                            ids.append(np.full(len(where), doc if doc is not None else -1, dtype=np.int64))
+                            places.append(where.astype(np.int32))
+                            hashes.append((h[where] ^ np.uint64(size)).view(np.int64))
                 if not ids:
                     continue
                 ids, places, hashes = map(np.concatenate, (ids, places, hashes))
                 values = np.full(len(ids), None, dtype=object)
-                for base, i, text in slots:
-                    values[base + i] = text
+                for i, text in slots:
+                    values[i] = text
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array(places), pa.array(hashes), pa.array(values, pa.string())], ["id", "pos", "h", "slots"]
                 )
@@ -163,39 +177,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 8, least_percent: int
     found = banded.groupBy("doc_id", "item_id", "band").agg(
         F.countDistinct("item_pos").alias("windows"), F.min("pos").alias("first_word")
     )
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", -F.col("first_word"), "band")).alias("b"))
-    best = best.select("doc_id", "item_id", "b.windows", "b.band", (-F.col("b.col2")).alias("first_word"))
-    enough = best.join(F.broadcast(sizes) if n <= broadcast_rows else sizes, "item_id").where(
+    enough = found.join(F.broadcast(sizes) if n <= broadcast_rows else sizes, "item_id").where(
         F.col("windows") * 100 >= F.col("item_windows") * least_percent
     )
-    # Slot values of the windows on the best band: pairs (item's, document's) must be one to one.
+    # Slot values of the windows on a band: pairs (item's, document's) must be one to one.
+    place = ["doc_id", "item_id", "band"]
     pair = F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("i"), F.split("slots", "\x1f").alias("d")))
     slot = (
-        banded.where("slots is not null").join(enough.select("doc_id", "item_id", "band"), ["doc_id", "item_id", "band"])
-        .select("doc_id", "item_id", pair.alias("p"))
-        .select("doc_id", "item_id", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
+        banded.where("slots is not null").join(enough.select(*place), place)
+        .select(*place, pair.alias("p"))
+        .select(*place, F.col("p.i").alias("i"), F.col("p.d").alias("d"))
         .distinct()
     )
-    slot = slot.groupBy("doc_id", "item_id").agg(
+    slot = slot.groupBy(*place).agg(
         F.count("*").alias("n_slot_pairs"),
         F.countDistinct("i").alias("n_item_values"),
         F.countDistinct("d").alias("n_doc_values"),
         F.max((F.col("i") != F.col("d")).cast("int")).alias("changed"),
     )
-    out = enough.join(slot, ["doc_id", "item_id"], "left")
+    out = enough.join(slot, place, "left")
     # One to one, but for one pair in ten: a sentence's first word can pass for a name.
     spare = F.ceil(F.col("n_slot_pairs") / 10)
     consistent = F.col("n_slot_pairs") <= F.least("n_item_values", "n_doc_values") + spare
-    return out.select(
+    fits = out.withColumn("slots_agree", F.coalesce(consistent, F.lit(True))).where("slots_agree")
+    # Of the bands that agree the one with most windows, of such the first.
+    names = ["item_windows", "n_slot_pairs", "changed"]
+    order = F.struct("windows", -F.col("first_word"), "band")
+    best = fits.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("windows", "first_word", "slots_agree", *names), order).alias("b"))
+    return best.select("doc_id", "item_id", "b.*").select(
         "doc_id",
         "item_id",
         F.col("first_word").cast("long").alias("first_word"),
         F.col("windows").cast("long").alias("matched_windows"),
         F.col("item_windows").cast("long").alias("item_windows"),
         F.coalesce("n_slot_pairs", F.lit(0)).cast("long").alias("slot_pairs"),
-        F.coalesce(consistent, F.lit(True)).alias("slots_agree"),
+        "slots_agree",
         (F.coalesce("changed", F.lit(0)) == 1).alias("other_values"),
-    ).where("slots_agree")
+    )
 
 
 def template_lengths(benchmark: DataFrame, k: int) -> list[int]:

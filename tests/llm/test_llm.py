@@ -195,3 +195,20 @@ def test_classifier_on_held_out(spark):
     got = {r["doc_id"]: r["kept"] for r in classify(d, labels).collect()}
     assert sum(got[i] == (i < 150) for i in range(0, 300, 2)) >= 147
     assert all(r["score"] == 1.0 for r in classify(d, labels.limit(0)).collect())
+
+
+def test_decontamination_of_values_and_places(spark):
+    from lumenspan.llm.decontamination import leaks
+
+    sums = "12 + 15 = 27 and 31 + 44 = 75 and 18 + 90 = 108 and 7 + 6 = 13"
+    names = "Anna Maria Peter Paul Luise Karl Otto Emil Frida Greta Hans Inge"
+    title = "What Is The Capital City Of The World"
+    item = "in box 3 we put 14 red apples then in box 5 we put 16 red pears and in crate 7 we put 18 red plums last of all"
+    wrong = item.replace("3", "8").replace("5", "8").replace("7", "8").replace("14", "8").replace("16", "8").replace("18", "8")
+    right = item.replace("14", "24").replace("red plums last of all", "red plums last of them")
+    torn = item.replace("3", "31") + " x " + item.replace("3", "77")
+    bench = spark.createDataFrame(enumerate([sums, names, title, item]), "item_id long, text string")
+    texts = [f"so x {sums} y", f"we met {names} here", f"it asks {title} or so", f"{wrong} " + "q " * 40 + right, torn, wrong]
+    texts += [sums.replace("1", "9"), " ".join(reversed(names.split()))]
+    got = {(r["doc_id"], r["item_id"], r["other_values"]) for r in leaks(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, True), (4, 3, True)}
