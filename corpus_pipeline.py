@@ -35,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document that gives the group its id, the smallest; of repeated rows one."""
-    groups = similar_documents(docs.select("doc_id", "text"), k=3, percent=90)
+    groups = similar_documents(docs.select("doc_id", "text"), k=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     nameless = docs.where("doc_id is null")
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless).select(*COLUMNS)

@@ -212,3 +212,18 @@ def test_decontamination_of_values_and_places(spark):
     texts += [sums.replace("1", "9"), " ".join(reversed(names.split()))]
     got = {(r["doc_id"], r["item_id"], r["other_values"]) for r in leaks(docs(spark, texts), bench).collect()}
     assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, True), (4, 3, True)}
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as c
+
+    words = [f"t{i * 7919 % 1000}" for i in range(400)]
+    near = [f"n{i}" if i in range(100, 320, 30) else w for i, w in enumerate(words)]
+    shares = []
+    for k in (3, 5):
+        one, two = ({tuple(t[i : i + k]) for i in range(401 - k)} for t in (words, near))
+        shares.append(len(one & two) / len(one | two))
+    assert shares[0] < 0.9 and shares[1] >= 0.8
+    texts = [" ".join(words), " ".join(near), " ".join(reversed(words))]
+    got = sorted(r["doc_id"] for r in c.one_of_each(spark, docs(spark, texts), "").collect())
+    assert got == [0, 2]
