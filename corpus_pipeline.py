@@ -28,8 +28,9 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
-    bad = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
+    """Documents that the classifier keeps.  It is co-trained on all raw documents: the rules left no labelled bad ones."""
+    raw = table(spark, sf_dir, "documents")
+    bad = classify(docs, table(spark, sf_dir, "labels"), fit_on=raw).where("not kept").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
 
 

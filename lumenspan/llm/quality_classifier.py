@@ -11,6 +11,9 @@ Cases: a null text is the empty text.  A null source or language is a value of i
 Repeated rows are scored one by one.  A document with several labels takes the smallest.  Without a labelled document
 of both classes every score is the share of good labels (1 without labels).  An empty table gives an empty result.
 Other columns pass through; the result columns replace columns of the same name.
+
+``fit_on`` names the documents that the views are fitted on, where they are not those to be scored (a stage's input
+may lack the labelled bad documents that a stage before it removed).
 """
 
 from __future__ import annotations
@@ -130,12 +133,18 @@ def _sigmoid(beta: np.ndarray, columns: list[str]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rounds: int = 3, confident: float = 0.98, threshold: float = 0.5) -> DataFrame:
+def _features(docs: DataFrame) -> DataFrame:
+    features = view_features(docs.select("doc_id", "text", "source", "lang", "n_chars"))
+    return staged(features.select("doc_id", *TEXT, *META), "features")
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, rounds: int = 3, confident: float = 0.98, threshold: float = 0.5, fit_on: DataFrame | None = None
+) -> DataFrame:
     """Adds ``text_score``, ``meta_score``, ``score`` (probability of good quality) and ``kept``."""
     results = ["text_score", "meta_score", "score", "kept"]
     docs = docs.drop(*results)
-    features = view_features(docs.select("doc_id", "text", "source", "lang", "n_chars"))
-    features = staged(features.select("doc_id", *TEXT, *META), "features")
+    features = _features(docs if fit_on is None else fit_on)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     table = features.join(known, "doc_id", "left")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(5)) == 0
@@ -161,10 +170,12 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 3, confident: flo
             text_model, meta_model = _fit(scored, TEXT, *taught("pm")), _fit(scored, META, *taught("pt"))
     if text_model is None:
         share = totals["g"] / (totals["g"] + (totals["b"] or 0)) if totals["g"] else (0.0 if totals["b"] else 1.0)
-        scored = table.withColumns({c: F.lit(float(share)) for c in ("text_score", "meta_score", "score")})
+        asked = table if fit_on is None else _features(docs)
+        scored = asked.withColumns({c: F.lit(float(share)) for c in ("text_score", "meta_score", "score")})
     else:
-        scored = table.withColumn("t", _log_odds(text_model)).withColumn("m", _log_odds(meta_model))
-        rows = scored.where("held")
+        odds = {"t": _log_odds(text_model), "m": _log_odds(meta_model)}
+        rows = table.where("held").withColumns(odds)
         betas = [_calibrate(rows, c) for c in (["t"], ["m"], ["t", "m"])]
+        scored = (table if fit_on is None else _features(docs)).withColumns(odds)
         scored = scored.withColumns({"text_score": _sigmoid(betas[0], ["t"]), "meta_score": _sigmoid(betas[1], ["m"]), "score": _sigmoid(betas[2], ["t", "m"])})
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in results[:3]], (F.round("score", 6) >= threshold).alias("kept"))

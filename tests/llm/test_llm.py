@@ -227,3 +227,30 @@ def test_pipeline_drops_near_copies(spark):
     texts = [" ".join(words), " ".join(near), " ".join(reversed(words))]
     got = sorted(r["doc_id"] for r in c.one_of_each(spark, docs(spark, texts), "").collect())
     assert got == [0, 2]
+
+
+def test_classifier_fitted_on_other_documents(spark):
+    from lumenspan.llm.quality_classifier import classify
+
+    good = [" ".join(f"w{(i * 7 + j * 13) % 97}" for j in range(60)) + "." for i in range(150)]
+    bad = ["### ".join(f"w{(i + j) % 9}" for j in range(60)) for i in range(150)]
+    raw = docs(spark, [*good, *bad])
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300) if i % 2], "doc_id long, quality int, toxic int")
+    # What a stage before left: no labelled bad document.
+    left = raw.where("doc_id < 150 or doc_id % 2 = 0")
+    got = {r["doc_id"]: r["kept"] for r in classify(left, labels, fit_on=raw).collect()}
+    assert len(got) == 225 and sum(got[i] == (i < 150) for i in got) >= 220
+
+
+def test_pipeline_classifier_rejects(spark, tmp_path):
+    import corpus_pipeline as c
+
+    # The rules have removed the labelled bad documents; an unlabelled one must go in the next stage.
+    good = [" ".join(f"w{(i * 7 + j * 13) % 97}" for j in range(60)) + "." for i in range(150)]
+    bad = ["### ".join(f"w{(i + j) % 9}" for j in range(60)) for i in range(150)]
+    raw = docs(spark, [*good, *bad])
+    raw.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300) if i % 2], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in c.good_quality(spark, raw.where("doc_id < 150 or doc_id % 2 = 0"), str(tmp_path)).collect()}
+    assert len(kept & set(range(150))) >= 147 and len(kept - set(range(150))) <= 2
