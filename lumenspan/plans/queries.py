@@ -11,7 +11,7 @@ from lumenspan.functions import scalars as S
 from lumenspan.operators import intervals as I
 from lumenspan.operators import pooling as P
 from lumenspan.operators import ranking as R
-from lumenspan.operators import retrieval, splits, transfer
+from lumenspan.operators import ngrams, retrieval, splits, transfer
 from lumenspan.plans.fixtures import Views
 from lumenspan.sources.files import merge_last, row_violations, shard_of
 
@@ -471,6 +471,12 @@ def f22_char_ngrams(v):
     return g.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(50)
 
 
+@query
+def f22_hashed_ngrams(v):
+    """Per document, over the whole table; ``f22_char_ngrams`` is the 50 commonest trigrams of labelled texts only."""
+    return ngrams.hashed_ngrams(v.table("documents"), range(3, 6), 1 << 18)
+
+
 @query
 def f24_json_fields(v):
     k = F.get_json_object("props", "$.k").cast("long")

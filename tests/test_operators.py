@@ -62,3 +62,23 @@ def test_entry_registers_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hashed_ngrams_of_each_document(spark, tmp_path):
+    from collections import Counter
+
+    from lumenspan.operators.ngrams import text_buckets
+    from lumenspan.plans.queries import QUERIES
+
+    texts = [None, "", "ab", "abc", "Abcabc  abcd", "日本語の文", "x" * 50, *(f"text {i} of many" for i in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["f22_hashed_ngrams"](spark, str(tmp_path)).collect():
+        assert 0 <= r["bucket"] < 1 << 18
+        got.setdefault(r["doc_id"], Counter())[r["bucket"]] += r["n"]
+    place = lambda g: int(text_buckets(g, range(len(g), len(g) + 1), 1 << 18)[0][0])
+    for i, t in enumerate(texts):
+        t = (t or "").lower().replace("  ", " ")
+        grams = [t[j : j + n] for n in (3, 4, 5) for j in range(len(t) - n + 1)]
+        assert got.get(i, Counter()) == Counter(map(place, grams)), t
+    assert len({place(f"{a}{b}c") for a in "abcdefgh" for b in "abcdefgh"}) >= 62
