@@ -174,6 +174,7 @@ def bootstrap_auc(df: DataFrame, unit: str, scores: list[str], label: str, draws
 
 def interval(draws: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
     p = F.percentile(value, [alpha / 2, 1 - alpha / 2])
-    return draws.agg(F.avg(value).alias("mean"), p.alias("ci"), F.count(value).alias("n_draws")).select(
-        "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), "n_draws"
+    above = F.avg((F.col(value) > 0).cast("int")).alias("above_0")
+    return draws.agg(F.avg(value).alias("mean"), p.alias("ci"), above, F.count(value).alias("n_draws")).select(
+        "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), "above_0", "n_draws"
     )

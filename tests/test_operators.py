@@ -82,3 +82,41 @@ def test_hashed_ngrams_of_each_document(spark, tmp_path):
         grams = [t[j : j + n] for n in (3, 4, 5) for j in range(len(t) - n + 1)]
         assert got.get(i, Counter()) == Counter(map(place, grams)), t
     assert len({place(f"{a}{b}c") for a in "abcdefgh" for b in "abcdefgh"}) >= 62
+
+
+def test_bootstrap_intervals_of_1000_draws(spark, tmp_path):
+    import numpy as np
+
+    from lumenspan.functions.scalars import poisson_weight, uniform_hash
+    from lumenspan.plans.fixtures import Views
+    from lumenspan.plans.queries import QUERIES
+
+    texts = [" ".join("w" * (1 + (i * 5 + j * j * 3 + i * j) % 13) for j in range(6)) for i in range(60)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = Views(spark, str(tmp_path)).tok_scores.where("is_test").selectExpr("eid", "logit", "cast(length(word) as double) as other", "y").toPandas()
+
+    def draws(seed, names):
+        units = spark.createDataFrame([(i,) for i in range(0, 60, 5)], "eid long")
+        grid = units.crossJoin(spark.range(1000).withColumnRenamed("id", "draw"))
+        grid = grid.select("eid", "draw", poisson_weight(uniform_hash(F.lit(seed), "draw", "eid")).alias("w")).collect()
+        weight = {(r["draw"], r["eid"]): r["w"] for r in grid}
+        y = tokens["y"].to_numpy()
+        for d in range(1000):
+            w = np.array([weight[d, e] for e in tokens["eid"]], float)
+            pos, neg = w * (y == 1), w * (y == 0)
+            if pos.sum() and neg.sum():
+                s = [tokens[n].to_numpy() for n in names]
+                yield [pos @ ((x[:, None] > x) + (x[:, None] == x) / 2) @ neg / pos.sum() / neg.sum() for x in s]
+
+    one = np.array(list(draws(7, ["logit"])))[:, 0]
+    got = QUERIES["a30_clustered_interval"](spark, str(tmp_path)).first()
+    assert got["n_draws"] == len(one) > 990
+    assert [got[c] for c in ("mean", "lo", "hi")] == pytest.approx([one.mean(), *np.quantile(one, [0.025, 0.975])], abs=1e-5)
+    two = np.array(list(draws(11, ["logit", "other"])))
+    delta = two[:, 0] - two[:, 1]
+    got = QUERIES["a33_paired_interval"](spark, str(tmp_path)).first()
+    lo, hi = np.quantile(delta, [0.025, 0.975])
+    assert got["n_draws"] == len(delta) and got["excludes_0"] == (lo > 0 or hi < 0)
+    assert [got[c] for c in ("mean", "lo", "hi", "above_0")] == pytest.approx([delta.mean(), lo, hi, (delta > 0).mean()], abs=1e-5)
