@@ -60,7 +60,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: SQL can't express the classifier, the decontamination or the packing; tests compare with brute force.
+#: SQL can't express the classifier, the decontamination or the packing.  Tests run the classifier and near-copy stages
+#: on small cases and the operators of the others; no test runs all stages against brute force.
 ORACLE_SQL = None
 
 
