@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.components import connected_components
 from lumenspan.llm.words import WordHashes, shingle_set
-from lumenspan.store import staged
+from lumenspan.store import Scratch, staged
 
 #: A token in so many documents or more counts as frequent.
 FREQUENT = 12
@@ -46,7 +46,9 @@ CLASS_TOKENS = 4
 SPARE = 3.0
 SHARE_STEP = 0.05
 #: Turns in which a group is compared with one of its members only.
-HUB_TURNS = 2
+HUB_TURNS = 3
+#: So many keys of a member tell at which of them a pair is made.
+FIRST_KEYS = 16
 #: Bits of a set's parity vector.
 PARITY_BITS = 256
 
@@ -121,7 +123,7 @@ def _missing(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100)
 
 
-KEYS = "id long, level int, n long, short boolean, keys array<long>"
+KEYS = "id long, level int, n long, short boolean, typical double, keys array<long>"
 
 
 def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataFrame:
@@ -138,21 +140,22 @@ def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataF
                 need = n - -(-n * percent // 100) + 1 - alone
                 short, keys = False, np.empty(0, dtype=np.uint64)
                 if need > 0:
-                    frequent = df >= FREQUENT if combine else np.zeros(len(df), dtype=bool)
-                    rare = np.sort(token[~frequent]) if combine else token[np.lexsort((token, df))]
-                    keys = rare[:need]
+                    order = np.lexsort((token, df))
+                    token = token[order]
+                    rare = int((df < FREQUENT).sum()) if combine else len(token)
+                    keys = token[:rare][:need]
                     need -= len(keys)
                     if need > 0 and combine:
-                        more, need = _combinations(np.sort(token[frequent]), level, need, percent)
+                        more, need = _combinations(token[rare:], level, need, percent)
                         keys = np.concatenate([keys, more])
                     short = need > 0
-                out.append((doc, level, n, short, _as_long(keys)))
+                out.append((doc, level, n, short, float(np.log2(df).sum()) / n, _as_long(keys)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[i] for r in out], t)
-                    for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())))
+                    for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64())))
                 ],
-                ["id", "level", "n", "short", "keys"],
+                ["id", "level", "n", "short", "typical", "keys"],
             )
 
     return tokens.mapInArrow(run, KEYS)
@@ -160,7 +163,7 @@ def _prefix_keys(tokens: DataFrame, percent: int, combine: bool = True) -> DataF
 
 def _combinations(tokens: np.ndarray, level: int, need: int, percent: int) -> tuple[np.ndarray, int]:
     """Two-token keys of the shortest prefix of ``tokens`` whose classes outweigh ``need``; what is lacking then."""
-    # Tokens in order of hash; the class comes from other bits than the order.
+    # Tokens come with the less frequent ones first; their class comes from their hash.
     classes = max(1, int((1 << level) * _share(level, percent)) // CLASS_TOKENS)
     groups: dict[int, list[int]] = {}
     for t in tokens.tolist():
@@ -221,48 +224,69 @@ def _similar_parity(percent: int) -> Column:
     return unlike * percent <= F.least("n", "n2") * (100 - percent)
 
 
-def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
+def set_links(docs: DataFrame, keyed: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links that give the exact components of the class representatives that share a key."""
-    keyed = keyed.select("id", "level", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("level", "key").agg(F.count("*").alias("size")).where("size > 1")
-    listed = staged(
-        keyed.join(hubs.select("level", "key"), ["level", "key"]).select("level", "key", "id", "n"),
-        "keys",
-    )
+    keyed = keyed.select("id", "level", "n", "typical", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("level", "key").agg(F.count("*").alias("size")).where("size > 1")
+    listed = scratch.staged(keyed.join(sizes, ["level", "key"]), "keys")
     needed = listed.select("id").distinct()
     whole = shingle_sets(docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)
     # Repeated doc_ids (rows of one id) have been reduced to their first text before.
-    sets = staged(whole.select(F.col("doc_id").alias("id"), "tokens", "parity"), "sets")
+    sets = scratch.staged(whole.select(F.col("doc_id").alias("id"), "tokens", "parity"), "sets")
     compared, components = None, None
     for turn in range(HUB_TURNS):
-        # The hub is another one each turn, so that a group around a document that isn't the first gets together.
-        rows = _open_rows(listed, components)
-        order = F.xxhash64("id", F.lit(turn))
-        hub = rows.groupBy("level", "key").agg(F.min_by(F.struct("id", "n", "component"), order).alias("hub"))
-        pairs = rows.join(hub, ["level", "key"]).where(
-            (F.col("component") != F.col("hub.component")) & _similar_size("n", "hub.n", percent)
-        )
-        pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        rows = listed.withColumn("component", F.col("id")) if components is None else _open_rows(listed, components, sets, scratch)
+        pairs = _hub_pairs(rows, turn, percent)
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        found = staged(_links(pairs, sets, percent), "links")
+        found = scratch.staged(_links(pairs, sets, percent), "links")
         compared = found if compared is None else compared.unionAll(found)
         linked = found.where("linked").select("a", "b")
         if components is None or not linked.isEmpty():
-            components = staged(connected_components(_with_stars(components, linked)), "components")
-    # What is still apart: members of different components of a group, each with each.
-    rows = _open_rows(listed, components).join(sets.select("id", "parity"), "id")
-    other = rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "parity")))
+            components = scratch.staged(connected_components(_with_stars(components, linked)), "components")
+    pairs = _open_pairs(_open_rows(listed, components, sets, scratch), percent)
+    pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    last = scratch.staged(_links(pairs, sets, percent), "links")
+    return _with_stars(components, last.where("linked").select("a", "b"))
+
+
+def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each member of a key group with one of them, the hub.
+
+    First the member whose tokens most documents have, the likely centre of a group of copies, which is the hub of most
+    keys the copies share; later a member that changes from key to key, so that a member meets as many as it has keys.
+    """
+    by, parity = ["level", "key"], ["parity"] * bool(turn)
+    order = F.struct(F.xxhash64("id", "key", F.lit(turn)), "id") if turn else F.struct("typical", "id")
+    hubs = rows.groupBy(*by).agg(F.max_by(F.struct("id", "n", "component", *parity), order).alias("hub"))
+    names = ("id", "n", "component", *parity)
+    hubs = hubs.select(*by, *(F.col(f"hub.{c}").alias(f"{c}2") for c in names))
+    near = (F.col("component") != F.col("component2")) & _similar_size("n", "n2", percent)
+    pairs = rows.join(hubs, by).where(near & _similar_parity(percent) if turn else near)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what is still apart, members of different components of a group that may be similar.
+
+    A pair that shares several keys is made at the first of them, in the order of group size; ``first`` are a member's
+    first few keys.  Where two members have none of these in common the pair may come from several keys.
+    """
+    first = rows.groupBy("id", "level").agg(
+        F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "key"))), 1, FIRST_KEYS), lambda x: x["key"]).alias("first")
+    )
+    rows = rows.join(first, ["id", "level"])
+    names = ("id", "n", "component", "parity", "first")
+    rows = rows.select("level", "key", *names)
+    other = rows.select("level", "key", *(F.col(c).alias(f"{c}2") for c in names))
     pairs = rows.join(other, ["level", "key"]).where(
         (F.col("id") < F.col("id2"))
         & (F.col("component") != F.col("component2"))
         & _similar_size("n", "n2", percent)
         & _similar_parity(percent)
+        & (F.coalesce(F.get(F.array_intersect("first", "first2"), F.lit(0)), F.col("key")) == F.col("key"))
     )
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    last = staged(_links(pairs, sets, percent), "links")
-    return _with_stars(components, last.where("linked").select("a", "b"))
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def _with_stars(components: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -272,47 +296,48 @@ def _with_stars(components: DataFrame | None, links: DataFrame) -> DataFrame:
     return links.unionAll(components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
 
 
-def _open_rows(listed: DataFrame, components: DataFrame | None) -> DataFrame:
+def _open_rows(listed: DataFrame, components: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of the key groups whose members are in several components; the others are done."""
-    if components is None:
-        return listed.select("level", "key", "id", "n", F.col("id").alias("component"))
     placed = listed.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     ends = placed.groupBy("level", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return staged(placed.join(ends.select("level", "key"), ["level", "key"]).select("level", "key", "id", "n", "component"), "open")
+    placed = placed.join(ends.select("level", "key"), ["level", "key"]).join(sets.select("id", "parity"), "id")
+    return scratch.staged(placed, "open")
 
 
 def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
     table = staged(shingle_sets(docs, k, percent), "shingles")
     with_text = table.where("n > 0 and doc_id is not null")
     # A class is the documents with one set; a doc_id of several texts belongs to several classes and joins them.
     members = with_text.select("doc_id", "n", "fp1", "fp2").distinct()
-    classes = members.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes, "classes")
+    classes = staged(members.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     # A representative stands for its class by a number of its own where doc_ids repeat with other texts.
-    several = members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if several:
+    if members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0:
         return _by_row(docs, k, percent)
-    reps = with_text.dropDuplicates(["doc_id"]).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = staged(reps.select(F.col("doc_id").alias("id"), "n", "levels"), "reps")
-    tokens = reps.select("id", "n", F.explode("levels").alias("x")).select(
-        "id", "n", "x.level", F.size("x.tokens").alias("total"), F.explode("x.tokens").alias("token")
-    )
-    keyed = staged(_prefix_keys(_with_frequency(tokens), percent), "prefixes")
-    one_each = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    # A short document lists all its tokens, so any partner that is not short meets it here.
-    links = set_links(one_each, reps, keyed, k, percent)
-    # Without a token that others have it is not in ``keyed``.
-    few = reps.select("id", "n", F.explode("levels").alias("x")).where(F.size("x.tokens") <= _missing(F.col("n"), percent))
-    short = keyed.where("short").select("id").unionAll(few.select("id")).distinct()
-    if not short.isEmpty():
-        # Prefixes that the fixed share of hashes didn't fill: all tokens, rare ones first, singly.
-        again = shingle_sets(one_each.join(short.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)
-        tokens = again.select(F.col("doc_id").alias("id"), "n", F.lit(0).alias("level"), F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
-        rest = staged(_prefix_keys(_with_frequency(tokens), percent, combine=False), "prefixes-2")
-        links = links.unionAll(set_links(one_each, reps, rest, k, percent))
-    components = connected_components(links)
+    with Scratch(spark) as scratch:
+        repeats = _repeats(docs)
+        reps = with_text.dropDuplicates(["doc_id"]) if repeats else with_text
+        reps = reps.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        reps = reps.select(F.col("doc_id").alias("id"), "n", F.explode("levels").alias("x"))
+        tokens = reps.select("id", "n", "x.level", F.size("x.tokens").alias("total"), F.explode("x.tokens").alias("token"))
+        keyed = scratch.staged(_prefix_keys(_with_frequency(tokens), percent), "prefixes")
+        one_each = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if repeats else docs
+        # A short document lists all its tokens, so any partner that is not short meets it here.
+        links = set_links(one_each, keyed, k, percent, scratch)
+        # Without a token that others have it is not in ``keyed``.
+        few = reps.where(F.size("x.tokens") <= _missing(F.col("n"), percent))
+        short = keyed.where("short").select("id").unionAll(few.select("id")).distinct()
+        if not short.isEmpty():
+            # Prefixes that the fixed share of hashes didn't fill: all tokens, rare ones first, singly.
+            short = one_each.join(short.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+            again = shingle_sets(short, k, percent, whole=True)
+            size = F.size("tokens").alias("total")
+            tokens = again.select(F.col("doc_id").alias("id"), "n", F.lit(0).alias("level"), size, F.explode("tokens").alias("token"))
+            rest = scratch.staged(_prefix_keys(_with_frequency(tokens), percent, combine=False), "prefixes-2")
+            links = links.unionAll(set_links(one_each, rest, k, percent, scratch))
+        components = staged(connected_components(links), "components")
     classes = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")
     )
