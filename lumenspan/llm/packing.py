@@ -33,22 +33,25 @@ from pyspark.sql import functions as F
 from lumenspan.store import staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-CACHE = 300_000
+#: The cache holds so many chunks of so many characters at most, about 60 MB.
+CACHE, CACHE_CHARS = 300_000, 64
 #: Fixed value: the pattern that cuts texts into pieces for this kind of file.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class _Chunks(dict):
-    """Chunk -> its ids.  Forgets everything when it is full, so a task's memory stays bounded."""
+    """Chunk -> its ids.  Forgets everything when it is full and keeps no long chunk: a task's memory stays bounded."""
 
     def __init__(self, encode, space: str):
         super().__init__()
         self.encode, self.space = encode, space
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[word] = array("I", self.encode(self.space + word)).tobytes()
+        ids = array("I", self.encode(self.space + word)).tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -58,7 +61,8 @@ class TokenIds:
     ``tokenizers`` reads the file; its vocabulary goes as ranks to ``tiktoken``, which merges single chunks several
     times faster and to the same ids.  Byte-level BPE never merges across the pre-tokenizer's pieces, and a single
     space or line feed between other characters always starts a piece; so texts are cut there and each chunk's ids are
-    looked up.  A text with white space of another form is encoded as a whole.
+    looked up.  A text with white space of another form is encoded as a whole, one that holds an added token (such as
+    an end mark written out) by ``tokenizers`` itself, which gives that token's id.
     """
 
     def __init__(self, path: str):
@@ -67,8 +71,9 @@ class TokenIds:
         from tokenizers.decoders import ByteLevel
 
         tokenizer, bytes_of = Tokenizer.from_file(path), _byte_alphabet()
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in tokenizer.get_vocab().items() if t not in special}
+        self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in tokenizer.get_vocab().items() if t not in self.added}
         assert isinstance(tokenizer.decoder, ByteLevel), "a byte-level BPE file is needed"
         self.encode = tiktoken.Encoding("own", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.later = _Chunks(self.encode, ""), _Chunks(self.encode, " ")
@@ -78,6 +83,8 @@ class TokenIds:
         return array("I", self.encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         lines = [line.split(" ") for line in text.split("\n")]
         if sum(map(len, lines)) != len(text.split()):
             return self.whole(text)
@@ -273,7 +280,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
         plan, "length long, first long, end long, first_sequence long, each long, first_offset long"
     )
     # Runs are bounded by lengths and configurations, not by documents.
-    ranked = pieces.join(sums.select("length", "part", "before"), ["length", "part"])
+    # The sums grow with the number of tasks: not broadcast.
+    ranked = pieces.join(sums.select("length", "part", "before").hint("merge"), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(runs), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     nth = F.col("rank") - F.col("first")
