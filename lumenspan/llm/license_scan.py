@@ -1,9 +1,11 @@
 """License texts in documents by diagonal voting.
 
 All rolling k-word hashes of all documents are joined with the positions of the same hashes in license templates.  A
-hit votes for the diagonal (document position minus template position); votes on diagonals next to each other are
-merged, since inserted or missing words move a text by a few places; and what they span is verified: the template's
-words must be covered to a fixed share, and densely enough in the document.
+hit votes for the diagonal (document position minus template position); votes on neighbouring diagonals are merged,
+since inserted or missing words move a text by a few places; and what they span is verified: the template's words must
+be covered to a fixed share, and densely enough in the document.  Neighbours are diagonals of one band, whose width
+grows with the template's length; bands overlap by half, so a span is never longer than the template and its drift
+however often a notice is repeated, and each repetition stands for itself.
 
 Base phrases are places where a short phrase's words stand consecutively; their labels always stay.
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.words import WordHashes, window_hashes
@@ -97,9 +99,11 @@ def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int,
     out = []
     for phrase, label in phrases.items():
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        at, counted, start = joined.find(sought), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            start += joined.count(b" ", counted, at)
+            counted = at
+            out.append((start, label))
             at = joined.find(sought, at + 1)
     return out
 
@@ -137,7 +141,7 @@ def scan_licenses(
     templates: list[tuple[str, str]] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     k: int = 3,
-    drift: int = 3,
+    drift_share: float = 0.125,
     least_cover: float = 0.75,
     least_density: float = 0.5,
 ) -> DataFrame:
@@ -146,22 +150,18 @@ def scan_licenses(
     hashes, rows, sizes = WordHashes(), [], []
     for i, (label, text) in enumerate(templates):
         words = scan_words(text)
-        sizes.append((i, label, len(words)))
+        # Words may be missing or more by a share of the template; a band holds twice its width of diagonals.
+        sizes.append((i, label, len(words), 2 + int(len(words) * drift_share)))
         rows += [(int(h), i, p) for p, h in enumerate(window_hashes(hashes.array(words), k).view(np.int64))]
     rows.append((DOCUMENT, -1, -1))
     # One row per word of the templates.
     places = F.broadcast(spark.createDataFrame(rows, "h long, template int, at int"))
     hits = staged(_grams(docs, k, phrases).join(places, "h").drop("h"), "license-hits")
     votes = hits.where("template >= 0").withColumn("diagonal", F.col("pos") - F.col("at"))
-    by = Window.partitionBy("row", "template").orderBy("diagonal", "pos")
-    # A diagonal further than ``drift`` from the one before it begins a new span, as does a gap between its votes.
-    far = F.coalesce(
-        (F.col("diagonal") - F.lag("diagonal").over(by) > drift)
-        | ((F.col("diagonal") == F.lag("diagonal").over(by)) & (F.col("pos") - F.lag("pos").over(by) > 8 * k)),
-        F.lit(True),
-    )
-    votes = votes.withColumn("_new", far.cast("int")).withColumn("span", F.sum("_new").over(by))
-    spans = votes.groupBy("row", "template", "span").agg(
+    size = F.broadcast(spark.createDataFrame(sizes, "template int, label string, template_words int, band_width int"))
+    band = F.floor(F.col("diagonal") / F.col("band_width"))
+    votes = votes.join(size, "template").withColumn("band", F.explode(F.array(band, band + 1)))
+    spans = votes.groupBy("row", "template", "label", "template_words", "band").agg(
         F.array_sort(F.collect_set("at")).alias("ats"),
         F.countDistinct("pos").alias("grams"),
         (F.max("pos") - F.min("pos") + k).alias("width"),
@@ -170,8 +170,7 @@ def scan_licenses(
     covers = F.aggregate(
         F.transform("ats", lambda a, i: F.least(F.lit(k), F.coalesce(F.get("ats", i + 1) - a, F.lit(k)))), F.lit(0), lambda s, x: s + x
     )
-    size = F.broadcast(spark.createDataFrame(sizes, "template int, label string, template_words int"))
-    spans = spans.join(size, "template").withColumn("cover", covers / F.col("template_words"))
+    spans = spans.withColumn("cover", covers / F.col("template_words"))
     dense = F.col("grams") + (k - 1) >= F.col("width") * least_density
     good = spans.where((F.col("cover") >= least_cover) & dense)
     found = good.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("cover").alias("score"))
