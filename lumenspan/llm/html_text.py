@@ -2,11 +2,17 @@
 
 Blocks of text give points for their length and commas to the elements above them (all to the parent, half to the
 grandparent, a falling share further up); an element's points are discounted by the share of its text that is links.
-The element with most points is the article, together with siblings that score enough or read like prose.
+From the element with most points the search climbs while its container adds more text than links: headings, lists and
+short sections beside the main paragraphs belong to the article.  Its blocks are kept but for parts that are mostly
+links; at the page's top level, siblings of the article are kept that score enough or read like prose, and a heading
+right before it.
+
+Elements that HTML defines as no article text are left out.  One that only its class, id or role names as furniture is
+left out too, unless it holds most of the page's text and few links; comments, adverts and the like always are.
 
 Cases: null or empty html gives the empty text; so does a page without any text outside removed elements.  Broken
 markup (unclosed paragraphs, stray end tags, a missing end of the page) is closed the way browsers do for the elements
-concerned.  Very long pages are read whole.  Repeated rows are handled one by one.
+concerned, and nesting ends at 512 levels, so that the work is in proportion to a page's length.  Very long pages are read whole.  Repeated rows are handled one by one.
 """
 
 from __future__ import annotations
@@ -39,12 +45,17 @@ FURNITURE = frozenset(
     "popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Of these words, those that also name parts of articles.
+DOUBTFUL = frozenset("banner header masthead menu modal notice notices popup promo promoted related share sharing social toolbar widget".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+DEEPEST = 512
+#: Elements that can be left out of an article if they are mostly links.
+LISTS = frozenset("ul ol dl div section table".split())
 SPACES = re.compile(r"\s+")
 COMMAS = re.compile("[,،、，]")
 
@@ -54,26 +65,32 @@ class Node:
     tag: str
     parent: Node | None = None
     dropped: bool = False
+    doubtful: bool = False
+    depth: int = 0
     children: list[Node | str] = field(default_factory=list)
     points: float = 0.0
     chars: int = 0
     link_chars: int = 0
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is page furniture, and whether only a doubtful word says so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    doubtful = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and FURNITURE.intersection(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id") and (words := FURNITURE.intersection(re.split(r"[^a-z]+", value))):
+            if not words <= DOUBTFUL:
+                return True, False
+            doubtful = True
         if name == "role" and value in FURNITURE_ROLES:
-            return True
+            return True, False
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            return True, False
+    return doubtful, doubtful
 
 
 #: Start tags that close an open element, and where the search for it ends.
@@ -126,7 +143,8 @@ def parse(page: str) -> Node:
             at = _close(at, {"p"}, {"article", "body", "div", "section", "li", "td", "th", "blockquote", "main", "aside", "form"})
         if tag in CLOSES:
             at = _close(at, *CLOSES[tag])
-        node = Node(tag, at, _furniture(tag, m[3]))
+        node = Node(tag, at, *_furniture(tag, m[3]), depth=at.depth + 1)
+        root.doubtful |= node.doubtful
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, end)
@@ -135,7 +153,7 @@ def parse(page: str) -> Node:
             end = page.find(">", close.start())
             end = n if end < 0 else end + 1
             node.dropped = True
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
             at = node
     return root
 
@@ -221,26 +239,84 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    seen: list[Node] = []
-    _score(root, False, seen)
-    for node in seen:
-        node.points *= 1 - _density(node)
-    scored = [node for node in seen if node.points > 0]
-    if not scored:
+    _settle_doubtful(root)
+    best = _best(root)
+    if best is None:
         return "\n\n".join(_blocks([root]))
-    best = max(scored, key=lambda x: x.points)
-    if best.parent is None:
+    if _drop_links(root, best):
+        best = _best(root)
+    while best.tag not in ("article", "main") and (above := best.parent) and above.tag not in ("#root", "html", "body"):
+        if (above.link_chars - best.link_chars) * 2 > above.chars - best.chars:
+            break
+        best = above
+    if best.parent is None or best.tag in ("html", "body"):
         return "\n\n".join(_blocks([best]))
-    kept = []
+    kept, heading = [], None
     for child in best.parent.children:
-        if isinstance(child, str) or child.dropped:
+        if isinstance(child, str) or child.dropped or not child.chars:
             continue
         prose = child.tag == "p" and _density(child) < 0.25 and child.chars >= 80
+        if child is best and heading is not None:
+            kept.append(heading)
         if child is best or child.points >= max(10.0, best.points * 0.2) or prose:
             kept.append(child)
+        heading = child if child.tag in ("h1", "h2", "h3") and _density(child) < 0.5 else None
     return "\n\n".join(_blocks(kept))
 
 
+def _best(root: Node) -> Node | None:
+    """The element with most points, after a fresh scoring; None where nothing has any."""
+    seen: list[Node] = []
+    _reset(root)
+    _score(root, False, seen)
+    for node in seen:
+        node.points *= 1 - _density(node)
+    best = max(seen, key=lambda x: x.points)
+    return best if best.points > 0 else None
+
+
+def _reset(root: Node) -> None:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.points, node.chars, node.link_chars = 0.0, 0, 0
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.dropped)
+
+
+def _settle_doubtful(root: Node) -> None:
+    """An element that a doubtful word names as furniture is none if it holds most of the page's text and few links."""
+    if not root.doubtful:
+        return
+    doubtful, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.doubtful and node is not root:
+            doubtful.append(node)
+            node.dropped = False
+        stack.extend(c for c in node.children if not isinstance(c, str) and (not c.dropped or c.doubtful))
+    _score(root, False, [])
+    for node in doubtful:
+        node.dropped = node.chars * 2 <= root.chars or _density(node) > 0.25
+
+
+def _drop_links(root: Node, best: Node) -> bool:
+    """Drops parts that are mostly links, such as a list of pages beside the paragraphs; never what holds ``best``."""
+    holds, node = set(), best
+    while node is not None:
+        holds.add(id(node))
+        node = node.parent
+    stack, found = [root], False
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str) or child.dropped:
+                continue
+            if child.tag in LISTS and id(child) not in holds and child.chars >= 40 and _density(child) > 0.6:
+                child.dropped = found = True
+            else:
+                stack.append(child)
+    return found
+
+
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) in place of the html column."""
     keep = [f for f in pages.schema.fields if f.name not in (html_column, "text", "n_chars")]
