@@ -4,13 +4,15 @@ One view of a document is its text (shares of symbols, capitals, separators and
 other its metadata (source, language, length).  Features are binned once, natively, into a narrow table.  In each
 round both views are fitted on the labelled documents and on the confident pseudo-labels that the *other* view gave to
 unlabelled ones.  Fitting is one sum of counts per feature and bin, so all documents take part and what reaches the
-driver is a table of bins.  At the end both views' log odds are calibrated and combined by a logistic regression on
-labelled documents that no fit has seen (a fifth of them, by a hash of the id), on binned sums again.
+driver is a table of bins.  By a hash of the id a tenth of the labelled documents is held out to tell how confident a
+view is in each round, and another tenth, which neither a fit nor a round has seen, to calibrate both views' log odds
+and combine them by a logistic regression, on binned sums again.
 
 Cases: a null text is the empty text.  A null source or language is a value of its own, as is a missing n_chars.
-Repeated rows are scored one by one.  A document with several labels takes the smallest.  Without a labelled document
-of both classes every score is the share of good labels (1 without labels).  An empty table gives an empty result.
-Other columns pass through; the result columns replace columns of the same name.
+Repeated rows are scored one by one; a null doc_id is scored and never labelled.  A document with several labels takes
+the smallest.  Where a tenth that is held out lacks a class, or all the rest does, nothing is held out and all labelled
+documents serve for all three.  Without labels of both classes every score is the share of good labels (1 without
+labels).  An empty table gives an empty result.  Other columns are not carried.
 
 ``fit_on`` names the documents that the views are fitted on, where they are not those to be scored (a stage's input
 may lack the labelled bad documents that a stage before it removed).
@@ -141,25 +143,30 @@ def _features(docs: DataFrame) -> DataFrame:
 def classify(
     docs: DataFrame, labels: DataFrame, rounds: int = 3, confident: float = 0.98, threshold: float = 0.5, fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``text_score``, ``meta_score``, ``score`` (probability of good quality) and ``kept``."""
+    """doc_id, ``text_score``, ``meta_score``, ``score`` (probability of good quality) and ``kept`` of every row."""
     results = ["text_score", "meta_score", "score", "kept"]
-    docs = docs.drop(*results)
     features = _features(docs if fit_on is None else fit_on)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     table = features.join(known, "doc_id", "left")
-    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(5)) == 0
-    table = staged(table.withColumn("held", F.coalesce(held & F.col("y").isNotNull(), F.lit(False))), "views")
-    totals = table.where("not held").agg(F.sum("y").alias("g"), F.sum(1 - F.col("y")).alias("b")).first()
+    part = F.when(F.col("y").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(10)))
+    # 1: tells a round's confidence, 2: calibrates, 0: is fitted; unlabelled documents are fitted once they are taught.
+    table = table.withColumn("part", F.when(part == 1, 1).when(part == 2, 2).otherwise(0))
+    table = staged(table, "views")
+    counts = table.where("y is not null").groupBy("part").agg(F.sum("y").alias("g"), F.sum(1 - F.col("y")).alias("b")).collect()
+    totals = {"g": sum(r["g"] for r in counts), "b": sum(r["b"] for r in counts)}
+    whole = sum(bool(r["g"] and r["b"]) for r in counts) == 3
+    fitted, round_rows, last_rows = (F.col("part") == i if whole else F.lit(True) for i in range(3))
     text_model = meta_model = None
     if totals["g"] and totals["b"]:
-        fit_rows = table.where("not held")
+        fit_rows = table.where(fitted)
         good, bad = F.coalesce("y", F.lit(0)), F.coalesce(1 - F.col("y"), F.lit(0))
         text_model, meta_model = _fit(fit_rows, TEXT, good, bad), _fit(fit_rows, META, good, bad)
         for _ in range(rounds):
             # Confidence is that of the calibrated view, or a view without information would teach the other noise.
             scored = table.withColumn("t", _log_odds(text_model)).withColumn("m", _log_odds(meta_model))
-            beta_t, beta_m = (_calibrate(scored.where("held"), [c]) for c in ("t", "m"))
-            scored = scored.where("not held").withColumn("pt", _sigmoid(beta_t, ["t"])).withColumn("pm", _sigmoid(beta_m, ["m"]))
+            known_rows = scored.where(round_rows & F.col("y").isNotNull())
+            beta_t, beta_m = (_calibrate(known_rows, [c]) for c in ("t", "m"))
+            scored = scored.where(fitted).withColumn("pt", _sigmoid(beta_t, ["t"])).withColumn("pm", _sigmoid(beta_m, ["m"]))
             unlabelled = F.col("y").isNull()
 
             def taught(p: str) -> tuple[Column, Column]:
@@ -174,7 +181,7 @@ def classify(
         scored = asked.withColumns({c: F.lit(float(share)) for c in ("text_score", "meta_score", "score")})
     else:
         odds = {"t": _log_odds(text_model), "m": _log_odds(meta_model)}
-        rows = table.where("held").withColumns(odds)
+        rows = table.where(last_rows & F.col("y").isNotNull()).withColumns(odds)
         betas = [_calibrate(rows, c) for c in (["t"], ["m"], ["t", "m"])]
         scored = (table if fit_on is None else _features(docs)).withColumns(odds)
         scored = scored.withColumns({"text_score": _sigmoid(betas[0], ["t"]), "meta_score": _sigmoid(betas[1], ["m"]), "score": _sigmoid(betas[2], ["t", "m"])})
