@@ -82,41 +82,46 @@ def repeated_window_words(df: DataFrame, words: str, out: str) -> DataFrame:
         F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
         lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
     )
-    df = df.withColumn("_win", windows)
-    repeats = F.size("_win") > F.size(F.array_distinct("_win"))
-    pairs = F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    df = df.withColumn("_win", F.when(repeats, pairs))
-    s = F.col("_win")
+    df = df.withColumn(f"{words}_win", windows)
+    repeats = F.size(f"{words}_win") > F.size(F.array_distinct(f"{words}_win"))
+    pairs = F.sort_array(F.transform(f"{words}_win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    df = df.withColumn(f"{words}_win", F.when(repeats, pairs))
+    s = F.col(f"{words}_win")
     again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-    df = df.withColumn("_win", F.sort_array(F.transform(again, lambda x: x["p"])))
-    p = F.col("_win")
+    df = df.withColumn(f"{words}_win", F.sort_array(F.transform(again, lambda x: x["p"])))
+    p = F.col(f"{words}_win")
     covers = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     total = F.aggregate(covers, F.lit(0), lambda a, x: a + x)
-    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop("_win")
+    return df.withColumn(out, F.coalesce(total, F.lit(0)).cast("long")).drop(f"{words}_win")
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """Adds the base counts, ``clean_text`` (the lines that stay), ``kept_words``, ``base_failed`` and ``kept``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_lines", F.split(t, "\n")).drop(*RESULTS)
-    df = df.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x.alias("l"), words_of(x).alias("w"))))
-    df = df.withColumn("_lines", F.filter("_lines", lambda x: F.size(x["w"]) > 0))
-    df = df.withColumn("_words", F.flatten(F.transform("_lines", lambda x: x["w"])))
-    lines = F.transform("_lines", lambda x: x["l"])
-    good = F.filter("_lines", lambda x: ~line_fails(x["l"], x["w"], rules))
+    # Helper columns get names that no input column has.
+    at = "_"
+    while any(c.startswith(at) for c in docs.columns):
+        at += "_"
+    lines_at, words_at, good_at, result_at = (at + c for c in ("lines", "words", "good", "result"))
+    df = docs.withColumn(lines_at, F.split(t, "\n")).drop(*RESULTS)
+    df = df.withColumn(lines_at, F.transform(lines_at, lambda x: F.struct(x.alias("l"), words_of(x).alias("w"))))
+    df = df.withColumn(lines_at, F.filter(lines_at, lambda x: F.size(x["w"]) > 0))
+    df = df.withColumn(words_at, F.flatten(F.transform(lines_at, lambda x: x["w"])))
+    lines = F.transform(lines_at, lambda x: x["l"])
+    good = F.filter(lines_at, lambda x: ~line_fails(x["l"], x["w"], rules))
     df = (
-        df.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+        df.withColumn("n_words", F.size(words_at).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join(words_at, "")).cast("long"))
         .withColumn("n_symbols", char_count(t, SYMBOLS).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct(lines))).cast("long"))
-        .withColumn("_good", good)
-        .drop("_lines")
+        .withColumn("n_dup_lines", (F.size(lines_at) - F.size(F.array_distinct(lines))).cast("long"))
+        .withColumn(good_at, good)
+        .drop(lines_at)
     )
-    df = repeated_window_words(df, "_words", "n_repeat_words").drop("_words")
+    df = repeated_window_words(df, words_at, "n_repeat_words").drop(words_at)
     df = (
-        df.withColumn("kept_words", F.aggregate("_good", F.lit(0), lambda a, x: a + F.size(x["w"])).cast("long"))
-        .withColumn("clean_text", F.array_join(F.transform("_good", lambda x: x["l"]), "\n"))
-        .drop("_good")
+        df.withColumn("kept_words", F.aggregate(good_at, F.lit(0), lambda a, x: a + F.size(x["w"])).cast("long"))
+        .withColumn("clean_text", F.array_join(F.transform(good_at, lambda x: x["l"]), "\n"))
+        .drop(good_at)
         .withColumn(
             "base_failed",
             (F.col("n_words") < rules.min_words)
@@ -128,5 +133,5 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -
     # A filter on a result must not be pushed down into the steps above: it would put their array expressions into
     # each other's lambdas.  The optimizer doesn't move filters below a row number.
     fixed = F.when(F.monotonically_increasing_id() >= 0, F.struct(*RESULTS))
-    df = df.withColumn("_result", fixed).drop(*RESULTS)
-    return df.select("*", *(F.col(f"_result.{c}").alias(c) for c in RESULTS)).drop("_result")
+    df = df.withColumn(result_at, fixed).drop(*RESULTS)
+    return df.select("*", *(F.col(f"{result_at}.{c}").alias(c) for c in RESULTS)).drop(result_at)

@@ -5,8 +5,8 @@ score and the number of pieces up to each character.  Rules for ties and unknown
 at one end, pieces are tried by their start, leftmost first, and a later one must score higher; a character without a
 piece of its own costs the lowest score less ten, and falls back to bytes or joins the unknown piece before it.
 
-Texts are counted word by word (the tokenizer never crosses a space), and each word's count is kept, so words that a
-task has met are looked up.
+Texts are counted word by word (the tokenizer never crosses a space), and counts of words that are not long are kept in
+a bounded cache, so words that a task has met are looked up.
 
 The vocabulary comes from a tokenizer file's pieces in order of rank.  Where the file has no log probabilities (BPE
 files hold ranks), a piece's score is the log of its share by Zipf's law, 1 / (rank + 2.7); the scores are a parameter.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KEEP = 200_000
+#: The cache holds so many words of so many characters at most, about 50 MB.
+KEEP, KEEP_CHARS = 200_000, 64
 
 
 def zipf_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -63,9 +64,11 @@ class UnigramCounter:
     def word(self, word: str) -> int:
         n = self.seen.get(word)
         if n is None:
-            if len(self.seen) >= KEEP:
-                self.seen.clear()
-            n = self.seen[word] = self.viterbi(word)
+            n = self.viterbi(word)
+            if len(word) <= KEEP_CHARS:
+                if len(self.seen) >= KEEP:
+                    self.seen.clear()
+                self.seen[word] = n
         return n
 
     def viterbi(self, word: str) -> int:

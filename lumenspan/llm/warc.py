@@ -47,9 +47,12 @@ def deduplicated(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
     Among rows with equal payloads of at least ``least_bytes`` bytes the one with the largest key is the response.
     Only digests that occur twice or more go into the join, and payloads are summed up before it.
     """
-    raw = F.coalesce(F.col("payload"), F.lit(b""))
-    # An id for repeated rows; the scan of a file gives the same ids each time it is run.
-    rows = rows.select("key", "url", raw.alias("payload")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("key", "url", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"))
+    # Rows are told apart by their key.  Only where keys repeat they get a number, which must not change: written first.
+    if rows.groupBy("key").count().where("count > 1").limit(1).count():
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    else:
+        rows = rows.withColumn("row", F.coalesce("key", F.lit(-(1 << 63))))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     first = F.struct(F.coalesce("key", F.lit(-(1 << 63))).alias("k"), "row", "key")
     shared = (

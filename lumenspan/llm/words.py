@@ -9,16 +9,19 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEEP_WORDS = 200_000
+#: A cache holds so many words of so many bytes at most, about 30 MB.
+KEEP_WORDS, KEEP_BYTES = 200_000, 64
 
 
 class WordHashes(dict):
-    """Word bytes -> xxh3 hash.  Forgets everything when it is full, so a task's memory stays bounded."""
+    """Word bytes -> xxh3 hash.  Forgets everything when it is full and keeps no long word: memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEEP_BYTES:
+            if len(self) >= KEEP_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
