@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.store import staged
+from lumenspan.store import Scratch
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,8 +15,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours to its smallest one, then its smaller ones.  Each round halves long chains; a hub never gathers its
     neighbours, since only minima per id are taken.  Raises if ``rounds`` don't suffice.
     """
+    scratch = Scratch(links.sparkSession)
     both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = staged(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = scratch.staged(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     same = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
     before = edges.agg(F.count("*"), same).first()
     for _ in range(rounds):
@@ -28,8 +29,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: smaller neighbours of u, and u, go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = staged(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        new = scratch.staged(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = new.agg(F.count("*"), same).first()
+        scratch.drop(edges)
         edges = new
         if before == after:
             break

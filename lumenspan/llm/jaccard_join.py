@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.components import connected_components
 from lumenspan.llm.words import WordHashes, shingle_set
-from lumenspan.store import Scratch, staged
+from lumenspan.store import Scratch, broadcast_if_small, staged
 
 #: A token in so many documents or more counts as frequent.
 FREQUENT = 12
@@ -181,18 +181,26 @@ def _combinations(tokens: np.ndarray, level: int, need: int, percent: int) -> tu
     return np.array(out, dtype=np.uint64), max(need, 0)
 
 
-def _with_frequency(tokens: DataFrame) -> DataFrame:
-    """(id, level, n, token) -> (id, level, n, alone, known): tokens with their frequency in the level.
+def _with_frequency(listed: DataFrame, shingles: int) -> DataFrame:
+    """(id, level, n, tokens) -> (id, level, n, alone, known): tokens with their frequency in the level.
 
-    Tokens of one document only can't be shared: they are counted, not kept.
+    Tokens of one document only can't be shared: they are counted, not kept.  Frequencies are counted by a part of the
+    hash that is wide enough for so many shingles; two tokens with one part have a higher frequency than their own,
+    which changes their order and nothing else.
     """
-    shared = tokens.groupBy("level", "token").agg(F.count("*").alias("df")).where("df > 1")
-    known = (
-        tokens.join(shared, ["level", "token"])
-        .groupBy("id", "level", "n", "total")
-        .agg(F.collect_list(F.struct("token", "df")).alias("known"))
-    )
-    return known.withColumn("alone", F.col("total") - F.size("known"))
+    tokens = listed.select("id", "level", F.explode("tokens").alias("token"))
+    bits = min(58, max(40, shingles.bit_length() + 6))
+    part = F.col("token").bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(F.shiftleft(F.col("level").cast("long"), bits))
+    shared = tokens.groupBy(part.alias("part")).agg(F.count("*").alias("df")).where("df > 1")
+    known = tokens.join(shared, part == F.col("part")).groupBy("id", "level").agg(F.collect_list(F.struct("token", "df")).alias("known"))
+    # What a document brings with it is joined to its tokens afterwards, so that it isn't moved with each of them.
+    sizes = listed.select("id", "level", "n", F.size("tokens").alias("total"))
+    return known.join(sizes, ["id", "level"]).withColumn("alone", F.col("total") - F.size("known"))
+
+
+def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is one of ``ids``; these are broadcast if they are few, else both sides are shuffled."""
+    return df.join(broadcast_if_small(ids.withColumnRenamed(ids.columns[0], key)), key, "left_semi")
 
 
 def _links(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,11 +238,12 @@ def set_links(docs: DataFrame, keyed: DataFrame, k: int, percent: int, scratch:
     sizes = keyed.groupBy("level", "key").agg(F.count("*").alias("size")).where("size > 1")
     listed = scratch.staged(keyed.join(sizes, ["level", "key"]), "keys")
     needed = listed.select("id").distinct()
-    whole = shingle_sets(docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent, whole=True)
+    whole = shingle_sets(_only(docs, "doc_id", needed), k, percent, whole=True)
     # Repeated doc_ids (rows of one id) have been reduced to their first text before.
     sets = scratch.staged(whole.select(F.col("doc_id").alias("id"), "tokens", "parity"), "sets")
-    compared, components = None, None
+    compared, components, rows = None, None, None
     for turn in range(HUB_TURNS):
+        scratch.drop(rows)
         rows = listed.withColumn("component", F.col("id")) if components is None else _open_rows(listed, components, sets, scratch)
         pairs = _hub_pairs(rows, turn, percent)
         if compared is not None:
@@ -243,7 +252,9 @@ def set_links(docs: DataFrame, keyed: DataFrame, k: int, percent: int, scratch:
         compared = found if compared is None else compared.unionAll(found)
         linked = found.where("linked").select("a", "b")
         if components is None or not linked.isEmpty():
-            components = scratch.staged(connected_components(_with_stars(components, linked)), "components")
+            before, components = components, scratch.staged(connected_components(_with_stars(components, linked)), "components")
+            scratch.drop(before)
+    scratch.drop(rows)
     pairs = _open_pairs(_open_rows(listed, components, sets, scratch), percent)
     pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     last = scratch.staged(_links(pairs, sets, percent), "links")
@@ -308,34 +319,34 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    table = staged(shingle_sets(docs, k, percent), "shingles")
-    with_text = table.where("n > 0 and doc_id is not null")
-    # A class is the documents with one set; a doc_id of several texts belongs to several classes and joins them.
-    members = with_text.select("doc_id", "n", "fp1", "fp2").distinct()
-    classes = staged(members.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    # A representative stands for its class by a number of its own where doc_ids repeat with other texts.
-    if members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0:
-        return _by_row(docs, k, percent)
     with Scratch(spark) as scratch:
+        whole = scratch.staged(shingle_sets(docs, k, percent), "shingles")
+        table = staged(whole.select("doc_id", "n", "fp1", "fp2"), "documents")
+        # A class is the documents with one set; a doc_id of several texts belongs to several classes and joins them.
+        members = table.where("n > 0 and doc_id is not null").distinct()
+        classes = staged(members.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+        # A representative stands for its class by a number of its own where doc_ids repeat with other texts.
+        if members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0:
+            return _by_row(docs, k, percent)
         repeats = _repeats(docs)
-        reps = with_text.dropDuplicates(["doc_id"]) if repeats else with_text
-        reps = reps.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        reps = reps.select(F.col("doc_id").alias("id"), "n", F.explode("levels").alias("x"))
-        tokens = reps.select("id", "n", "x.level", F.size("x.tokens").alias("total"), F.explode("x.tokens").alias("token"))
-        keyed = scratch.staged(_prefix_keys(_with_frequency(tokens), percent), "prefixes")
+        with_text = whole.where("n > 0 and doc_id is not null")
+        reps = _only(with_text.dropDuplicates(["doc_id"]) if repeats else with_text, "doc_id", classes.select("rep"))
+        reps = reps.select(F.col("doc_id").alias("id"), "n", F.explode("levels").alias("x")).select("id", "n", "x.level", "x.tokens")
+        shingles = table.agg(F.sum("n")).first()[0] or 0
+        keyed = scratch.staged(_prefix_keys(_with_frequency(reps, shingles), percent), "prefixes")
+        # Short: the fixed share of hashes doesn't fill the prefix.  Without a token that others have a document is not
+        # in ``keyed``.
+        few = reps.where(F.size("tokens") <= _missing(F.col("n"), percent))
+        short = scratch.staged(keyed.where("short").select("id").unionAll(few.select("id")).distinct(), "short")
+        scratch.drop(whole)
         one_each = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if repeats else docs
         # A short document lists all its tokens, so any partner that is not short meets it here.
         links = set_links(one_each, keyed, k, percent, scratch)
-        # Without a token that others have it is not in ``keyed``.
-        few = reps.where(F.size("x.tokens") <= _missing(F.col("n"), percent))
-        short = keyed.where("short").select("id").unionAll(few.select("id")).distinct()
         if not short.isEmpty():
-            # Prefixes that the fixed share of hashes didn't fill: all tokens, rare ones first, singly.
-            short = one_each.join(short.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-            again = shingle_sets(short, k, percent, whole=True)
-            size = F.size("tokens").alias("total")
-            tokens = again.select(F.col("doc_id").alias("id"), "n", F.lit(0).alias("level"), size, F.explode("tokens").alias("token"))
-            rest = scratch.staged(_prefix_keys(_with_frequency(tokens), percent, combine=False), "prefixes-2")
+            # All tokens, rare ones first, singly.
+            again = shingle_sets(_only(one_each, "doc_id", short), k, percent, whole=True)
+            again = scratch.staged(again.select(F.col("doc_id").alias("id"), "n", F.lit(0).alias("level"), "tokens"), "short-sets")
+            rest = scratch.staged(_prefix_keys(_with_frequency(again, shingles), percent, combine=False), "prefixes-2")
             links = links.unionAll(set_links(one_each, rest, k, percent, scratch))
         components = staged(connected_components(links), "components")
     classes = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
