@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,36 @@ def poisson_weight(u: Column) -> Column:
     for c in POISSON_1:
         out = out + (u >= c).cast("int")
     return out
+
+
+def unit(x: Column) -> Column:
+    """The vector over its length; NULLs where that is 0."""
+    n = F.nullif(norm(x), F.lit(0.0))
+    return F.transform(x, lambda v: v / n)
+
+
+def gated_sum(gates: Column, values: Column) -> Column:
+    """Values weighted by the softmax of the gates."""
+    top = F.array_max(gates)
+    e = F.transform(gates, lambda g: F.exp(g - top))
+    return dot(e, values) / F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
+
+
+def all_finite(x: Column) -> Column:
+    return ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+
+
+def min_max(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``value`` between the least (0) and greatest (1) of its group; 0 where all are equal."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    return df.join(ends, by).withColumn(out, F.coalesce((F.col(value) - F.col("_lo")) / width, F.lit(0.0))).drop("_lo", "_hi")
+
+
+def standardised(acts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``z``: each dimension of ``x`` less its group's mean, over its population deviation (1 where that is 0)."""
+    dims = acts.select(*by, F.posexplode("x").alias("i", "v")).groupBy(*by, "i").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    packed = F.sort_array(F.collect_list(F.struct("i", "mu", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("sd"))))
+    # One row per group and as many numbers as a vector has.
+    stats = dims.groupBy(*by).agg(packed.alias("_s"))
+    return acts.join(stats, by).withColumn("z", F.zip_with("x", "_s", lambda v, s: (v - s["mu"]) / s["sd"])).drop("_s")

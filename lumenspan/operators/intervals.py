@@ -7,16 +7,50 @@ from pyspark.sql import functions as F
 
 
 def span_tokens(tok: DataFrame, spans: DataFrame) -> DataFrame:
-    """First and last overlapping token of each span: an equi-join on the example with an overlap residual."""
-    hit = tok.join(spans, "eid").where((F.col("ce") > F.col("s")) & (F.col("cs") < F.col("e")))
-    return hit.groupBy("eid", "key", "s", "e").agg(F.min("tok").alias("first_tok"), F.max("tok").alias("last_tok"))
+    """First and last overlapping token of each span.
+
+    Tokens follow each other, so the first is the next one that ends after the span's start and the last the one before
+    that starts before its end: two passes in order of position, not every token with every span.
+    """
+    spans = spans.distinct()
+    own = ["eid", "key", "s", "e"]
+    none = lambda c: F.lit(None).cast(dict(spans.dtypes)[c]).alias(c)
+
+    def neighbour(edge: str, at: str, out: str, down: bool) -> DataFrame:
+        t = tok.select("eid", F.col(at).cast("long").alias("_at"), F.lit(1).alias("_k"), F.col("tok").alias(out), *map(none, own[1:]))
+        q = spans.select("eid", F.col(edge).cast("long").alias("_at"), F.lit(0).alias("_k"), F.lit(None).cast("int").alias(out), *own[1:])
+        way = F.desc if down else F.asc
+        order = Window.partitionBy("eid").orderBy(way("_at"), "_k", way(out)).rowsBetween(Window.unboundedPreceding, 0)
+        rows = t.unionByName(q).withColumn(out, F.last(out, True).over(order))
+        return rows.where("_k = 0").select(*own, out)
+
+    first, last = neighbour("s", "ce", "first_tok", True), neighbour("e", "cs", "last_tok", False)
+    return first.join(last, own).where("first_tok <= last_tok")
+
+
+def meeting(items: DataFrame, s: str, e: str, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(eid, keys..., meets): whether an item [s, e) overlaps any of the ranges (eid, s, e) of its example.
+
+    Ranges are merged, so the one that decides is the last that starts before the item's end: one pass by position.
+    """
+    merged = merge_spans(ranges.select("eid", "s", "e"), ["eid"])
+    none = lambda c: F.lit(None).cast(dict(items.dtypes)[c]).alias(c)
+    r = merged.select("eid", F.col("s").cast("long").alias("_at"), F.lit(1).alias("_k"), F.col("e").cast("long").alias("_e"), F.lit(None).cast("long").alias("_s"), *map(none, keys))
+    q = items.select("eid", F.col(e).cast("long").alias("_at"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_e"), F.col(s).cast("long").alias("_s"), *keys)
+    order = Window.partitionBy("eid").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = r.unionByName(q).withColumn("_e", F.last("_e", True).over(order)).where("_k = 0")
+    return rows.select("eid", *keys, F.coalesce(F.col("_e") > F.col("_s"), F.lit(False)).alias("meets"))
+
+
+def meets(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The examples one of whose spans overlaps a range."""
+    return meeting(spans.distinct(), "s", "e", ranges, []).where("meets").select("eid").distinct()
 
 
 def label_tokens(tok: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tokens with y = 1 if any span overlaps them; ranges travel as an array, so no token is duplicated."""
-    packed = spans.groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    over = F.exists("_spans", lambda x: (x["s"] < F.col("ce")) & (x["e"] > F.col("cs")))
-    return tok.join(packed, "eid", "left").withColumn("y", F.coalesce(over, F.lit(False)).cast("int")).drop("_spans")
+    """Tokens with y = 1 if any span overlaps them."""
+    y = meeting(tok, "cs", "ce", spans, ["tok"]).select("eid", "tok", F.col("meets").cast("int").alias("y"))
+    return tok.join(y, ["eid", "tok"])
 
 
 def merge_spans(spans: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
@@ -70,10 +104,24 @@ def dilate(tok: DataFrame, width: int) -> DataFrame:
 
 
 def nearest_distance(spans: DataFrame, targets: DataFrame) -> DataFrame:
-    """Distance of each span to the nearest target range of its example: 0 on overlap, NULL without targets."""
-    packed = targets.groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("_t"))
-    gap = F.array_min(F.transform("_t", lambda x: F.greatest(F.lit(0), x["s"] - F.col("e"), F.col("s") - x["e"])))
-    return spans.join(packed, "eid", "left").withColumn("distance", gap).drop("_t")
+    """Distance of each span to the nearest target range of its example: 0 on overlap, NULL without targets.
+
+    Of the merged targets only the last that starts before the span's end and the first after it can be nearest.
+    """
+    merged = merge_spans(targets.select("eid", "s", "e"), ["eid"])
+    own = spans.select("eid", "s", "e").distinct()
+    null = F.lit(None).cast("long")
+    r = merged.select("eid", F.col("s").cast("long").alias("_at"), F.lit(1).alias("_k"), F.col("s").cast("long").alias("_ts"), F.col("e").cast("long").alias("_te"), null.alias("s"), null.alias("e"))
+    q = own.select("eid", F.col("e").cast("long").alias("_at"), F.lit(0).alias("_k"), null.alias("_ts"), null.alias("_te"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    order = Window.partitionBy("eid").orderBy("_at", "_k")
+    before = F.last("_te", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_ts", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = r.unionByName(q).withColumn("_b", before).withColumn("_a", after).where("_k = 0")
+    # greatest() skips NULLs, which stand for no target on that side.
+    left = F.when(F.col("_b").isNotNull(), F.greatest(F.lit(0), F.col("s") - F.col("_b")))
+    right = F.when(F.col("_a").isNotNull(), F.greatest(F.lit(0), F.col("_a") - F.col("e")))
+    gap = F.least(left, right)
+    return spans.join(rows.select("eid", "s", "e", gap.alias("distance")), ["eid", "s", "e"])
 
 
 def line_of(code, offset):

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SPACES = re.compile(r"\s\s+")
 #: So many rows at once from a task.
@@ -51,3 +52,41 @@ def hashed_ngrams(docs: DataFrame, sizes: range, buckets: int) -> DataFrame:
                     ids, places, counts, rows = [], [], [], 0
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, bucket long, n long")
+
+
+def word_ngrams(docs: DataFrame, longest: int = 2) -> DataFrame:
+    """(doc_id, gram, n): counts of runs of one to ``longest`` lower-case ASCII words."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    d = docs.select("doc_id", words.alias("w"))
+
+    def runs_of(k: int) -> Column:
+        places = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1)))
+        own = F.transform(places, lambda i: F.array_join(F.slice("w", i, k), " "))
+        return F.coalesce(own, F.array().cast("array<string>"))
+
+    runs = [F.col("w"), *map(runs_of, range(2, longest + 1))]
+    return d.select("doc_id", F.explode(F.concat(*runs)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+
+
+def tfidf(grams: DataFrame, docs: int, least_docs: int = 1, most_features: int | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+    """(doc_id, gram, weight): counts times smoothed inverse document frequency, each document's vector of length 1.
+
+    Features stand in ``least_docs`` documents at least; ``most_features`` keeps the commonest, as a vectoriser does.
+    ``fit_on`` (doc_id) are the documents that features and frequencies are taken from, ``docs`` how many these are.
+    """
+    fitted = grams if fit_on is None else grams.join(fit_on, "doc_id", "left_semi")
+    df = fitted.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("_total")).where(F.col("df") >= least_docs)
+    if most_features is not None:
+        df = F.broadcast(df.orderBy(F.desc("_total"), "gram").limit(most_features))
+    idf = F.log((1 + docs) / (1 + F.col("df"))) + 1
+    t = grams.join(df, "gram").select("doc_id", "gram", (F.col("n") * idf).alias("w"))
+    size = t.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return t.join(size, "doc_id").select("doc_id", "gram", (F.col("w") / F.col("size")).alias("weight"))
+
+
+def hashed_vectors(weights: DataFrame, size: int) -> DataFrame:
+    """(doc_id, gram, weight) -> (doc_id, x): weights summed into ``size`` places by the gram's hash."""
+    cells = weights.groupBy("doc_id", F.pmod(F.xxhash64("gram"), F.lit(size)).cast("int").alias("i")).agg(F.sum("weight").alias("w"))
+    found = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return found.select("doc_id", x.alias("x"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspan.store import staged
+
 
 def score_counts(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     w = F.lit(1) if weight is None else weight
@@ -21,41 +23,40 @@ def score_counts(df: DataFrame, by: list[str], score: str, label: str, weight: C
     )
 
 
-def cumulative(counts: DataFrame, by: list[str], buckets: int = 32) -> DataFrame:
-    """Adds ``tp``, ``fp``: positives and negatives with at least this score; ``P``, ``N``: all of the group."""
-    cuts = counts.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+def cumulative(counts: DataFrame, by: list[str], rows_in_bucket: int = 200_000) -> DataFrame:
+    """Adds ``tp``, ``fp``: positives and negatives with at least this score; ``P``, ``N``: all of the group.
+
+    ``place`` is the score's place from the highest, 1, and ``n_scores`` how many distinct scores the group has.  The
+    counts are written once; the number of buckets follows from theirs.
+    """
+    counts = staged(counts, "score-counts")
+    buckets = counts.count() // rows_in_bucket + 1
     bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col("score") >= c).cast("int")
+    if buckets > 1:
+        shares = [i / buckets for i in range(1, buckets)]
+        for c in sorted(set(counts.agg(F.percentile_approx("score", shares, 1000)).first()[0] or [])):
+            bucket = bucket + (F.col("score") >= c).cast("int")
     counts = counts.withColumn("_b", bucket)
-    sums = counts.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    sums = counts.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.count("*").alias("_k"))
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
+    zero = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    own = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
     sums = sums.select(
-        *by,
-        "_b",
-        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"),
-        F.sum("_p").over(group).alias("P"),
-        F.sum("_n").over(group).alias("N"),
-    )
-    within = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_pc", F.sum("pos").over(within)).withColumn("_nc", F.sum("neg").over(within))
-    same = [counts[c].eqNullSafe(sums[c]) for c in [*by, "_b"]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    joined = counts.join(sums, cond)
-    return joined.select(
-        *(counts[c] for c in by),
-        "score",
-        "pos",
-        "neg",
-        (F.col("_p0") + F.col("_pc")).alias("tp"),
-        (F.col("_n0") + F.col("_nc")).alias("fp"),
-        "P",
-        "N",
-    )
+        *own, F.col("_b").alias("_gb"), zero("_p").alias("_p0"), zero("_n").alias("_n0"), zero("_k").alias("_k0"),
+        F.sum("_p").over(group).alias("P"), F.sum("_n").over(group).alias("N"), F.sum("_k").over(group).alias("n_scores"),
+    )
+    order = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
+    within = order.rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_pc", F.sum("pos").over(within)).withColumn("_nc", F.sum("neg").over(within)).withColumn("_kc", F.row_number().over(order))
+    cond = F.col("_b") == F.col("_gb")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return counts.join(sums, cond).select(
+        *by, "score", "pos", "neg",
+        (F.col("_p0") + F.col("_pc")).alias("tp"), (F.col("_n0") + F.col("_nc")).alias("fp"), "P", "N",
+        (F.col("_k0") + F.col("_kc")).alias("place"), "n_scores",
+    )
 
 
 def roc_auc(df: DataFrame, by: list[str], score: str = "score", label: str = "y", weight: Column | None = None) -> DataFrame:
@@ -153,6 +154,101 @@ def reliability(df: DataFrame, prob: str = "prob", label: str = "y", bins: int =
     )
 
 
+def grid_f1(df: DataFrame, by: list[str], prob: str, label: str) -> DataFrame:
+    """The best F1 at thresholds 0.01 to 0.99 and the first threshold that gives it.
+
+    Rows are counted by how many thresholds they pass; the table that is cumulated has 100 rows a group.
+    """
+    passed = F.lit(0)
+    for t in range(1, 100):
+        passed = passed + (F.col(prob) >= t / 100.0).cast("int")
+    c = df.groupBy(*by, passed.alias("_t")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    every = c.select(*by).distinct().crossJoin(F.broadcast(df.sparkSession.range(100).select(F.col("id").cast("int").alias("_t"))))
+    c = every.join(c, [*by, "_t"], "left").fillna(0, ["pos", "neg"])
+    above = Window.partitionBy(*by).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).withColumn("P", F.sum("pos").over(Window.partitionBy(*by)))
+    f1 = F.round(F.coalesce(2.0 * F.col("tp") / F.nullif(F.col("P") + F.col("tp") + F.col("fp"), F.lit(0)), F.lit(0.0)), 12)
+    best = c.where("_t > 0").groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("_t")).alias("t"))).alias("b"))
+    return best.select(*by, (-F.col("b.t") / 100).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
+def curve_f1(roc: DataFrame, by: list[str], eps: float = 1e-12) -> DataFrame:
+    """The best F1 on the precision-recall curve; ties go to the lowest threshold, the curve's first point."""
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif(F.col("P"), F.lit(0))
+    f1 = F.round(2 * precision * recall / (precision + recall + eps), 12)
+    best = roc.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("s"))).alias("b"))
+    return best.select(*by, (-F.col("b.s")).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
+def percentile_accuracy(roc: DataFrame, by: list[str], points: int = 100) -> DataFrame:
+    """The most accurate of ``points`` evenly spaced percentiles of the distinct scores; ties go to the lowest."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    cuts = roc.groupBy(*by).agg(F.first("n_scores").alias("_u")).withColumn("_i", at).withColumn("_at", F.col("_i") * (F.col("_u") - 1) / (points - 1))
+    low = roc.select(*by, (F.col("n_scores") - F.col("place")).alias("_lo"), F.col("score").alias("_s"))
+    high = roc.select(*by, (F.col("n_scores") - F.col("place")).alias("_hi"), F.col("score").alias("_t"), "tp", "fp", "P", "N")
+    cuts = cuts.withColumn("_lo", F.floor("_at")).withColumn("_hi", F.ceil("_at")).join(low, [*by, "_lo"]).join(high, [*by, "_hi"])
+    threshold = F.col("_s") + (F.col("_t") - F.col("_s")) * (F.col("_at") - F.col("_lo"))
+    accuracy = F.round((F.col("tp") + F.col("N") - F.col("fp")) / (F.col("P") + F.col("N")), 12)
+    best = cuts.groupBy(*by).agg(F.max(F.struct(accuracy.alias("v"), (-threshold).alias("t"))).alias("b"))
+    return best.select(*by, (-F.col("b.t")).alias("threshold"), F.col("b.v").alias("accuracy"))
+
+
+def level_bundle(df: DataFrame, by: list[str], prob: str = "prob", label: str = "y", threshold: float = 0.5, bins: int = 15) -> DataFrame:
+    """AUC, counts' ratios at the threshold, recall at two false-positive rates, Brier score and ECE per group.
+
+    All of it comes from counts per distinct score, so the rows are read once.
+    """
+    roc = staged(cumulative(score_counts(df, by, prob, label), by), "roc")
+    n = F.col("pos") + F.col("neg")
+    on = F.col("score") >= threshold
+    b = F.floor(F.col("score") * bins)
+    wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
+    part = roc.groupBy(*by).agg(
+        F.max("P").alias("p"), F.max("N").alias("n"), (wins / F.nullif(F.max("P") * F.max("N"), F.lit(0))).alias("auc"),
+        F.coalesce(F.sum(F.when(on, F.col("pos"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(on, F.col("neg"))), F.lit(0)).alias("f"),
+        F.sum(F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow("score", F.lit(2))).alias("sq"),
+    )
+    cells = roc.where(b < bins).groupBy(*by, b.alias("_bin")).agg(F.abs(F.sum(F.col("score") * n) - F.sum("pos")).alias("gap"))
+    gaps = cells.groupBy(*by).agg(F.sum("gap").alias("gap"))
+    recalls = recall_at_fpr(roc, by, [0.05, 0.10])
+    # Without groups each table is one row.
+    out = part.join(gaps, by, "left").join(recalls, by) if by else part.crossJoin(gaps).crossJoin(recalls)
+    total = F.col("p") + F.col("n")
+    ratio = lambda a, c: F.coalesce(a / F.nullif(c, F.lit(0)), F.lit(0.0))
+    return out.select(
+        *by, "auc", ((F.col("t") + F.col("n") - F.col("f")) / total).alias("accuracy"), ratio(F.col("t"), F.col("t") + F.col("f")).alias("precision"),
+        ratio(F.col("t"), F.col("p")).alias("recall"), ratio(2 * F.col("t"), F.col("p") + F.col("t") + F.col("f")).alias("f1"),
+        "recall_at_5", "recall_at_10", (F.col("sq") / total).alias("brier"), (F.coalesce("gap", F.lit(0.0)) / total).alias("ece"),
+        total.alias("n_total"), F.col("p").alias("n_pos"),
+    )
+
+
+def class_auc(ex: DataFrame, cls: str, by: list[str], score: str = "score", label: str = "y") -> DataFrame:
+    """AUC of each class's positives against all negatives of the group (``by``).
+
+    A class's wins are sums over its positives of the negatives below them, so negatives are counted once per score and
+    not copied for each class.
+    """
+    s = F.col(score).cast("double")
+    ok = ex.where(F.col(score).isNotNull() & ~F.isnan(score))
+    roc = cumulative(score_counts(ok, by, score, label), by)
+    own = ok.where((F.col(label) == 1) & F.col(cls).isNotNull()).groupBy(cls, *by, s.alias("score")).agg(F.count("*").alias("_m"))
+    below = F.col("N") - F.col("fp") + F.col("neg") / 2.0
+    joined = own.join(roc.select(*by, "score", below.alias("_below"), "N"), [*by, "score"])
+    total = F.sum("_m") * F.max("N")
+    return joined.groupBy(cls, *by).agg((F.sum(F.col("_m") * F.col("_below")) / F.nullif(total, F.lit(0))).alias("auc"), F.sum("_m").alias("n_pos"), F.max("N").alias("n_neg"))
+
+
+def class_cells(ex: DataFrame, cls: str, group: str, classes: list[str], score: str = "score", label: str = "y") -> DataFrame:
+    """The classes' AUCs in every value of ``group`` and over all ('*'); cells without positives have a NULL."""
+    each = class_auc(ex, cls, [group], score, label)
+    whole = class_auc(ex.withColumn(group, F.lit("*")), cls, [group], score, label)
+    sizes = ex.groupBy(group).agg(F.sum(1 - F.col(label)).alias("_neg")).unionByName(ex.agg(F.sum(1 - F.col(label)).alias("_neg")).select(F.lit("*").alias(group), "_neg"))
+    names = F.explode(F.array(*map(F.lit, classes))).alias(cls)
+    cells = sizes.select(group, "_neg", names).join(each.unionByName(whole), [cls, group], "left")
+    return cells.select(cls, group, "auc", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.col("_neg").alias("n_neg"))
+
+
 def bootstrap_auc(df: DataFrame, unit: str, scores: list[str], label: str, draws: int, seed: int) -> DataFrame:
     """(draw, auc of each score) of Poisson resamples of ``unit``: rows, examples or groups.
 

@@ -12,10 +12,18 @@ def ranked(leads: DataFrame) -> DataFrame:
     return leads.withColumn("pos", F.row_number().over(order))
 
 
-def hits(leads: DataFrame, traces: DataFrame) -> DataFrame:
-    """Lead and trace pairs in one file whose line ranges overlap: an equi-join with a residual."""
-    t = traces.select("repo_id", "file", "trace_id", F.col("start_line").alias("ts"), F.col("end_line").alias("te"), "cwe")
-    return leads.join(t, ["repo_id", "file"]).where((F.col("start_line") <= F.col("te")) & (F.col("end_line") >= F.col("ts")))
+def hits(leads: DataFrame, traces: DataFrame, bucket: int = 256) -> DataFrame:
+    """Lead and trace pairs in one file whose line ranges overlap; malformed ranges hit nothing.
+
+    Ranges are listed in every bucket of lines they touch, so that the pairs of a long file are not all made; a pair is
+    taken in the bucket where the later of the two begins.
+    """
+    covers = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket)))
+    t = traces.select("repo_id", "file", "trace_id", F.col("start_line").alias("ts"), F.col("end_line").alias("te"), "cwe").where("ts <= te")
+    t = t.withColumn("_b", covers("ts", "te"))
+    le = leads.where("start_line <= end_line").withColumn("_b", covers("start_line", "end_line"))
+    both = le.join(t, ["repo_id", "file", "_b"]).where((F.col("start_line") <= F.col("te")) & (F.col("end_line") >= F.col("ts")))
+    return both.where(F.floor(F.greatest("start_line", "ts") / bucket) == F.col("_b")).drop("_b")
 
 
 def retrieval_metrics(leads: DataFrame, traces: DataFrame, ks: list[int]) -> DataFrame:
@@ -37,3 +45,21 @@ def retrieval_metrics(leads: DataFrame, traces: DataFrame, ks: list[int]) -> Dat
         cols.append((zero(f"_t{k}") / F.col("n_traces")).alias(f"trace_recall_at_{k}"))
         cols.append((zero(f"_p{k}") / F.nullif(F.least(F.col("_n"), F.lit(k)), F.lit(0))).alias(f"precision_at_{k}"))
     return out.select("repo_id", "first_hit", *cols)
+
+
+def class_on_hits(leads: DataFrame, traces: DataFrame, ks: list[int]) -> DataFrame:
+    """Of the first k leads that hit a trace with a class, the share naming that class (the first such trace's).
+
+    Leads without a class are left out; NULL where no lead counts.
+    """
+    h = hits(ranked(leads), traces).where(F.col("cwe").isNotNull() & F.col("lead_cwe").isNotNull())
+    first = h.groupBy("repo_id", "pos", "lead_cwe").agg(F.min_by("cwe", "trace_id").alias("cwe"))
+    same = (F.col("lead_cwe") == F.col("cwe")).cast("double")
+    return first.groupBy("repo_id").agg(*[F.avg(F.when(F.col("pos") <= k, same)).alias(f"cwe_at_{k}") for k in ks])
+
+
+def manifest(traces: DataFrame) -> DataFrame:
+    """A row per repository: its files, each with its traces, in order."""
+    trace = F.struct("start_line", "end_line", "cwe", "trace_id")
+    files = traces.groupBy("repo_id", "file").agg(F.sort_array(F.collect_list(trace)).alias("traces"))
+    return files.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("file", "traces"))).alias("files"))

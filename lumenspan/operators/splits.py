@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.scalars import uniform_hash
+from lumenspan.store import broadcast_if_small, staged
 
 
 def group_key(repo: Column, file: Column, func: Column, code: Column) -> Column:
@@ -17,31 +18,116 @@ def group_key(repo: Column, file: Column, func: Column, code: Column) -> Column:
     )
 
 
+def ranked(df: DataFrame, by: list[str], key: Column, tie: str, out: str, buckets: int = 64) -> DataFrame:
+    """Adds ``out``: the row's place from 1 by ``key``, then ``tie``, in its group (``by``; none: in the table).
+
+    Rows are counted by range of the key first, ranges are offset by the sums of those before them, and places are
+    counted inside a range; so a group that holds a large share of all rows, or all, is not put in order in one task.
+    """
+    rows = df.withColumn("_key", key.cast("double"))
+    cuts = rows.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("_key"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_part", part)
+    sums = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = [F.col(c).alias(f"_s{i}") for i, c in enumerate(by)]
+    sums = sums.select(*own, F.col("_part").alias("_p2"), before.alias("_before"))
+    cond = F.col("_part") == F.col("_p2")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key", tie))
+    rows = rows.withColumn("_within", within).join(sums, cond)
+    return rows.select(*df.columns, (F.col("_before") + F.col("_within")).alias(out))
+
+
 def random_split(ex: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
     """A fifth of each label is test."""
-    order = Window.partitionBy("row_label").orderBy(uniform_hash(F.lit(seed), "eid"), "eid")
-    n = F.count("*").over(Window.partitionBy("row_label"))
-    return ex.withColumn("side", F.when(F.row_number().over(order) <= F.round(n * share), "test").otherwise("train"))
+    n = ex.groupBy("row_label").agg(F.count("*").alias("_all"))
+    r = ranked(ex, ["row_label"], uniform_hash(F.lit(seed), "eid"), "eid", "_r").join(n, "row_label")
+    return r.withColumn("side", F.when(F.col("_r") <= F.round(F.col("_all") * share), "test").otherwise("train")).drop("_r", "_all")
+
+
+def _group_places(ex: DataFrame, seed: int) -> DataFrame:
+    """(grp, _r, _all): each group's place by its hash, and how many there are."""
+    groups = staged(ex.select("grp").distinct(), "groups")
+    return ranked(groups, [], uniform_hash(F.lit(seed), "grp"), "grp", "_r").crossJoin(F.broadcast(groups.agg(F.count("*").alias("_all"))))
 
 
 def group_split(ex: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
     """Whole groups are test: max(1, round(share of groups)), in order of their hash."""
-    groups = ex.select("grp").distinct()
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(uniform_hash(F.lit(seed), "grp"), "grp")))
-    most = F.greatest(F.lit(1), F.round(F.lit(share) * F.count("*").over(Window.partitionBy())))
-    side = ranked.select("grp", F.when(F.col("_r") <= most, "test").otherwise("train").alias("side"))
+    most = F.greatest(F.lit(1), F.round(F.lit(share) * F.col("_all")))
+    side = _group_places(ex, seed).select("grp", F.when(F.col("_r") <= most, "test").otherwise("train").alias("side"))
     return ex.join(side, "grp")
 
 
 def group_folds(ex: DataFrame, k: int, seed: int) -> DataFrame:
-    groups = ex.select("grp").distinct()
-    folds = groups.withColumn("fold", F.ntile(k).over(Window.orderBy(uniform_hash(F.lit(seed), "grp"), "grp")))
-    return ex.join(folds, "grp")
+    """Folds of whole groups, of equally many groups; the first ones have one more where they don't come out even."""
+    place, size, more = F.col("_r") - 1, F.floor(F.col("_all") / k), F.col("_all") % k
+    cut = more * (size + 1)
+    fold = F.when(place < cut, F.floor(place / (size + 1))).otherwise(more + F.floor((place - cut) / F.nullif(size, F.lit(0))))
+    return ex.join(_group_places(ex, seed).select("grp", (fold + 1).cast("int").alias("fold")), "grp")
+
+
+def with_validation(ex: DataFrame, seed: int, test_share: float, share: float) -> DataFrame:
+    """``side`` test, val or train: the validation groups are carved out of the training groups, with the next seed."""
+    split = group_split(ex, seed, test_share)
+    inner = group_split(split.where("side = 'train'").drop("side"), seed + 1, share).select("grp", F.col("side").alias("_inner")).distinct()
+    side = F.when(F.col("side") == "test", "test").when(F.col("_inner") == "test", "val").otherwise("train")
+    return split.join(inner, "grp", "left").withColumn("side", side).drop("_inner")
+
+
+def all_splits(ex: DataFrame, seed: int, classes: int) -> DataFrame:
+    """(split_name, eid, row_label, side) of the random, group, held-out class and held-out language splits."""
+    named = lambda df, name: df.select(F.lit(name).alias("split_name"), "eid", "row_label", "side")
+    out = named(random_split(ex, seed), "random").unionByName(named(group_split(ex, seed), "group_repo"))
+    out = out.unionByName(leave_one_out(ex, "cwe", top_classes(ex, classes), "heldout_cwe"))
+    return out.unionByName(leave_one_out(ex, "lang", ex.select("lang").distinct(), "heldout_lang"))
+
+
+def negative_cap(positives: int, most: int = 60_000, each: int = 25, least: int = 2_000) -> int:
+    return min(most, max(each * positives, least))
+
+
+def sampled(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """``n`` rows in order of their hash."""
+    return ranked(rows, [], uniform_hash(F.lit(seed), *keys), keys[-1], "_r").where(F.col("_r") <= n).drop("_r")
+
+
+def masked_negatives(tok: DataFrame) -> DataFrame:
+    """Training rows: all positives, and the negatives that are code."""
+    return tok.where(F.col("is_code") | (F.col("y") == 1))
+
+
+def partition_check(ids: DataFrame, parts: DataFrame) -> DataFrame:
+    """How many ids are in several parts, and how many in none; both are 0 where the parts partition the ids."""
+    n = parts.distinct().groupBy("eid").agg(F.count("*").alias("n"))
+    return ids.join(n, "eid", "left").agg(F.count_if(F.col("n") > 1).alias("in_several"), F.count_if(F.col("n").isNull()).alias("in_none"))
+
+
+def decoys(positives: DataFrame, negatives: DataFrame, k: int, seed: int) -> DataFrame:
+    """(eid, decoy, place): up to ``k`` negatives of a positive's language, each of another group than the rest and its own.
+
+    The groups of a language are put in a ring by their hash; a positive takes the k groups after a place of its own in
+    the ring (its own group left out), and from each a negative by a hash.  No positive meets more than k negatives.
+    """
+    neg = ranked(negatives.select("lang", "grp", F.col("eid").alias("decoy")), ["lang", "grp"], F.col("decoy").cast("double"), "decoy", "_at")
+    groups = negatives.groupBy("lang", "grp").agg(F.count("*").alias("_size"))
+    groups = staged(ranked(groups, ["lang"], uniform_hash(F.lit(seed), "grp"), "grp", "_g").withColumn("_g", F.col("_g") - 1), "group-ring")
+    rings = groups.groupBy("lang").agg(F.count("*").alias("_ring"))
+    p = positives.select("eid", "lang", "grp").join(rings, "lang").join(groups.select("lang", "grp", "_g"), ["lang", "grp"], "left")
+    p = p.withColumn("_g", F.coalesce("_g", F.lit(0))).where("_ring > 1")
+    start = F.floor(uniform_hash(F.lit(seed), "eid") * (F.col("_ring") - 1))
+    p = p.select("eid", "lang", "_ring", "_g", start.alias("_start"), F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_ring") - 1))).alias("place"))
+    p = p.withColumn("_g", (F.col("_g") + 1 + (F.col("_start") + F.col("place")) % (F.col("_ring") - 1)) % F.col("_ring"))
+    p = p.join(groups.withColumnRenamed("grp", "_other"), ["lang", "_g"])
+    p = p.withColumn("_at", F.floor(uniform_hash(F.lit(seed), "eid", "place") * F.col("_size")) + 1)
+    return p.join(neg.withColumnRenamed("grp", "_other"), ["lang", "_other", "_at"]).select("eid", "decoy", "place")
 
 
 def leave_one_out(ex: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
     """For each held-out value its rows are test and all others, NULL included, train; one-sided splits go."""
-    v = F.broadcast(values.select(F.col(column).alias("held")))
+    v = broadcast_if_small(values.select(F.col(column).alias("held")))
     rows = ex.crossJoin(v).withColumn("side", F.when(F.col(column).eqNullSafe(F.col("held")), "test").otherwise("train"))
     return rows.select(F.concat(F.lit(name + "::"), "held").alias("split_name"), "eid", "row_label", "side")
 

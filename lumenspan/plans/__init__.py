@@ -1,6 +1,10 @@
 """Registered queries of the analytics operators and the SQL they are checked with."""
 
-from lumenspan.plans.oracle import ORACLE_SQL
-from lumenspan.plans.queries import QUERIES, flagship
+from lumenspan.plans import metric_queries, report_queries, text_queries  # noqa: F401  they register their queries
+from lumenspan.plans import oracle, queries, registry
+from lumenspan.plans.queries import flagship
+
+QUERIES = {**queries.QUERIES, **registry.QUERIES}
+ORACLE_SQL = {**oracle.ORACLE_SQL, **registry.ORACLE_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -143,12 +143,13 @@ def j6_adjacent_pairs(v):
 @query
 def j13_span_meets_live(v):
     # An example is subtractive if one of its tight spans meets one of its live ranges.
-    span = v.spans.where("key = 'sink'").groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("tight"))
-    live = I.merge_spans(v.spans.where("key = 'evidence'").select("eid", "s", "e"), ["eid"])
-    live = live.groupBy("eid").agg(F.collect_list(F.struct("s", "e")).alias("live"))
-    x = v.ex.select("eid").join(span, "eid", "left").join(live, "eid", "left")
-    meets = F.exists("tight", lambda t: F.exists("live", lambda r: (t["s"] < r["e"]) & (t["e"] > r["s"])))
-    return x.select("eid", F.coalesce(F.when(F.col("live").isNull(), F.size("tight") > 0).otherwise(meets), F.lit(False)).alias("subtractive"))
+    tight, live = (v.spans.where(F.col("key") == k).select("eid", "s", "e") for k in ("sink", "evidence"))
+    met = I.meets(tight, live).withColumn("_meets", F.lit(True))
+    has = lambda rows, c: rows.select("eid").distinct().withColumn(c, F.lit(True))
+    x = v.ex.select("eid").join(met, "eid", "left").join(has(tight, "_tight"), "eid", "left").join(has(live, "_live"), "eid", "left")
+    # Without live ranges any tight span will do.
+    found = F.when(F.col("_live").isNull(), F.col("_tight")).otherwise(F.col("_meets"))
+    return x.select("eid", F.coalesce(found, F.lit(False)).alias("subtractive"))
 
 
 @query
@@ -342,12 +343,10 @@ def a16_span_max(v):
 @query
 def a17_slice_auc(v):
     x = example_scores(v)
-    classes = x.where("cwe is not null").select("cwe").distinct()
-    # A class's slice is its positives and all negatives.
-    fan = x.where("y = 0").crossJoin(F.broadcast(classes.withColumnRenamed("cwe", "slice"))).select("slice", "score", "y")
-    own = x.where("y = 1").select(F.col("cwe").alias("slice"), "score", "y")
+    # A class's slice is its positives and all negatives, which are counted once.
+    own = R.class_auc(x.withColumnRenamed("cwe", "slice"), "slice", [])
     every = x.select(F.lit("all").alias("slice"), "score", "y").unionByName(x.select(F.concat(F.lit("lang::"), "lang").alias("slice"), "score", "y"))
-    return R.roc_auc(own.unionByName(fan).unionByName(every), ["slice"]).select("slice", *r6("auc"), "n_pos", "n_neg")
+    return own.unionByName(R.roc_auc(every, ["slice"])).select("slice", *r6("auc"), "n_pos", "n_neg")
 
 
 @query
@@ -365,12 +364,9 @@ def a19_pair_accuracy(v):
 def a20_transfer_blocks(v):
     # Probes of one label against the rest, tested on every label's vectors against those of label 9.
     a = v.acts.select("vec_id", "x", "label")
-    classes = a.select(F.col("label").alias("train")).distinct().where("train < 9")
-    train = a.crossJoin(F.broadcast(classes)).select("train", "x", (F.col("label") == F.col("train")).cast("int").alias("y"))
-    scored = transfer.score_all(a, transfer.centroid_probe(train, ["train"]))
-    tests = F.broadcast(classes.withColumnRenamed("train", "test"))
-    cells = scored.join(tests, (F.col("label") == F.col("test")) | (F.col("label") == 9)).select("train", "test", "score", (F.col("label") != 9).cast("int").alias("y"))
-    m = R.roc_auc(cells.withColumn("score", F.round("score", 9)), ["train", "test"])
+    probes = transfer.rest_probes(a, "label").where("label < 9").withColumnRenamed("label", "train")
+    scored = transfer.score_all(a, probes).withColumn("score", F.round("score", 9)).withColumn("y", (F.col("label") != 9).cast("int"))
+    m = R.class_auc(scored.withColumn("test", F.when(F.col("label") != 9, F.col("label"))), "test", ["train"])
     fam = lambda c: F.when(F.col(c) < 4, "low").otherwise("high")
     m = m.select("train", "test", "auc", F.col("n_pos").alias("n"), fam("train").alias("train_family"), fam("test").alias("test_family"))
     return transfer.block_means(m).select("train_family", "test_family", *r6("mean_all", "mean_off_diagonal"))
@@ -409,24 +405,6 @@ def a33_paired_bootstrap(v):
     return R.interval(d, "delta").select(*r6("mean", "lo", "hi"), "n_draws")
 
 
-#: Draws of the reference's intervals.  The two queries above take fewer, as their SQL does.
-N_BOOT = 1000
-
-
-@query
-def a30_clustered_interval(v):
-    d = R.bootstrap_auc(v.tok_scores.where("is_test"), "eid", ["logit"], "y", N_BOOT, 7)
-    return R.interval(d, "logit").select(*r6("mean", "lo", "hi"), "n_draws")
-
-
-@query
-def a33_paired_interval(v):
-    t = v.tok_scores.where("is_test").withColumn("other", F.length("word").cast("double"))
-    d = R.bootstrap_auc(t, "eid", ["logit", "other"], "y", N_BOOT, 11).withColumn("delta", F.col("logit") - F.col("other"))
-    without_0 = (F.col("lo") > 0) | (F.col("hi") < 0)
-    return R.interval(d, "delta").select(*r6("mean", "lo", "hi", "above_0"), without_0.alias("excludes_0"), "n_draws")
-
-
 @query
 def a36_wilson(v):
     z = 1.96

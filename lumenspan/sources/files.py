@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenspan.store import new_path, staged
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a given schema; blank lines are skipped, broken ones fail."""
@@ -36,3 +38,45 @@ def row_violations(rows: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(~ok, F.lit(rule)) for rule, ok in checks.items()]))
     return rows.select("eid", F.explode(broken).alias("rule"))
+
+
+def written_jsonl(df: DataFrame) -> str:
+    """Writes rows as JSON lines into the shared folder and gives the path."""
+    path = new_path(df.sparkSession, "jsonl")
+    df.write.json(path)
+    return path
+
+
+def numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with ``row``: the number of the line among all that aren't blank, by file and place in the file.
+
+    Lines are numbered within the parts that files are read in; parts are offset by the counts of those before them.
+    Lines that are no JSON object of the schema fail.
+    """
+    # Text files are split by line feeds in whole parts, each read by one task in order.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    lines = staged(lines.where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id()), "lines")
+    parts = lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # One row per part.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lines.join(parts.select("f", "b", (before - F.col("first")).alias("shift")), ["f", "b"])
+    parsed = F.from_json("value", F.lit(schema), {"mode": "FAILFAST"})
+    return rows.select((F.col("at") + F.col("shift")).alias("row"), parsed.alias("r")).select("row", "r.*")
+
+
+def projected_jsonl(spark: SparkSession, path: str, key: str, texts: list[str]) -> DataFrame:
+    """Only the key and some text columns; a missing text is the empty one; a table without rows fails."""
+    rows = read_jsonl(spark, path, ", ".join([key, *(f"{t} string" for t in texts)]))
+    if rows.limit(1).count() == 0:
+        raise ValueError(f"no rows in {path}")
+    return rows.select(key.split()[0], *(F.coalesce(t, F.lit("")).alias(t) for t in texts))
+
+
+def not_done(asked: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """What a resumed job still has to do."""
+    return asked.join(done, keys, "left_anti")
+
+
+def stored_probe(probe: DataFrame) -> DataFrame:
+    """A fitted probe (layer, w, b) written as a table and read again, as a later job would."""
+    return staged(probe, "probe")

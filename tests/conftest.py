@@ -1,18 +1,14 @@
 import os
-import sys
-from pathlib import Path
 
 import pytest
 
-ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(pytestconfig):
     from lumenspan.session import local_session
 
+    # Python workers import the package from the repository.
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(pytestconfig.rootpath), os.environ.get("PYTHONPATH")]))
     session = local_session(cores=4, partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -68,7 +68,7 @@ def test_hashed_ngrams_of_each_document(spark, tmp_path):
     from collections import Counter
 
     from lumenspan.operators.ngrams import text_buckets
-    from lumenspan.plans.queries import QUERIES
+    from lumenspan.plans import QUERIES
 
     texts = [None, "", "ab", "abc", "Abcabc  abcd", "日本語の文", "x" * 50, *(f"text {i} of many" for i in range(60))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -87,9 +87,9 @@ def test_hashed_ngrams_of_each_document(spark, tmp_path):
 def test_bootstrap_intervals_of_1000_draws(spark, tmp_path):
     import numpy as np
 
-    from lumenspan.functions.scalars import poisson_weight, uniform_hash
+    from lumenspan.operators.resampling import draw_weights
     from lumenspan.plans.fixtures import Views
-    from lumenspan.plans.queries import QUERIES
+    from lumenspan.plans import QUERIES
 
     texts = [" ".join("w" * (1 + (i * 5 + j * j * 3 + i * j) % 13) for j in range(6)) for i in range(60)]
     rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
@@ -99,9 +99,9 @@ def test_bootstrap_intervals_of_1000_draws(spark, tmp_path):
 
     def draws(seed, names):
         units = spark.createDataFrame([(i,) for i in range(0, 60, 5)], "eid long")
-        grid = units.crossJoin(spark.range(1000).withColumnRenamed("id", "draw"))
-        grid = grid.select("eid", "draw", poisson_weight(uniform_hash(F.lit(seed), "draw", "eid")).alias("w")).collect()
-        weight = {(r["draw"], r["eid"]): r["w"] for r in grid}
+        keys = {r["eid"]: r["h"] for r in units.select("eid", F.xxhash64("eid").alias("h")).collect()}
+        w = draw_weights(np.array(list(keys.values())).view(np.uint64), 1000, seed)
+        weight = {(d, e): w[i, d] for i, e in enumerate(keys) for d in range(1000)}
         y = tokens["y"].to_numpy()
         for d in range(1000):
             w = np.array([weight[d, e] for e in tokens["eid"]], float)
