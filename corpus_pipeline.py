@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences: rules, classifier, near copies, benchmark leaks, packing.
 
 Every stage works on what the one before it kept and is written as Parquet before the next one reads it.
+
+Cases, the same for all stages: a null or empty text fails the rules and goes there.  Rows with a null doc_id can't be
+named by a later stage: they stay unless the rules reject them.  Rows that share a doc_id go together in the classifier
+and the leak stages if one of them is rejected; of those that are left the near-copy stage keeps one.  Ties between
+copies go to the smallest doc_id.  Empty tables give empty results; without labels the classifier rejects nothing, and
+without a benchmark nothing leaks.  Columns other than those of documents are left behind by the first stage, so extra
+ones can't clash with what the stages add.
 """
 
 from __future__ import annotations
@@ -60,8 +67,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: SQL can't express the classifier, the decontamination or the packing.  Tests run the classifier and near-copy stages
-#: on small cases and the operators of the others; no test runs all stages against brute force.
+#: SQL can't express the classifier, the decontamination or the packing.  Tests run every stage on a small table whose
+#: copies, leaks and bad documents are known, and compare the packed pieces with the tokenizer's ids.
 ORACLE_SQL = None
 
 
