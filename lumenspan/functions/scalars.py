@@ -100,3 +100,9 @@ def standardised(acts: DataFrame, by: list[str]) -> DataFrame:
     # One row per group and as many numbers as a vector has.
     stats = dims.groupBy(*by).agg(packed.alias("_s"))
     return acts.join(stats, by).withColumn("z", F.zip_with("x", "_s", lambda v, s: (v - s["mu"]) / s["sd"])).drop("_s")
+
+
+def json_row(df: DataFrame) -> DataFrame:
+    """(json): every row as a JSON object; numbers that are none become null."""
+    clean = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+    return df.select(F.to_json(F.struct(*clean)).alias("json"))

@@ -7,6 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumenspan.functions.text import common_prefix, whole_lines
+from lumenspan.operators.intervals import merge_spans
 
 #: Longer texts are compared line by line, and texts of more lines count as changed in whole.
 MOST_CHARS, MOST_LINES = 6000, 4000
@@ -41,3 +45,21 @@ def diff_spans(pairs: DataFrame, key: str) -> DataFrame:
 
     rows = pairs.selectExpr(f"cast(`{key}` as long) as `{key}`", "before", "after")
     return rows.mapInArrow(run, f"`{key}` long, spans array<struct<s: long, e: long>>, how string")
+
+
+def blamed_lines(pairs: DataFrame) -> DataFrame:
+    """(eid, before, after) -> (eid, s, e, how): whole lines of ``before`` that its fix changes.
+
+    Ranges that are replaced or deleted, grown to lines and merged; without any, the line where the fix inserts, which
+    is where the texts' common beginning ends; the whole text where that is empty.
+    """
+    found = diff_spans(pairs, "eid").select("eid", F.explode("spans").alias("r")).select("eid", "r.s", "r.e").where("s < e")
+    s, e = whole_lines("before", "s", "e")
+    own = found.join(pairs.select("eid", "before"), "eid").select("eid", s.cast("long").alias("s"), e.cast("long").alias("e"))
+    own = merge_spans(own, ["eid"]).select("eid", "s", "e", F.lit("deleted").alias("how"))
+    rest = pairs.join(found.select("eid").distinct(), "eid", "left_anti")
+    rest = rest.withColumn("s", F.greatest(F.lit(0), F.least(common_prefix(F.col("before"), F.col("after")), F.length("before") - 1))).withColumn("e", F.col("s") + 1)
+    empty = F.length("before") == 0
+    start, end = F.when(empty, 0).otherwise(s), F.when(empty, F.length("before")).otherwise(e)
+    how = F.when(empty, "whole").otherwise("inserted")
+    return own.unionByName(rest.select("eid", start.cast("long").alias("s"), end.cast("long").alias("e"), how.alias("how")))

@@ -60,3 +60,15 @@ def last_before(points: DataFrame, starts: DataFrame, by: str) -> DataFrame:
     order = Window.partitionBy(by).orderBy("at", "_k").rowsBetween(Window.unboundedPreceding, 0)
     rows = s.unionByName(p).withColumn("value", F.last("value", True).over(order))
     return rows.where("_k = 1").select(by, "point", "at", "value")
+
+
+def excerpts(ex: DataFrame, spans: DataFrame, around: int = 2) -> DataFrame:
+    """(eid, s, e, excerpt): the lines of a span and some around it, numbered, the span between « and »."""
+    marked = F.concat(F.substring("code", F.lit(1), F.col("s").cast("int")), F.lit("«"), F.expr("substring(code, cast(s + 1 as int), cast(e - s as int))"), F.lit("»"), F.expr("substring(code, cast(e + 1 as int))"))
+    rows = spans.join(ex, "eid").withColumn("_l", F.split(marked, "\n"))
+    first = F.array_position(F.transform("_l", lambda x: F.contains(x, F.lit("«"))), True)
+    last = F.array_position(F.transform("_l", lambda x: F.contains(x, F.lit("»"))), True)
+    rows = rows.withColumn("_a", F.greatest(F.lit(1), first - around)).withColumn("_z", F.least(F.size("_l"), last + around))
+    own = F.slice("_l", F.col("_a").cast("int"), (F.col("_z") - F.col("_a") + 1).cast("int"))
+    text = F.array_join(F.transform(own, lambda x, i: F.concat(F.lpad((F.col("_a") + i).cast("string"), 5, " "), F.lit(" | "), x)), "\n")
+    return rows.select("eid", "s", "e", text.alias("excerpt"))

@@ -175,3 +175,16 @@ def steering_verdict(cells: DataFrame) -> DataFrame:
     m, n, r = (F.col(c) for c in ("memory", "negative", "random"))
     verdict = F.when(m <= 0, "no effect").when((m > n) & (m > r), "specific").otherwise("unspecific")
     return one.select("memory", (m - n).alias("over_negative"), (m - r).alias("over_random"), verdict.alias("verdict"))
+
+
+def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """The ends of Wilson's interval for a share."""
+    centre, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return (centre - half) / (1 + z * z / n), (centre + half) / (1 + z * z / n)
+
+
+def pooled_shares(cells: DataFrame, by: list[str], share: str, n: str) -> DataFrame:
+    """Shares turned back into whole counts, summed, with the interval of the pooled share."""
+    t = cells.groupBy(*by).agg((F.sum(F.round(F.col(share) * F.col(n))) / F.sum(n)).alias("pooled"), F.sum(n).cast("double").alias("_n"))
+    lo, hi = wilson(F.col("pooled"), F.col("_n"))
+    return t.select(*by, "pooled", lo.alias("lo"), hi.alias("hi"))

@@ -438,12 +438,12 @@ def x7_validation_carve(v):
 
 
 @query(SQL + f""", t AS (SELECT eid, tok, y FROM tok_scores), k AS (SELECT least(60000, greatest(25 * count(*) FILTER (y = 1), 2000)) AS cap FROM t),
-n AS (SELECT eid, tok, row_number() OVER (ORDER BY {hashed('5', 'eid', 'tok')}, eid, tok) AS i FROM t WHERE y = 0 AND eid % 3 = 0)
-SELECT eid, count(*) AS n FROM n, k WHERE i <= least(cap, 900) GROUP BY eid""")
+n AS (SELECT eid, tok, row_number() OVER (ORDER BY {hashed('5', 'eid', 'tok')}, eid, tok) AS i FROM t WHERE y = 0)
+SELECT eid, count(*) AS n FROM n, k WHERE i <= cap GROUP BY eid""")
 def x10_sampled_negatives(v):
     t = v.tok_scores.select("eid", "tok", "y")
-    cap = min(X.negative_cap(t.agg(F.sum("y")).first()[0] or 0), 900)
-    return X.sampled(t.where("y = 0 and eid % 3 = 0"), cap, 5, ["eid", "tok"]).groupBy("eid").agg(F.count("*").alias("n"))
+    cap = X.negative_cap(t.agg(F.sum("y")).first()[0] or 0)
+    return X.sampled(t.where("y = 0"), cap, 5, ["eid", "tok"]).groupBy("eid").agg(F.count("*").alias("n"))
 
 
 @query(SQL + "SELECT eid, count(*) AS n, count(*) FILTER (y = 1) AS n_pos FROM tok_scores WHERE is_code OR y = 1 GROUP BY eid")

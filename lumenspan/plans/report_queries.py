@@ -22,7 +22,8 @@ from lumenspan.plans.fixtures import SQL
 from lumenspan.plans.metric_queries import _SIDES, BUNDLE, N_BOOT, example_scores
 from lumenspan.plans.oracle import ROC, TOKENS, hashed, src
 from lumenspan.plans.registry import longs, query, r6
-from lumenspan.store import staged
+from lumenspan.sources import files
+from lumenspan.store import new_path, staged
 
 # baselines and fitted probes
 
@@ -362,3 +363,66 @@ def p9_all_contexts(v):
     return v.tok.select("eid", "tok", "cs", "ce").join(x, "eid").select("eid", F.col("tok").cast("long").alias("tok"), F.md5(context).alias("context"))
 
 
+
+
+@query(src("""SELECT layer AS grp, score, y, 1 AS w FROM (WITH d AS (SELECT vec_id, layer, y, unnest(range(64)) AS i, unnest(x) AS v FROM acts), wv AS (SELECT layer, i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS w FROM d WHERE (vec_id // 12) % 5 <> 0 GROUP BY 1, 2),
+t AS (SELECT layer, vec_id, any_value(y) AS y, round(sum(v * w), 9) AS score FROM d JOIN wv USING (layer, i) WHERE (vec_id // 12) % 5 = 0 GROUP BY 1, 2) SELECT layer, vec_id // 12 AS eid, max(y) AS y, max(score) AS score FROM t GROUP BY 1, 2)""")
+    + "SELECT grp AS layer, round(auc, 6) AS auc, n_pos, n_neg, row_number() OVER (ORDER BY round(coalesce(auc, -1), 9) DESC, grp) = 1 AS best FROM auc")
+def c4_cross_model(v):
+    """A probe per layer fitted on the training groups; examples' highest scores on the others; the best layer."""
+    a = v.acts.withColumn("eid", F.floor(F.col("vec_id") / 12))
+    probes = transfer.centroid_probe(a.where("eid % 5 <> 0"), ["layer"])
+    scored = a.where("eid % 5 = 0").join(F.broadcast(probes), "layer").withColumn("score", F.round(S.dot(F.col("x"), F.col("w")), 9))
+    top = scored.groupBy("layer", "eid").agg(F.max("score").alias("score"), F.max("y").alias("y"))
+    auc = staged(R.roc_auc(top, ["layer"]), "layers").withColumn("rounded", F.round("auc", 9))
+    best = Z.best_of(auc.withColumn("all", F.lit(1)), ["all"], "rounded", "layer").select("layer", F.lit(True).alias("best"))
+    return auc.join(best, "layer", "left").select("layer", *r6("auc"), *longs("n_pos", "n_neg"), F.coalesce("best", F.lit(False)).alias("best"))
+
+
+@query(src("SELECT {'lang': lang, 'level': level} AS grp, round(logit, 9) AS score, y, 1 AS w FROM (SELECT lang, 'all' AS level, logit, y FROM tok_scores UNION ALL SELECT lang, 'live', logit, y FROM tok_scores WHERE is_code UNION ALL SELECT any_value(lang), 'examples', max(logit), max(y) FROM tok_scores GROUP BY eid)") + "SELECT grp.lang AS lang, grp.level AS level, round(auc, 6) AS auc, n_pos, n_neg FROM auc")
+def c5_logit_dump(v):
+    """Token logits dumped by language; AUCs over all tokens, live ones, and examples' highest, from the dump."""
+    path = new_path(v.spark, "logits")
+    files.write_dump(v.tok_scores.select("eid", "tok", "logit", "y", "is_code", "lang"), path, ["lang"])
+    t = v.spark.read.parquet(path).withColumn("logit", F.round("logit", 9))
+    level = lambda df, name: df.select("lang", F.lit(name).alias("level"), "logit", "y")
+    top = t.groupBy("eid").agg(F.first("lang").alias("lang"), F.max("logit").alias("logit"), F.max("y").alias("y"))
+    rows = level(t, "all").unionByName(level(t.where("is_code"), "live")).unionByName(level(top, "examples"))
+    return R.roc_auc(rows, ["lang", "level"], "logit").select("lang", "level", *r6("auc"), *longs("n_pos", "n_neg"))
+
+
+@query()
+def c10_surface_designs(v):
+    """Regressions on surface features only, one per design, with a group-wise interval over the test side."""
+    text = F.col("code")
+    designs = {
+        "length": [F.log1p(F.length(text).cast("double"))],
+        "lexicon": [F.log1p(T.count_of(text, T.lexicon_pattern(w)).cast("double")) for w in T.LEXICON.values()],
+        "marks": [F.regexp_count(text, F.lit(p)) / (1.0 + F.length(text)) for p in (r"[.,;]", r"[A-Z]", r"[#*$%&|<>]", r"[0-9]")],
+        "language": [(F.col("lang") == c).cast("double") for c in ("de", "en", "es", "fr")],
+    }
+    x = X.group_split(v.ex.select("eid", "code", "lang", "row_label", "grp"), 42)
+    x = staged(x.select("eid", "grp", "side", F.col("row_label").alias("y"), *[F.array(*c).alias(f"x_{n}") for n, c in designs.items()]), "designs")
+    out = None
+    for name in designs:
+        rows = x.select("eid", "grp", "side", "y", F.col(f"x_{name}").alias("x"))
+        model = M.fit_logistic(rows.where("side = 'train'"))
+        if model is None:
+            continue
+        test = rows.where("side = 'test'").withColumn("score", M.linear(F.col("x"), model))
+        ci = B.interval(B.resampled_auc(test, ["eid"], "score", "y", N_BOOT, 7)).select("lo", "hi")
+        one = R.roc_auc(test, []).crossJoin(ci).select(F.lit(name).alias("design"), *r6("auc", "lo", "hi"), *longs("n_pos", "n_neg"))
+        out = one if out is None else out.unionByName(one)
+    return v.spark.createDataFrame([], "design string, auc double, lo double, hi double, n_pos long, n_neg long") if out is None else out
+
+
+@query(SQL + """, p AS (SELECT split_part(grp, '::', 2) AS lang, avg(CASE WHEN a.score > b.score THEN 1.0 ELSE 0 END) AS v, count(*) AS n FROM pairs JOIN exs a ON a.eid = vuln_eid JOIN exs b ON b.eid = safe_eid GROUP BY grp),
+t AS (SELECT lang, sum(round(v * n)) / sum(n) AS p, CAST(sum(n) AS DOUBLE) AS n FROM p GROUP BY lang)
+SELECT lang, round(p, 6) AS pooled, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS lo, round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS hi FROM t""")
+def a36_pooled_pairs(v):
+    """Pair accuracies of groups pooled as counts, with Wilson's interval."""
+    s = example_scores(v).select("eid", "score")
+    p = v.pairs.join(s.select(F.col("eid").alias("vuln_eid"), F.col("score").alias("a")), "vuln_eid").join(s.select(F.col("eid").alias("safe_eid"), F.col("score").alias("b")), "safe_eid")
+    each = p.groupBy("grp").agg(F.avg((F.col("a") > F.col("b")).cast("double")).alias("v"), F.count("*").alias("n"))
+    pooled = Z.pooled_shares(each.withColumn("lang", F.split("grp", "::")[1]), ["lang"], "v", "n")
+    return pooled.select("lang", *r6("pooled", "lo", "hi"))

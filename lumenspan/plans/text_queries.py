@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.functions import text as T
+from lumenspan.operators import diffs
 from lumenspan.operators import intervals as I
 from lumenspan.operators import labels as L
 from lumenspan.operators import lines as N
 from lumenspan.operators import ngrams
 from lumenspan.plans.fixtures import SQL
 from lumenspan.plans.registry import longs, query, r6
+from lumenspan.sources import files
+from lumenspan.store import new_path
 
 
 def _quoted(pattern: str) -> str:
@@ -65,10 +68,10 @@ def f12_whole_lines(v):
 
 
 @query(SQL + """, p AS (SELECT p.grp, p.rn, a.code AS a, b.code AS b FROM pairs p JOIN ex a ON a.eid = vuln_eid JOIN ex b ON b.eid = safe_eid),
-z AS (SELECT *, list_position(list_transform(range(1, greatest(length(a), length(b)) + 1), lambda i: coalesce(substr(a, i, 1) = substr(b, i, 1) AND i <= least(length(a), length(b)), FALSE)), FALSE) AS k FROM (SELECT grp, rn, substr(a, 1, 400) AS a, substr(b, 1, 400) AS b FROM p))
-SELECT grp, CAST(rn AS BIGINT) AS rn, CAST(CASE WHEN coalesce(k, 0) = 0 THEN least(length(a), length(b)) ELSE k - 1 END AS BIGINT) AS shared FROM z""")
+z AS (SELECT grp, rn, length(a) AS la, length(b) AS lb, list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: coalesce(z[1] = z[2], FALSE)), FALSE) AS k FROM p)
+SELECT grp, CAST(rn AS BIGINT) AS rn, CAST(CASE WHEN coalesce(k, 0) = 0 THEN least(la, lb) ELSE k - 1 END AS BIGINT) AS shared FROM z""")
 def f13_common_prefix(v):
-    x = v.ex.select("eid", F.substring("code", 1, 400).alias("code"))
+    x = v.ex.select("eid", "code")
     p = v.pairs.join(x.select(F.col("eid").alias("vuln_eid"), F.col("code").alias("a")), "vuln_eid")
     p = p.join(x.select(F.col("eid").alias("safe_eid"), F.col("code").alias("b")), "safe_eid")
     return p.select("grp", *longs("rn"), T.common_prefix(F.col("a"), F.col("b")).cast("long").alias("shared"))
@@ -243,9 +246,9 @@ def c3_token_labels(v):
     return L.token_labels(t, own).groupBy("eid").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_pos"), F.count_if("in_span").alias("n_in"))
 
 
-@query(SQL + """SELECT eid, CASE WHEN lo IS NULL THEN 'n/a' ELSE format('{:.3f}', lo) END AS shown FROM (SELECT eid, min(score) AS lo FROM member_scores WHERE eid % 3 = 0 OR member = 1 GROUP BY eid)""")
+@query(SQL + """SELECT eid, CASE WHEN lo IS NULL THEN 'n/a' ELSE format('{:.3f}', lo) END AS shown FROM (SELECT eid, min(CASE WHEN eid % 3 = 0 OR member = 1 THEN score END) AS lo FROM member_scores GROUP BY eid)""")
 def f25_fixed_numbers(v):
-    m = v.member_scores.where("eid % 3 = 0 or member = 1").groupBy("eid").agg(F.min("score").alias("lo"))
+    m = v.member_scores.groupBy("eid").agg(F.min(F.when((F.col("eid") % 3 == 0) | (F.col("member") == 1), F.col("score"))).alias("lo"))
     return m.select("eid", T.fixed_or_na(F.col("lo")).alias("shown"))
 
 
@@ -292,3 +295,56 @@ def f9_platt_loss(v):
     t = t.withColumn("l", S.bce_with_logits(F.col("z"), F.col("y"))).withColumn("w", F.when(F.col("y") == 1, 3.0).otherwise(1.0))
     weighted = F.sum(F.col("w") * F.col("l")) / F.sum("w")
     return t.groupBy("eid").agg(F.round(F.avg("p"), 6).alias("prob"), F.round(F.avg("l"), 6).alias("nll"), F.round(weighted, 6).alias("weighted"))
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 <> 0 THEN round(value, 6) END AS value FROM events")
+def f24_json_rows(v):
+    """Rows to JSON and back; a NaN becomes null."""
+    value = F.when(F.col("event_id") % 7 != 0, F.round("value", 6)).otherwise(F.lit(float("nan")))
+    e = v.table("events").select("event_id", "user_id", "event_type", value.alias("value"))
+    j = S.json_row(e)
+    return j.select(F.from_json("json", F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields))).alias("r")).select("r.*")
+
+
+@query(SQL + """SELECT repo_id, lead_id, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(rank, 1000000000), lead_id) AS pos FROM leads""")
+def s3_leads_scan(v):
+    """Leads written as JSON lines and scanned in order of their rank; a repository without a file has no leads."""
+    path = files.written_jsonl(v.leads.select("repo_id", "lead_id", "rank"))
+    there = files.scanned_leads(v.spark, path, "repo_id string, lead_id long, rank long")
+    none = files.scanned_leads(v.spark, path + "-missing", "repo_id string, lead_id long, rank long")
+    return there.unionByName(none).select("repo_id", "lead_id", *longs("pos"))
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE lang = 'de' GROUP BY lang")
+def s13_partitioned_dump(v):
+    """Documents dumped by language; one language is read from its own folder."""
+    path = new_path(v.spark, "dump")
+    d = v.table("documents").select("doc_id", "lang", "n_chars")
+    files.write_dump(d, path, ["lang"])
+    files.write_dump(d.limit(0), path, ["lang"])
+    return v.spark.read.parquet(path).where("lang = 'de'").groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query(SQL + """, k AS (SELECT s.eid, s.key, s.s - CASE WHEN s.s % 17 = 0 THEN 1 ELSE 0 END AS s, s.e + CASE WHEN s.s % 19 = 0 THEN 5 ELSE 0 END AS e, length(x.code) AS n FROM spans s JOIN ex x USING (eid)),
+o AS (SELECT *, lag(e) OVER (PARTITION BY eid, key ORDER BY s, e) AS b FROM k)
+SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN s < 0 THEN 'starts before the text' END, CASE WHEN e > n THEN 'ends after the text' END, CASE WHEN e < s THEN 'ends before it starts' END, CASE WHEN b > s THEN 'overlaps one of its kind' END], lambda x: x IS NOT NULL)) AS rule FROM o) GROUP BY rule""")
+def s18_span_violations(v):
+    s = v.spans.select("eid", "key", (F.col("s") - (F.col("s") % 17 == 0).cast("int")).alias("s"), (F.col("e") + F.when(F.col("s") % 19 == 0, 5).otherwise(0)).alias("e"))
+    return files.span_violations(v.ex.select("eid", "code"), s).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def f18_excerpts(v):
+    """Lines around each long word, numbered, with the word marked."""
+    s = v.spans.where("key = 'sink'").select("eid", "s", "e")
+    return N.excerpts(v.ex.select("eid", "code"), s, around=1).select("eid", *longs("s", "e"), "excerpt")
+
+
+@query()
+def f15_changed_lines(v):
+    """Per pair the lines of the vulnerable text to blame: deleted ranges, else where the fix inserts, else all of it."""
+    x = v.ex.select("eid", "code")
+    p = v.pairs.join(x.select(F.col("eid").alias("vuln_eid"), F.col("code").alias("before")), "vuln_eid")
+    p = p.join(x.select(F.col("eid").alias("safe_eid"), F.col("code").alias("after")), "safe_eid")
+    b = diffs.blamed_lines(p.select(F.col("vuln_eid").alias("eid"), "before", "after"))
+    return b.groupBy("eid", "how").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).cast("long").alias("chars"))

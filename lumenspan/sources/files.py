@@ -80,3 +80,26 @@ def not_done(asked: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def stored_probe(probe: DataFrame) -> DataFrame:
     """A fitted probe (layer, w, b) written as a table and read again, as a later job would."""
     return staged(probe, "probe")
+
+
+def scanned_leads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Leads with their position ``pos`` in their repository: by rank, those without one last; a missing path has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    rows = read_jsonl(spark, path, schema) if there else spark.createDataFrame([], schema)
+    order = Window.partitionBy("repo_id").orderBy(F.coalesce("rank", F.lit(10**9)), "lead_id")
+    return rows.withColumn("pos", F.row_number().over(order))
+
+
+def span_violations(ex: DataFrame, spans: DataFrame) -> DataFrame:
+    """(eid, key, s, e, rule) of every rule that a span breaks: its bounds, and overlap with one of its kind."""
+    before = F.lag("e").over(Window.partitionBy("eid", "key").orderBy("s", "e"))
+    rows = spans.join(ex.select("eid", F.length("code").alias("_n")), "eid").withColumn("_b", before)
+    checks = {
+        "starts before the text": F.col("s") < 0,
+        "ends after the text": F.col("e") > F.col("_n"),
+        "ends before it starts": F.col("e") < F.col("s"),
+        "overlaps one of its kind": F.col("_b") > F.col("s"),
+    }
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in checks.items()]))
+    return rows.select("eid", "key", "s", "e", F.explode(broken).alias("rule"))
