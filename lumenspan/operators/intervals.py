@@ -128,3 +128,10 @@ def line_of(code, offset):
     """1-based line of a character offset."""
     before = F.substring(code, F.lit(1), F.greatest(offset, F.lit(0)).cast("int"))
     return 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+
+
+def alarm_kinds(alarms: DataFrame, spans: DataFrame, near: int = 40) -> DataFrame:
+    """Adds ``kind`` to false alarms (eid, row_label, s, e): in a negative example, near a true span, or elsewhere."""
+    d = nearest_distance(alarms.select("eid", "s", "e").distinct(), spans)
+    kind = F.when(F.col("row_label") == 0, "safe_alarm").when(F.col("distance") <= near, "spread").otherwise("misplaced")
+    return alarms.join(d, ["eid", "s", "e"], "left").withColumn("kind", kind)

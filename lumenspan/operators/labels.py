@@ -99,3 +99,18 @@ def line_prefix_rows(ex: DataFrame, target: str, back: int = 3) -> DataFrame:
     cuts = F.array(F.struct(F.col("_at").alias("n"), F.lit(1).alias("label")), F.struct((F.col("_at") - back).alias("n"), F.lit(0).alias("label")))
     rows = rows.select("eid", "code", F.explode(cuts).alias("c"))
     return rows.select("eid", "c.label", F.array_join(F.slice(lines, 1, F.col("c.n")), "\n").alias("code"))
+
+
+def paired_classes(ex: DataFrame) -> DataFrame:
+    """(eid, paired_cwe): a positive's own class; a negative gets that of its group's last positive that has one."""
+    last = ex.where("row_label = 1 and cwe <> ''").groupBy("grp").agg(F.max_by("cwe", "eid").alias("_last"))
+    own = F.when(F.col("row_label") == 1, F.col("cwe"))
+    return ex.join(last, "grp", "left").select("eid", F.coalesce(own, "_last").alias("paired_cwe"))
+
+
+def contexts(tok: DataFrame, ex: DataFrame, around: int = 48) -> DataFrame:
+    """(eid, tok, surface, context): a token as it stands in the text, and with some characters on both sides."""
+    lo = F.greatest(F.lit(0), F.col("cs") - around)
+    surface = F.expr("substring(code, cast(cs as int) + 1, cast(ce - cs as int))")
+    context = F.substring("code", (lo + 1).cast("int"), (F.col("ce") + around - lo).cast("int"))
+    return tok.join(ex.select("eid", "code"), "eid").select("eid", "tok", surface.alias("surface"), context.alias("context"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions.scalars import bce_with_logits
 from lumenspan.store import staged
 
 
@@ -274,3 +275,22 @@ def interval(draws: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
     return draws.agg(F.avg(value).alias("mean"), p.alias("ci"), above, F.count(value).alias("n_draws")).select(
         "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), "above_0", "n_draws"
     )
+
+
+def global_threshold(roc: DataFrame, share: float) -> DataFrame:
+    """(thr): the (floor(share * N) + 1)-th largest negative, from the cumulative counts of one group."""
+    return roc.where(F.col("fp") > F.floor(F.col("N") * share)).agg(F.max("score").alias("thr"))
+
+
+def recall_above(rows: DataFrame, threshold: DataFrame, by: list[str], score: str, label: str = "y") -> DataFrame:
+    """Per slice the share of positives strictly above a threshold of the whole table."""
+    pos = rows.where(F.col(label) == 1).crossJoin(F.broadcast(threshold))
+    return pos.groupBy(*by).agg(F.avg((F.col(score) > F.col("thr")).cast("double")).alias("recall"), F.count("*").alias("n"))
+
+
+def span_max_loss(tok: DataFrame, omega: float, logit: str = "logit", label: str = "y", pos_weight: float = 1.0) -> DataFrame:
+    """(eid, loss): (1 - omega) of the weighted mean token loss and omega of the loss at the highest token."""
+    weight = F.when(F.col(label) == 1, pos_weight).otherwise(1.0)
+    t = tok.withColumn("_l", bce_with_logits(F.col(logit), F.col(label))).withColumn("_w", weight)
+    mean = F.sum(F.col("_w") * F.col("_l")) / F.sum("_w")
+    return t.groupBy("eid").agg(((1 - omega) * mean + omega * F.max_by("_l", F.struct(logit, -F.col("tok")))).alias("loss"))

@@ -136,3 +136,43 @@ def top_classes(ex: DataFrame, k: int) -> DataFrame:
     """The classes with most positives; ties go to the one that appears first."""
     n = ex.where((F.col("row_label") == 1) & F.col("cwe").isNotNull()).groupBy("cwe").agg(F.count("*").alias("n"), F.min("eid").alias("first_eid"))
     return n.orderBy(F.desc("n"), "first_eid").limit(k)
+
+
+def held_out_side(column: str, value: str) -> Column:
+    """test where the column has the value, else train; rows without a value are train."""
+    return F.when(F.col(column).eqNullSafe(F.lit(value)), "test").otherwise("train")
+
+
+def adjacent_pairs(ex: DataFrame) -> DataFrame:
+    """(grp, n_pairs, n_rejected): rows 2i and 2i + 1 of a group, by eid, are a pair if their labels are 1 and 0."""
+    places = ranked(ex.select("grp", "eid", "row_label"), ["grp"], F.col("eid").cast("double"), "eid", "_r")
+    p = places.groupBy("grp", F.floor((F.col("_r") - 1) / 2).alias("_i"))
+    p = p.agg(F.count("*").alias("n"), F.min_by("row_label", "eid").alias("a"), F.max_by("row_label", "eid").alias("b"))
+    ok = (F.col("n") == 2) & (F.col("a") == 1) & (F.col("b") == 0)
+    return p.groupBy("grp").agg(F.count_if(ok).alias("n_pairs"), F.count_if(~ok).alias("n_rejected"))
+
+
+def oversampled(ex: DataFrame, large: Column, small: Column, most: int = 8) -> DataFrame:
+    """Rows of ``small`` are repeated round(large / small) times, ``most`` at most; copy i gets ``eid + i * (largest + 1)``."""
+    n = ex.agg(F.count_if(large).alias("_many"), F.count_if(small).alias("_few"), (F.max("eid") + 1).alias("_step"))
+    times = F.greatest(F.lit(1), F.least(F.round(F.col("_many") / F.nullif(F.col("_few"), F.lit(0))), F.lit(most))).cast("int")
+    n = n.select("_step", F.coalesce(times, F.lit(1)).alias("_k"))
+    copies = ex.where(small).crossJoin(F.broadcast(n)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    copies = copies.withColumn("eid", F.col("eid") + F.col("_step") * F.col("_i")).select(*ex.columns)
+    return copies.unionByName(ex.where(~F.coalesce(small, F.lit(False))))
+
+
+def negative_pools(ex: DataFrame, pools: dict[str, DataFrame]) -> DataFrame:
+    """(pool, score, y): the same positives with each pool's negatives."""
+    pos = ex.where("y = 1").select("score", "y")
+    out = None
+    for name, rows in pools.items():
+        one = rows.select("score", "y").unionByName(pos).withColumn("pool", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group with their place; groups are cut to n in every task before they meet."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

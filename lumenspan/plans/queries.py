@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
 from lumenspan.operators import intervals as I
+from lumenspan.operators import labels as L
 from lumenspan.operators import pooling as P
 from lumenspan.operators import ranking as R
 from lumenspan.operators import ngrams, retrieval, splits, transfer
@@ -85,27 +86,17 @@ def p7_group_keys(v):
 
 @query
 def p8_paired_class(v):
-    x = v.ex
-    last = x.where("row_label = 1 and cwe <> ''").groupBy("grp").agg(F.max_by("cwe", "eid").alias("pair_cwe"))
-    return x.join(last, "grp", "left").select("eid", F.coalesce(F.when(F.col("row_label") == 1, F.col("cwe")), "pair_cwe").alias("paired_cwe"))
+    return L.paired_classes(v.ex)
 
 
 @query
 def p9_context_windows(v):
-    t = v.tok.where(F.length("word") >= 18).select("eid", "tok", "cs", "ce")
-    x = v.ex.select("eid", "code")
-    lo = F.greatest(F.lit(0), F.col("cs") - 48)
-    return t.join(x, "eid").select(
-        "eid",
-        "tok",
-        F.expr("substring(code, cast(cs as int) + 1, cast(ce - cs as int))").alias("surface"),
-        F.substring("code", (lo + 1).cast("int"), (F.col("ce") + 48 - lo).cast("int")).alias("context"),
-    )
+    return L.contexts(v.tok.where(F.length("word") >= 18).select("eid", "tok", "cs", "ce"), v.ex)
 
 
 @query
 def p15_null_safe_holdout(v):
-    return v.ex.groupBy(F.when(F.col("cwe").eqNullSafe(F.lit("CWE-003")), "test").otherwise("train").alias("side")).agg(F.count("*").alias("n"))
+    return v.ex.groupBy(splits.held_out_side("cwe", "CWE-003").alias("side")).agg(F.count("*").alias("n"))
 
 
 # joins and intervals
@@ -132,12 +123,7 @@ def j5_ordinal_pairs(v):
 
 @query
 def j6_adjacent_pairs(v):
-    # Rows 2i and 2i + 1 of a group are a pair only if their labels are 1 and 0.
-    i = F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("eid")) - 1) / 2)
-    p = v.ex.select("grp", "eid", "row_label", i.alias("i")).groupBy("grp", "i")
-    p = p.agg(F.count("*").alias("n"), F.min_by("row_label", "eid").alias("a"), F.max_by("row_label", "eid").alias("b"))
-    ok = (F.col("n") == 2) & (F.col("a") == 1) & (F.col("b") == 0)
-    return p.groupBy("grp").agg(F.count_if(ok).alias("n_pairs"), F.count_if(~ok).alias("n_rejected"))
+    return splits.adjacent_pairs(v.ex)
 
 
 @query
@@ -156,11 +142,10 @@ def j13_span_meets_live(v):
 def j18_negative_pools(v):
     # The positives stay; the negatives are all, those of one language, or those paired with a positive.
     x = example_scores(v)
-    pos, neg = x.where("y = 1").select("score", "y"), x.where("y = 0")
+    neg = x.where("y = 0")
     matched = neg.join(v.pairs.select(F.col("safe_eid").alias("eid")), "eid", "left_semi")
     pools = {"all_clean": neg, "english_only": neg.where("lang = 'en'"), "matched": matched}
-    each = [rows.select("score", "y").unionByName(pos).withColumn("pool", F.lit(name)) for name, rows in pools.items()]
-    return R.roc_auc(each[0].unionByName(each[1]).unionByName(each[2]), ["pool"]).select("pool", *r6("auc"), "n_pos", "n_neg")
+    return R.roc_auc(splits.negative_pools(x, pools), ["pool"]).select("pool", *r6("auc"), "n_pos", "n_neg")
 
 
 def _detections(v):
@@ -174,26 +159,24 @@ def a22_agreement(v):
 
 @query
 def a23_false_alarm_kinds(v):
-    # A high-scored negative token is a safe alarm, spread (near a positive span) or misplaced.
     t = v.tok_scores.where("y = 0 and logit >= 4").select("eid", "row_label", F.col("cs").alias("s"), F.col("ce").alias("e"))
-    near = I.nearest_distance(t.select("eid", "s", "e"), v.spans.where("key = 'sink'").select("eid", "s", "e")).select("eid", "s", "distance").distinct()
-    kind = F.when(F.col("row_label") == 0, "safe_alarm").when(F.col("distance") <= 40, "spread").otherwise("misplaced")
-    return t.join(near, ["eid", "s"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("eid").alias("n_examples"))
+    k = I.alarm_kinds(t, v.spans.where("key = 'sink'").select("eid", "s", "e"))
+    return k.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("eid").alias("n_examples"))
 
 
 @query
 def o5_top_per_kind(v):
-    w = Window.partitionBy("lang").orderBy(F.desc("n_models"), "eid")
-    x = _detections(v).join(v.ex.select("eid", "lang"), "eid").withColumn("place", F.row_number().over(w))
-    return x.where("place <= 15").select("lang", "eid", "n_models", F.col("place").cast("long").alias("place"))
+    x = _detections(v).join(v.ex.select("eid", "lang"), "eid")
+    x = splits.top_per_group(x, ["lang"], [F.desc("n_models"), F.asc("eid")], 15)
+    return x.select("lang", "eid", "n_models", F.col("place").cast("long").alias("place"))
 
 
 @query
 def o7_hardest_examples(v):
     # Weakest positives and strongest negatives, two of each.
     hard = F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score"))
-    x = example_scores(v).withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(hard, "eid")))
-    return x.where("place <= 2").select(F.col("y").cast("long").alias("y"), "eid", *r6("score"), F.col("place").cast("long").alias("place"))
+    x = splits.top_per_group(example_scores(v), ["y"], [hard.asc(), F.asc("eid")], 2)
+    return x.select(F.col("y").cast("long").alias("y"), "eid", *r6("score"), F.col("place").cast("long").alias("place"))
 
 
 @query
@@ -312,10 +295,7 @@ def a8_tpr_at_fpr(v):
 def a9_global_threshold_recall(v):
     t = v.tok_scores
     roc = R.cumulative(R.score_counts(t, [], "logit", "y"), [])
-    # The (floor(t * N) + 1)-th largest negative: the first score whose cumulative negatives pass floor(t * N).
-    thr = roc.where(F.col("fp") > F.floor(F.col("N") * 0.01)).agg(F.max("score").alias("thr"))
-    pos = t.where("y = 1").crossJoin(F.broadcast(thr))
-    return pos.groupBy("lang").agg(F.round(F.avg((F.col("logit") > F.col("thr")).cast("double")), 6).alias("recall"), F.count("*").alias("n"))
+    return R.recall_above(t, R.global_threshold(roc, 0.01), ["lang"], "logit").select("lang", *r6("recall"), "n")
 
 
 @query
@@ -444,8 +424,7 @@ def f6_probe_scores(v):
 
 @query
 def f8_span_max_loss(v):
-    t = v.tok_scores.withColumn("bce", S.bce_with_logits(F.col("logit"), F.col("y")))
-    return t.groupBy("eid").agg(F.round(0.5 * F.avg("bce") + 0.5 * F.max_by("bce", F.struct("logit", -F.col("tok"))), 6).alias("loss"))
+    return R.span_max_loss(v.tok_scores, 0.5).select("eid", *r6("loss"))
 
 
 @query
@@ -513,13 +492,8 @@ def x4_leave_one_language_out(v):
 
 @query
 def x9_oversample(v):
-    x = v.ex
-    n = x.agg(F.count_if(F.col("lang") == "en").alias("many"), F.count_if(F.col("lang") == "es").alias("few"), (F.max("eid") + 1).alias("step"))
-    k = F.least(F.round(F.col("many") / F.col("few")), F.lit(8)).cast("int")
-    copies = x.where("lang = 'es'").crossJoin(F.broadcast(n.withColumn("k", k)))
-    copies = copies.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "eid", "step", "lang")
-    out = copies.select((F.col("eid") + F.col("step") * F.col("i")).alias("eid"), "lang")
-    return out.unionByName(x.where("lang <> 'es'").select("eid", "lang")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("eid").alias("ids"))
+    out = splits.oversampled(v.ex.select("eid", "lang"), F.col("lang") == "en", F.col("lang") == "es")
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum("eid").alias("ids"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
