@@ -41,6 +41,58 @@ EXTENSIONS = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp"
 ENDINGS = {"c": ".c", "cpp": ".cpp", "python": ".py", "javascript": ".js", "typescript": ".ts", "java": ".java", "go": ".go", "ruby": ".rb", "php": ".php"}
 
 
+#: Fixed value: where input from outside enters.
+INPUT_SOURCE = (
+    r"req\.(?:query|body|params|cookies|headers)(?:\.[\w\[\]'\"]+)?|request\.(?:args|form|values|json|GET|POST)\[?|sys\.argv\[?\d*\]?"
+    r"|os\.environ(?:\.get)?\[?|input\(|process\.argv|process\.env\.\w+"
+)
+_RANDOM = r"Math\.random|random\.random\(|random\.randint|random\.choice|rand\(\)|mt_rand"
+_EVAL = r"\beval\s*\(|\bexec\s*\(|Function\s*\(|new\s+Function|setTimeout\s*\(\s*['\"]|vm\.runIn"
+_HASH = r"\bMD5\b|\bSHA1\b|md5\(|sha1\(|hashlib\.md5|hashlib\.sha1|createHash\(\s*['\"](?:md5|sha1)['\"]|DES\b|RC4\b|MD4\b"
+
+#: Patterns of a class's sinks, and of its sources where it has any.
+CLASS_PATTERNS = {
+    "CWE-89": (r"db\.query|cursor\.execute|connection\.query|conn\.execute|execute\s*\(|executemany\s*\(|\.raw\s*\(|session\.execute|Session\.execute", INPUT_SOURCE),
+    "CWE-78": (
+        r"\bexec\b|\bspawn\b|execSync|execFile|spawnSync|os\.system|subprocess\.(?:call|run|Popen|check_output)|child_process\.\w+|shell_exec|popen\(",
+        INPUT_SOURCE,
+    ),
+    "CWE-22": (
+        r"fs\.readFile|fs\.readFileSync|fs\.writeFile|fs\.createReadStream|\bopen\s*\(|\.read_text\(|\.read_bytes\(|pathlib\.Path\(|os\.path\.join\(|send_file\(|sendFile\(",
+        INPUT_SOURCE,
+    ),
+    "CWE-79": (
+        r"innerHTML|outerHTML|document\.write|document\.writeln|res\.send\(|response\.write\(|render_template_string\(|dangerouslySetInnerHTML|\$\(.*\)\.html\(",
+        INPUT_SOURCE,
+    ),
+    "CWE-330": (_RANDOM, ""),
+    "CWE-338": (_RANDOM, ""),
+    "CWE-502": (
+        r"pickle\.loads?\(|cPickle\.loads?\(|yaml\.load\(|yaml\.unsafe_load\(|marshal\.loads\(|JSON\.parse\(|unserialize\(|node-serialize",
+        INPUT_SOURCE,
+    ),
+    "CWE-94": (_EVAL, INPUT_SOURCE),
+    "CWE-95": (_EVAL, INPUT_SOURCE),
+    "CWE-327": (_HASH, ""),
+    "CWE-328": (_HASH, ""),
+    "CWE-798": (r"(?:password|passwd|secret|api[_-]?key|token|auth)\s*[:=]\s*['\"][^'\"\s]+['\"]", ""),
+    "CWE-345": (r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false|InsecureRequestWarning|ssl\._create_unverified", ""),
+    "CWE-208": (r"==\s*['\"]|!=\s*['\"]|\.equals\(|strcmp\(|memcmp\(", ""),
+    "CWE-185": (r"re\.compile\(|new RegExp\(|\.match\(|\.test\(|\.search\(", INPUT_SOURCE),
+    "CWE-908": (r"\bmalloc\(|\bcalloc\(|uninitialized|free\(", ""),
+    "CWE-770": (r"\bread\(|recv\(|while\s+True|for\s*\(;;\)|\.repeat\(", INPUT_SOURCE),
+    "CWE-312": (r"(?:password|secret|token|api[_-]?key)\s*[:=]", ""),
+    "CWE-119": (r"strcpy\(|strcat\(|sprintf\(|gets\(|memcpy\(", INPUT_SOURCE),
+    "CWE-319": (r"http://|ftp://|telnet://|verify\s*=\s*False", ""),
+}
+#: Fixed value: calls that check or escape a value.
+SANITIZER = (
+    r"(?i)\bvalidate\w*\(|\bsanitize\w*\(|\bescape\w*\(|isInteger\(|parseInt\(|parseFloat\(|re\.escape\(|html\.escape\(|cgi\.escape\("
+    r"|shlex\.quote\(|shell_quote\(|bindParam\(|prepare\(|\bquote\(|encodeURIComponent\(|encodeURI\(|DOMPurify|bleach\.clean\("
+    r"|markupsafe\.escape\(|isinstance\("
+)
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
@@ -88,7 +140,7 @@ TOKEN_KINDS = {
     "punctuation": r"^[^0-9A-Za-z]*$",
     "path": r"(?i)(ssh|svctask|svcinfo|svcuser|chown|rmhost|-name|mpol_|/|\.\.)",
     "db-api": r"(?i)(cursor|execute|\.query|order_by|fetchone|fetchall|\.format)",
-    "sql": r"(?i)\b(select|insert|update|delete|where|from|set|values|order\s+by|group\s+by|like|join|union|and|or)\b",
+    "sql": r"(?i)\b(select|insert|update|delete|where|from|set|values|order\s+by|group\s+by|like|join|union)\b|insert\s+into|(^|\s)(and|or)(\s|$)",
 }
 
 

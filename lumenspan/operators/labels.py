@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.text import last_line
+from lumenspan.functions.text import CLASS_PATTERNS, SANITIZER, last_line
 from lumenspan.operators.intervals import merge_spans, subtract_spans
 
 #: Span columns in order of precedence, and the label they give.
@@ -114,3 +114,36 @@ def contexts(tok: DataFrame, ex: DataFrame, around: int = 48) -> DataFrame:
     surface = F.expr("substring(code, cast(cs as int) + 1, cast(ce - cs as int))")
     context = F.substring("code", (lo + 1).cast("int"), (F.col("ce") + around - lo).cast("int"))
     return tok.join(ex.select("eid", "code"), "eid").select("eid", "tok", surface.alias("surface"), context.alias("context"))
+
+
+def pattern_spans(ex: DataFrame, pattern: str) -> DataFrame:
+    """(eid, s, e) of every match of a pattern (never an empty one) in each text.
+
+    A match begins where the pieces between matches and the matches before it end; both are summed per text.
+    """
+    rows = ex.select("eid", F.posexplode(F.split("code", pattern, -1)).alias("_i", "_piece"), F.regexp_extract_all("code", F.lit(pattern), F.lit(0)).alias("_m"))
+    rows = rows.withColumn("_own", F.length(F.get("_m", F.col("_i")))).where("_own is not null")
+    before = Window.partitionBy("eid").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("_piece") + F.col("_own")).over(before)
+    return rows.select("eid", (end - F.col("_own")).cast("long").alias("s"), end.cast("long").alias("e"))
+
+
+def class_spans(ex: DataFrame, patterns: dict[str, tuple[str, str]] = CLASS_PATTERNS, sanitizer: str = SANITIZER) -> DataFrame:
+    """(eid, key, s, e) of positives (eid, code, cwe, row_label): sinks and sources of their class, checks, last line, evidence."""
+    pos = ex.where("row_label = 1")
+    found = {"sink": None, "source": None}
+    for cls, both in patterns.items():
+        own = pos.where(F.col("cwe") == cls)
+        for key, pattern in zip(found, both, strict=True):
+            if pattern:
+                one = pattern_spans(own, pattern)
+                found[key] = one if found[key] is None else found[key].unionByName(one)
+    sinks, sources = (merge_spans(found[k], ["eid"]).select("eid", "s", "e") for k in ("sink", "source"))
+    ends = last_lines(pos)
+    keyed = {"evidence": evidence(sinks, sources, ends), "vulnerable_line": ends, "sink": sinks, "source": sources}
+    keyed["sanitizer"] = merge_spans(pattern_spans(pos, sanitizer), ["eid"]).select("eid", "s", "e")
+    out = None
+    for key, rows in keyed.items():
+        one = rows.select("eid", F.lit(key).alias("key"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+        out = one if out is None else out.unionByName(one)
+    return out

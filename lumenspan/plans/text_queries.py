@@ -348,3 +348,26 @@ def f15_changed_lines(v):
     p = p.join(x.select(F.col("eid").alias("safe_eid"), F.col("code").alias("after")), "safe_eid")
     b = diffs.blamed_lines(p.select(F.col("vuln_eid").alias("eid"), "before", "after"))
     return b.groupBy("eid", "how").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).cast("long").alias("chars"))
+
+
+_MATCHES = "SELECT doc_id AS eid, string_split_regex(text, '{0}') AS ps, regexp_extract_all(text, '{0}') AS ms FROM documents"
+
+
+@query("WITH m AS (" + _MATCHES.format("[0-9]+|[A-Z][a-z]+") + """), u AS (SELECT eid, unnest(range(1, len(ms) + 1)) AS i, ps, ms FROM m),
+k AS (SELECT eid, i, length(ps[i]) AS p, length(ms[i]) AS n FROM u), t AS (SELECT eid, n, sum(p + n) OVER (PARTITION BY eid ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM k)
+SELECT eid, count(*) AS n, CAST(sum(e - n) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM t GROUP BY eid""")
+def f10_pattern_spans(v):
+    d = v.table("documents").select(F.col("doc_id").alias("eid"), F.col("text").alias("code"))
+    return L.pattern_spans(d, "[0-9]+|[A-Z][a-z]+").groupBy("eid").agg(F.count("*").alias("n"), F.sum("s").alias("starts"), F.sum("e").alias("ends"))
+
+
+#: Patterns that prose has, for the classes of the views.
+PROSE_PATTERNS = {f"CWE-{i:03d}": ("[0-9]+", "[A-Z][a-z]+ ") for i in range(12)}
+
+
+@query()
+def u6_class_spans(v):
+    """Spans of all kinds derived from patterns by class; those of the fixed table for the classes it knows, too."""
+    x = v.ex.select("eid", "code", "cwe", "row_label")
+    s = L.class_spans(x, {**PROSE_PATTERNS, **T.CLASS_PATTERNS}, "[.!?]")
+    return s.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("eid").alias("n_examples"), F.sum(F.col("e") - F.col("s")).alias("chars"))

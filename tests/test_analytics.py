@@ -233,3 +233,21 @@ def test_text_columns(spark):
     assert tuple(one[0])[:2] == (19, 20) and tuple(one[2])[:2] == (0, 4)
     assert tuple(one[0])[2:] == ("a-b-c", "x", "n/a", "0.123")
     assert not math.isnan(df.select(T.saturating(F.lit(0))).first()[0])
+
+
+def test_class_spans(spark):
+    from lumenspan.operators.labels import class_spans, pattern_spans
+
+    code = "x = request.args['q']\ncursor.execute(x)\nescape(x)\n"
+    df = spark.createDataFrame([(1, code, "CWE-89", 1), (2, code, "CWE-89", 0), (3, "no", "CWE-1", 1)], "eid long, code string, cwe string, row_label int")
+    got = {(r["eid"], r["key"], code[r["s"] : r["e"]]) for r in class_spans(df).collect() if r["eid"] == 1}
+    assert {g[1:] for g in got} == {
+        ("sink", "cursor.execute"),
+        ("source", "request.args["),
+        ("sanitizer", "escape("),
+        ("vulnerable_line", "escape(x)"),
+        ("evidence", "cursor.execute"),
+        ("evidence", "request.args["),
+        ("evidence", "escape(x)"),
+    }
+    assert sorted(tuple(r) for r in pattern_spans(df.where("eid = 1"), "x").collect()) == [(1, i, i + 1) for i, c in enumerate(code) if c == "x"]
