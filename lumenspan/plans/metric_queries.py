@@ -139,7 +139,7 @@ def a15_other_reads(v):
 WHERE (y = 0 OR f0 = f) AND (l = '*' OR lang = l)""") + "SELECT grp.family AS family, grp.lang AS lang, round(auc, 6) AS auc, n_pos, n_neg FROM auc")
 def a17_family_by_language(v):
     family = F.when(F.col("cwe").isNotNull(), F.when(F.substring("cwe", 5, 9).cast("int") % 2 == 0, "even").otherwise("odd"))
-    x = example_scores(v).withColumn("family", family)
+    x = staged(example_scores(v).withColumn("family", family), "example-scores")
     return R.class_cells(x, "family", "lang", ["even", "odd"]).select("family", "lang", *r6("auc"), *longs("n_pos", "n_neg"))
 
 

@@ -15,6 +15,7 @@ from lumenspan.operators import ranking as R
 from lumenspan.operators import ngrams, retrieval, splits, transfer
 from lumenspan.plans.fixtures import Views
 from lumenspan.sources.files import merge_last, row_violations, shard_of
+from lumenspan.store import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -141,7 +142,7 @@ def j13_span_meets_live(v):
 @query
 def j18_negative_pools(v):
     # The positives stay; the negatives are all, those of one language, or those paired with a positive.
-    x = example_scores(v)
+    x = staged(example_scores(v), "example-scores")
     neg = x.where("y = 0")
     matched = neg.join(v.pairs.select(F.col("safe_eid").alias("eid")), "eid", "left_semi")
     pools = {"all_clean": neg, "english_only": neg.where("lang = 'en'"), "matched": matched}
@@ -322,7 +323,7 @@ def a16_span_max(v):
 
 @query
 def a17_slice_auc(v):
-    x = example_scores(v)
+    x = staged(example_scores(v), "example-scores")
     # A class's slice is its positives and all negatives, which are counted once.
     own = R.class_auc(x.withColumnRenamed("cwe", "slice"), "slice", [])
     every = x.select(F.lit("all").alias("slice"), "score", "y").unionByName(x.select(F.concat(F.lit("lang::"), "lang").alias("slice"), "score", "y"))
