@@ -4,7 +4,6 @@ import random
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -317,4 +316,3 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert none.count() == 0
     run = c.run(spark, str(tmp_path))
     assert sorted({r["doc_id"] for r in run.collect()}) == list(range(120))
-    assert F is not None
