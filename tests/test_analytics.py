@@ -251,3 +251,18 @@ def test_class_spans(spark):
         ("evidence", "escape(x)"),
     }
     assert sorted(tuple(r) for r in pattern_spans(df.where("eid = 1"), "x").collect()) == [(1, i, i + 1) for i, c in enumerate(code) if c == "x"]
+
+
+def test_excerpts_and_blamed_lines(spark):
+    from lumenspan.operators.diffs import blamed_lines
+    from lumenspan.operators.lines import excerpts
+
+    code = "a = 1\nb = 2\nc = 3\nd = 4"
+    df = spark.createDataFrame([(1, code)], "eid long, code string")
+    spans = spark.createDataFrame([(1, 6, 11), (1, 18, 19)], "eid long, s long, e long")
+    got = {r["s"]: r["excerpt"] for r in excerpts(df, spans, around=1).collect()}
+    assert got[6] == "    1 | a = 1\n    2 | «b = 2»\n    3 | c = 3"
+    assert got[18] == "    3 | c = 3\n    4 | «d» = 4"
+    pairs = [(1, code, code.replace("b = 2", "b = 9")), (2, "one\ntwo\n", "one\nnew\ntwo\n"), (3, "", "x")]
+    out = blamed_lines(spark.createDataFrame(pairs, "eid long, before string, after string")).collect()
+    assert {(r["eid"], r["s"], r["e"], r["how"]) for r in out} == {(1, 6, 12, "deleted"), (2, 4, 8, "inserted"), (3, 0, 0, "whole")}
