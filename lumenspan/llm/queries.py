@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.llm.centroids import cluster_vectors, clustering_sql
 from lumenspan.llm.decontamination import leaks
 from lumenspan.llm.html_text import extract_text
 from lumenspan.llm.jaccard_join import similar_documents
@@ -79,6 +80,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,12 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_jaccard_join,
         op10_quality_classifier,
+        op12_centroid_clusters,
     )
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op12_centroid_clusters": clustering_sql(),
     "op2_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
