@@ -11,6 +11,7 @@ from lumenspan.llm.centroids import cluster_vectors, clustering_sql
 from lumenspan.llm.decontamination import leaks
 from lumenspan.llm.html_text import extract_text
 from lumenspan.llm.jaccard_join import similar_documents
+from lumenspan.llm.lexical_search import SEARCH_SQL, search
 from lumenspan.llm.license_scan import scan_licenses
 from lumenspan.llm.packing import pack
 from lumenspan.llm.quality_classifier import classify
@@ -80,6 +81,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_jaccard_join,
         op10_quality_classifier,
+        op11_lexical_search,
         op12_centroid_clusters,
     )
 }
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = r"[\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op11_lexical_search": SEARCH_SQL,
     "op12_centroid_clusters": clustering_sql(),
     "op2_warc": """
 WITH p AS (
