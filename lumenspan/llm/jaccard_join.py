@@ -28,7 +28,7 @@ have a null component if no document with an id is reached.  An empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -327,7 +327,7 @@ def similar_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
         classes = staged(members.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
         # A representative stands for its class by a number of its own where doc_ids repeat with other texts.
         if members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0:
-            return _by_row(docs, k, percent)
+            return _by_row(docs, k, percent, similar_documents)
         repeats = _repeats(docs)
         with_text = whole.where("n > 0 and doc_id is not null")
         reps = _only(with_text.dropDuplicates(["doc_id"]) if repeats else with_text, "doc_id", classes.select("rep"))
@@ -360,10 +360,10 @@ def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
-def _by_row(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _by_row(docs: DataFrame, k: int, percent: int, join: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
     """The join where one doc_id has several texts: rows are joined under numbers of their own, then ids are linked."""
     rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = staged(similar_documents(rows.select(F.col("row").alias("doc_id"), "text"), k, percent), "row-components")
+    found = staged(join(rows.select(F.col("row").alias("doc_id"), "text"), k, percent), "row-components")
     found = found.join(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
     # Rows of a component share it, rows of an id share it: components of the graph of ids and row components.
     low = F.lit(-(1 << 62))

@@ -13,6 +13,7 @@ from lumenspan.llm.html_text import extract_text
 from lumenspan.llm.jaccard_join import similar_documents
 from lumenspan.llm.lexical_search import SEARCH_SQL, search
 from lumenspan.llm.license_scan import scan_licenses
+from lumenspan.llm.minhash_dedup import near_duplicates
 from lumenspan.llm.packing import pack
 from lumenspan.llm.quality_classifier import classify
 from lumenspan.llm.quality_rules import quality_rules
@@ -89,6 +90,10 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,11 +109,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
         op11_lexical_search,
         op12_centroid_clusters,
+        op13_minhash_dedup,
     )
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+def _similar_sql(percent: int, more: str = "") -> str:
+    """Components of documents by the Jaccard similarity of their three-word shingles."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda a: a <> '') AS ws
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM w WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))
+),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id{more}
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op11_lexical_search": SEARCH_SQL,
     "op12_centroid_clusters": clustering_sql(),
@@ -162,29 +197,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ((n_words - kept_words) * 100 > n_words * 30) AS kept
 FROM b""",
-    "op9_jaccard_join": rf"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda a: a <> '') AS ws
-  FROM documents
-),
-s AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] END AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM w WHERE len(ws) > 0)
-),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b
-  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
-  WHERE least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 90
-  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
-),
-e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(doc_id, root) AS (
-  SELECT doc_id, doc_id FROM documents
-  UNION
-  SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.doc_id
-)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
-FROM documents d LEFT JOIN n USING (doc_id)
-JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
+    "op9_jaccard_join": _similar_sql(90),
+    "op13_minhash_dedup": _similar_sql(85, ", d.doc_id = r.component_id AS kept"),
 }
