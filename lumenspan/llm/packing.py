@@ -204,45 +204,61 @@ class _Stock:
         return first
 
 
-def packing_plan(counts: dict[int, int], capacity: int, groups: int = 64, small: int = 4) -> list[tuple[int, int, int, int, int, int]]:
+#: Shares of the configurations that are tried.
+SHARES = (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.3, 0.1)
+
+Run = tuple[int, int, int, int, int, int]
+
+
+def packing_plan(counts: dict[int, int], capacity: int, groups: int = 64, small: int = 4) -> list[Run]:
     """Runs (length, first rank, end rank, first sequence, pieces of the run in each sequence, offset in the sequence).
 
-    Pieces longer than ``capacity // small`` are large.
+    Pieces longer than ``capacity // small`` are large.  Configurations for all large pieces leave few of them to fill the
+    last sequences with, so plans that use them for a share of the pieces only are tried as well; the one with fewest
+    sequences is taken.
     """
+    large = {k: n for k, n in counts.items() if capacity // small < k < capacity and n}
+    grouped = equal_groups(large, groups)
+    sizes = [g[-1] for g in grouped]
+    patterns = configurations(sizes, [sum(large[k] for k in g) for g in grouped], capacity) if sizes else []
+    plans = [_plan(counts, capacity, sizes, patterns, sorted(large, reverse=True), share) for share in SHARES]
+    return min(plans, key=lambda plan: plan[1])[0]
+
+
+def _plan(counts: dict[int, int], capacity: int, sizes: list[int], patterns: list[tuple[np.ndarray, int]], longest_first: list[int], share: float) -> tuple[list[Run], int]:
+    """The runs and the number of sequences, with ``share`` of the sequences that the configurations ask for."""
     stock, runs, sequences = _Stock(counts), [], 0
     room: list[list] = [[] for _ in range(capacity + 1)]  # by free room: (first sequence, how many)
     for length in [capacity] if counts.get(capacity) else []:
         n = counts[length]
         runs.append((length, stock.take(length, n), n, 0, 1, 0))
         sequences = n
-    large = {k: n for k, n in counts.items() if capacity // small < k < capacity and n}
-    grouped = equal_groups(large, groups)
-    sizes = [g[-1] for g in grouped]
-    if sizes:
-        demand = [sum(large[k] for k in g) for g in grouped]
-        for column, times in configurations(sizes, demand, capacity):
-            # Every place of the configuration takes actual lengths of its group, longest first; where one runs out,
-            # the next begins, and so do sequences of another make-up.
-            places = [g for g, n in enumerate(column) for _ in range(round(n))]
-            done = 0
-            while done < times:
-                wanted: dict[int, int] = {}
-                lengths = []
-                for g in places:
-                    length = next((k for k in reversed(grouped[g]) if stock.left[k] > wanted.get(k, 0)), None)
-                    if length is not None:
-                        wanted[length] = wanted.get(length, 0) + 1
-                        lengths.append(length)
-                if not lengths:
-                    break
-                n = min(times - done, *(stock.left[k] // w for k, w in wanted.items()))
-                offset = 0
-                for length, w in wanted.items():
-                    first = stock.take(length, n * w)
-                    runs.append((length, first, first + n * w, sequences, w, offset))
-                    offset += w * length
-                room[capacity - offset].append((sequences, n))
-                sequences, done = sequences + n, done + n
+    for column, times in patterns:
+        # Every place of the configuration, largest first, takes the longest actual length that fits into its size
+        # and the room that the configuration and the places before it leave; where a length runs out, the next
+        # begins, and so do sequences of another make-up.
+        places = [g for g, n in reversed(list(enumerate(column))) for _ in range(round(n))]
+        spare = capacity - sum(sizes[g] for g in places)
+        times, done = int(times * share), 0
+        while done < times:
+            wanted: dict[int, int] = {}
+            free = spare
+            for g in places:
+                free += sizes[g]
+                length = next((k for k in longest_first if k <= free and stock.left[k] > wanted.get(k, 0)), None)
+                if length is not None:
+                    wanted[length] = wanted.get(length, 0) + 1
+                    free -= length
+            if not wanted:
+                break
+            n = min(times - done, *(stock.left[k] // w for k, w in wanted.items()))
+            offset = 0
+            for length, w in wanted.items():
+                first = stock.take(length, n * w)
+                runs.append((length, first, first + n * w, sequences, w, offset))
+                offset += w * length
+            room[capacity - offset].append((sequences, n))
+            sequences, done = sequences + n, done + n
     for length in sorted(counts, reverse=True):
         while left := stock.left[length]:
             free = next((f for f in range(length, capacity) if room[f]), None)
@@ -263,7 +279,7 @@ def packing_plan(counts: dict[int, int], capacity: int, groups: int = 64, small:
             room[free - each * length].append((at, fill))
             if fill < n:
                 room[free].append((at + fill, n - fill))
-    return runs
+    return runs, sequences
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

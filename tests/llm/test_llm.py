@@ -78,6 +78,35 @@ def test_packing_plan_is_whole_and_gapless():
             assert at <= 1024
 
 
+def best_fit_sequences(counts, capacity):
+    room, sequences = [0] * (capacity + 1), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            free = next((f for f in range(length, capacity + 1) if room[f]), None)
+            if free is None:
+                sequences, free = sequences + 1, capacity
+            else:
+                room[free] -= 1
+            room[free - length] += 1
+    return sequences
+
+
+def test_packing_plan_needs_no_more_than_best_fit():
+    import random
+
+    from lumenspan.llm.packing import packing_plan
+
+    rng = random.Random(8)
+    for spread in (60, 300, 700, 1024):
+        counts = {}
+        for _ in range(6000):
+            length = 1 + int(min(rng.expovariate(1 / spread), 1023))
+            counts[length] = counts.get(length, 0) + 1
+        plan = packing_plan(counts, 1024)
+        used = max(first + -(-(end - begin) // each) for _, begin, end, first, each, _ in plan)
+        assert used <= best_fit_sequences(counts, 1024)
+
+
 def test_token_ids_equal_tokenizers():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
