@@ -7,18 +7,23 @@ short sections beside the main paragraphs belong to the article.  Its blocks are
 links; at the page's top level, siblings of the article are kept that score enough or read like prose, and a heading
 right before it.
 
-Elements that HTML defines as no article text are left out.  One that only its class, id or role names as furniture is
-left out too, unless it holds most of the page's text and few links; comments, adverts and the like always are.
+Elements that HTML defines as no article text are left out.  One that only its tag, class, id or role names as furniture
+is left out too unless it wraps the article: it holds nearly all of the page's text, or most of it and the page's main
+heading.  Some names are doubtful; what bears one counts as furniture only with less than half of the text or many links.
+Class words count whole (``has-sidebar`` or ``comments-open`` say something about the page, not what the element is).  A
+heading block inside an article is part of it, and so is all that is linked there.
 
 Cases: null or empty html gives the empty text; so does a page without any text outside removed elements.  Broken
-markup (unclosed paragraphs, stray end tags, a missing end of the page) is closed the way browsers do for the elements
-concerned, and nesting ends at 512 levels, so that the work is in proportion to a page's length.  Very long pages are read whole.  Repeated rows are handled one by one.
+markup (unclosed paragraphs, stray end tags, quotes inside unquoted values, a missing end of the page) is closed the way
+browsers do for the elements concerned, at any depth of nesting.  Very long pages are read whole, with work in
+proportion to their length.  Repeated rows are handled one by one.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,9 +40,11 @@ BLOCK = frozenset(
 )
 #: Elements that are no article text.
 DROPPED = frozenset(
-    "head nav header footer aside form script style noscript iframe button select option textarea input svg canvas "
-    "template dialog menu object embed audio video noembed noframes xmp title".split()
+    "head nav script style noscript iframe button select option textarea input svg canvas template object embed audio "
+    "video noembed noframes xmp title".split()
 )
+#: Elements that are none unless they wrap the article.
+NAMED = frozenset("header footer aside form dialog menu".split())
 #: Words of class and id values that name page furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -47,50 +54,65 @@ FURNITURE = frozenset(
 )
 #: Of these words, those that also name parts of articles.
 DOUBTFUL = frozenset("banner header masthead menu modal notice notices popup promo promoted related share sharing social toolbar widget".split())
+#: Beginnings and ends of class words that tell a state of the page.
+STATE = re.compile(r"^(?:has|no|with|without|is|show|hide|js)[-_]|[-_](?:open|closed|free|enabled|disabled|on|off|none|count)$")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[\s/=]++|[^\s=/>]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]++)?)?)*+)(?:>|\Z)",
+    re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-DEEPEST = 512
 #: Elements that can be left out of an article if they are mostly links.
 LISTS = frozenset("ul ol dl div section table".split())
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Headings of lists of links that belong to a text.
+SOURCES = re.compile(r"^\W*(?:sources?|references?|bibliography|footnotes|notes|further reading|quellen|literatur|fuentes|referencias|références|bibliographie)\b", re.I)
 SPACES = re.compile(r"\s+")
 COMMAS = re.compile("[,،、，]")
 
 
+#: How sure it is that an element is furniture: no, always, unless it wraps the article, or in doubt.
+NO, ALWAYS, UNLESS_WRAPPER, IN_DOUBT = range(4)
+HEADINGS = ("h1", "h2", "h3")
+
+
 @dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None = None
+    furniture: int = NO
+    head: bool = False
     dropped: bool = False
-    doubtful: bool = False
-    depth: int = 0
+    in_article: bool = False
     children: list[Node | str] = field(default_factory=list)
     points: float = 0.0
     chars: int = 0
     link_chars: int = 0
+    headings: int = 0
+    titles: int = 0
 
 
-def _furniture(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether only a doubtful word says so."""
+def _furniture(tag: str, attributes: str) -> tuple[int, bool]:
+    """How sure it is that an element is page furniture, and whether that is for being a header."""
     if tag in DROPPED:
-        return True, False
+        return ALWAYS, False
+    sure, head = (UNLESS_WRAPPER if tag in NAMED else NO), tag == "header"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    doubtful = False
+        return sure, head
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and (words := FURNITURE.intersection(re.split(r"[^a-z]+", value))):
-            if not words <= DOUBTFUL:
-                return True, False
-            doubtful = True
+        if name in ("class", "id"):
+            words = {w for token in value.split() if not STATE.search(token) for w in re.split(r"[^a-z]+", token)}
+            if named := FURNITURE & words:
+                head |= "header" in named
+                sure = UNLESS_WRAPPER if sure == UNLESS_WRAPPER or not named <= DOUBTFUL else IN_DOUBT
         if name == "role" and value in FURNITURE_ROLES:
-            return True, False
+            sure = UNLESS_WRAPPER
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, False
-    return doubtful, doubtful
+            return ALWAYS, False
+    return sure, head
 
 
 #: Start tags that close an open element, and where the search for it ends.
@@ -105,23 +127,51 @@ CLOSES = {
 }
 
 
-def _close(at: Node, tags: set[str], until: set[str]) -> Node:
-    node, found = at, None
-    while node.parent is not None and node.tag not in until:
-        if node.tag in tags:
-            found = node
-        node = node.parent
-    return found.parent if found else at
+class _Open:
+    """The open elements, and at which depths each tag and the blocks stand."""
+
+    def __init__(self):
+        self.path, self.at, self.blocks = [Node("#root")], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def pop_to(self, depth: int) -> None:
+        """Closes all elements at ``depth`` and below."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tags: set[str], until: set[str]) -> None:
+        """Closes the outermost of ``tags`` that is open inside the innermost of ``until``."""
+        limit = max((self.at[t][-1] for t in until if self.at.get(t)), default=0)
+        found = [at[i] for t in tags if (at := self.at.get(t)) and (i := bisect_right(at, limit)) < len(at)]
+        if found:
+            self.pop_to(min(found))
+
+    def end(self, tag: str) -> None:
+        """Closes the nearest such element; text elements are not looked for outside their block."""
+        if (at := self.at.get(tag)) and (tag in BLOCK or at[-1] > self.blocks[-1]):
+            self.pop_to(at[-1])
+
+
+#: Where the search for an open paragraph ends.
+HOLD_PARAGRAPHS = {"article", "body", "div", "section", "li", "td", "th", "blockquote", "main", "aside", "form"}
 
 
 def parse(page: str) -> Node:
-    root = at = Node("#root")
+    open_ = _Open()
     end, n = 0, len(page)
     while end < n:
         m = MARKUP.search(page, end)
         text = page[end : m.start() if m else n]
         if text:
-            at.children.append(text)
+            open_.path[-1].children.append(text)
         if not m:
             break
         end = m.end()
@@ -129,49 +179,46 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:  # an end tag closes the nearest such element; without one it means nothing
-            node = at
-            while node.parent is not None and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root
-                    break
-                node = node.parent
-            if node.parent is not None:
-                at = node.parent
+        if m[1]:
+            open_.end(tag)
             continue
         if tag in BLOCK:
-            at = _close(at, {"p"}, {"article", "body", "div", "section", "li", "td", "th", "blockquote", "main", "aside", "form"})
+            open_.close({"p"}, HOLD_PARAGRAPHS)
         if tag in CLOSES:
-            at = _close(at, *CLOSES[tag])
-        node = Node(tag, at, *_furniture(tag, m[3]), depth=at.depth + 1)
-        root.doubtful |= node.doubtful
-        at.children.append(node)
+            open_.close(*CLOSES[tag])
+        above = open_.path[-1]
+        node = Node(tag, above, *_furniture(tag, m[3]))
+        node.dropped = node.furniture != NO
+        node.in_article = above.in_article or above.tag in ("article", "main")
+        above.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, end)
             if close is None:
                 break
             end = page.find(">", close.start())
             end = n if end < 0 else end + 1
-            node.dropped = True
-        elif tag not in VOID and not m[3].endswith("/") and node.depth < DEEPEST:
-            at = node
-    return root
+            node.furniture, node.dropped = ALWAYS, True
+        elif tag not in VOID and not m[3].endswith("/"):
+            open_.push(node)
+    return open_.path[0]
 
 
-def _score(node: Node, in_link: bool, seen: list[Node]) -> None:
-    """Characters and link characters below each element, and the points of the blocks that hold text themselves."""
-    stack = [(node, in_link, iter(node.children), [])]
+def _score(node: Node, seen: list[Node]) -> None:
+    """Characters, link characters and headings below each element, and the points of the blocks that hold text themselves."""
+    stack = [(node, False, iter(node.children), [])]
     while stack:
         node, in_link, rest, own = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
+            node.headings += node.tag in HEADINGS
+            node.titles += node.tag in ("h1", "main")
             if stack:
                 above = stack[-1][0]
                 above.chars += node.chars
                 above.link_chars += node.link_chars
-                if node.tag not in BLOCK:
-                    stack[-1][3].extend(own)
+                above.headings += node.headings
+                above.titles += node.titles
             if (node.tag in BLOCK or node.tag == "#root") and own:
                 text = SPACES.sub(" ", html.unescape("".join(own))).strip()
                 if text:
@@ -185,7 +232,8 @@ def _score(node: Node, in_link: bool, seen: list[Node]) -> None:
         elif child.tag == "br":
             own.append(" ")
         elif not child.dropped:
-            stack.append((child, in_link or child.tag == "a", iter(child.children), []))
+            # Text elements add to their block's text.
+            stack.append((child, in_link or child.tag == "a", iter(child.children), [] if child.tag in BLOCK else own))
 
 
 def _give(node: Node, text: str) -> None:
@@ -239,7 +287,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _settle_doubtful(root)
+    _settle(root)
     best = _best(root)
     if best is None:
         return "\n\n".join(_blocks([root]))
@@ -258,9 +306,11 @@ def main_text(page: str | None) -> str:
         prose = child.tag == "p" and _density(child) < 0.25 and child.chars >= 80
         if child is best and heading is not None:
             kept.append(heading)
-        if child is best or child.points >= max(10.0, best.points * 0.2) or prose:
+        # A section of its own beside an article that no tag names: a heading and text that is no links.
+        section = best.tag not in ("article", "main") and child.headings and child.chars >= 60 and _density(child) < 0.25
+        if child is best or child.points >= max(10.0, best.points * 0.2) or prose or section:
             kept.append(child)
-        heading = child if child.tag in ("h1", "h2", "h3") and _density(child) < 0.5 else None
+        heading = child if child.tag in HEADINGS and _density(child) < 0.5 else None
     return "\n\n".join(_blocks(kept))
 
 
@@ -268,7 +318,7 @@ def _best(root: Node) -> Node | None:
     """The element with most points, after a fresh scoring; None where nothing has any."""
     seen: list[Node] = []
     _reset(root)
-    _score(root, False, seen)
+    _score(root, seen)
     for node in seen:
         node.points *= 1 - _density(node)
     best = max(seen, key=lambda x: x.points)
@@ -279,41 +329,53 @@ def _reset(root: Node) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        node.points, node.chars, node.link_chars = 0.0, 0, 0
+        node.points, node.chars, node.link_chars, node.headings, node.titles = 0.0, 0, 0, 0, 0
         stack.extend(c for c in node.children if not isinstance(c, str) and not c.dropped)
 
 
-def _settle_doubtful(root: Node) -> None:
-    """An element that a doubtful word names as furniture is none if it holds most of the page's text and few links."""
-    if not root.doubtful:
-        return
-    doubtful, stack = [], [root]
+def _settle(root: Node) -> None:
+    """Decides which elements that may be furniture are none: those that wrap the article, and heads of articles."""
+    open_, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.doubtful and node is not root:
-            doubtful.append(node)
+        if node.furniture in (UNLESS_WRAPPER, IN_DOUBT):
+            open_.append(node)
             node.dropped = False
-        stack.extend(c for c in node.children if not isinstance(c, str) and (not c.dropped or c.doubtful))
-    _score(root, False, [])
-    for node in doubtful:
-        node.dropped = node.chars * 2 <= root.chars or _density(node) > 0.25
+        stack.extend(c for c in node.children if not isinstance(c, str) and c.furniture != ALWAYS)
+    if not open_:
+        return
+    _score(root, [])
+    for node in open_:
+        most, links = node.chars * 2 > root.chars, _density(node)
+        if node.furniture == IN_DOUBT:
+            kept = most and links <= 0.25
+        else:
+            kept = links <= 0.5 and (node.chars * 10 >= root.chars * 9 or most and node.titles > 0)
+        kept |= node.head and node.in_article and node.headings > 0 and links <= 0.5
+        node.dropped = not kept
 
 
 def _drop_links(root: Node, best: Node) -> bool:
-    """Drops parts that are mostly links, such as a list of pages beside the paragraphs; never what holds ``best``."""
+    """Drops parts that are mostly links, such as a list of pages beside the paragraphs.
+
+    Never what holds ``best``, nothing inside an article, and no list under a heading that names sources.
+    """
     holds, node = set(), best
     while node is not None:
         holds.add(id(node))
         node = node.parent
     stack, found = [root], False
     while stack:
+        before = None
         for child in stack.pop().children:
             if isinstance(child, str) or child.dropped:
                 continue
-            if child.tag in LISTS and id(child) not in holds and child.chars >= 40 and _density(child) > 0.6:
+            sources = before is not None and before.tag in HEADING_TAGS and SOURCES.search(" ".join(_blocks([before])))
+            if child.tag in LISTS and id(child) not in holds and child.chars >= 40 and _density(child) > 0.6 and not sources:
                 child.dropped = found = True
-            else:
+            elif child.tag != "article":
                 stack.append(child)
+            before = child
     return found
 
 
