@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_offsets(tok: DataFrame) -> DataFrame:
+    """Adds the range [cs, ce) of each token (eid, tok, word) of a text whose words one character parts."""
+    before = Window.partitionBy("eid").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    tok = tok.withColumn("cs", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
+    return tok.withColumn("ce", F.col("cs") + F.length("word"))
+
+
 def span_tokens(tok: DataFrame, spans: DataFrame) -> DataFrame:
     """First and last overlapping token of each span.
 

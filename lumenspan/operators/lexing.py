@@ -169,9 +169,12 @@ def c_heads(rows: DataFrame) -> DataFrame:
 
 def dropped_ranges(ex: DataFrame) -> DataFrame:
     """(eid, s, e), merged: what of each text (eid, code, lang) is no live code."""
-    rows = tokens(ex)
-    marked = rows.where("kind in ('comment', 'directive')").select("eid", "s", "e")
-    gone = marked.unionAll(python_heads(rows)).unionAll(c_heads(rows))
+    gone = None
+    for heads, names in ((python_heads, ["python"]), (c_heads, ["c", "cpp"])):
+        own = [k for k, v in LANGUAGES.items() if v in names]
+        rows = tokens(ex.where(F.lower("lang").isin(own)))
+        both = rows.where("kind in ('comment', 'directive')").select("eid", "s", "e").unionAll(heads(rows))
+        gone = both if gone is None else gone.unionAll(both)
     return merge_spans(gone.where("s < e"), ["eid"]).select("eid", "s", "e")
 
 

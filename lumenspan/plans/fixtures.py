@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.scalars import sigmoid
 
+#: Lines of source text made of eight words of a text: {a} the first, {b} the second, {rest} the others; by line number.
+SNIPPETS = {
+    "python": [
+        "# {rest}",
+        "import {a}; {b} = 1",
+        "@{a}({rest})",
+        'def {a}(x: "{b}") -> y:',
+        "    '''{rest}'''",
+        '    x = "{rest} # in" # {a} ({b}',
+        "class {a}({b}): z = 1",
+        "    call(({a}, # {b}\n {rest}))",
+    ],
+    "c": [
+        '/* {rest}\n * "{a} */',
+        "#include <{a}>",
+        "#if {a}\n{rest}\n#endif",
+        "static int {a}x({b}) {",
+        '  s = "{rest} /*"; // {a} {',
+        "  if (x) { y({b}); }",
+        "} struct t { int q; };",
+        "  z = '\"'; /* {b} */ w = {1, 2};",
+    ],
+    "cpp": [
+        "namespace n { // {rest}",
+        'class K : public B { public: K(int a) : b(a) { "{rest}"; }',
+        " ~K() = default; bool operator==(int o) { return o; }",
+        "}; using namespace std; using T = int;",
+        "struct P q; auto f = [](int v) { return v; };",
+        "void g() { /* {a} */ h(); for (;;) { } }",
+        "#define M(x) \\\n {a}",
+        "}",
+    ],
+}
+SNIPPET_LANGUAGES = {"de": "python", "en": "c", "es": "cpp"}
+
+
+def _line(template: str, parts: dict[str, Column]) -> Column:
+    out, rest = [], template
+    while rest:
+        at, name = min(((rest.find("{" + n + "}"), n) for n in parts if "{" + n + "}" in rest), default=(len(rest), None))
+        if at:
+            out.append(F.lit(rest[:at]))
+        if name is not None:
+            out.append(parts[name])
+        rest = rest[at + len(name or "") + 2 :]
+    return F.concat(*out)
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -36,6 +83,28 @@ class Views:
         t = t.withColumn("cs", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
         return t.withColumn("ce", F.col("cs") + F.length("word"))
 
+    @property
+    def snippets(self) -> DataFrame:
+        """(eid, lang, code): source texts in several languages, a line for each eight words of an example's text."""
+        words = F.split("code", " ")
+
+        def lines(templates: list[str]) -> Column:
+            def line(i: Column) -> Column:
+                own = F.slice(words, i * 8 + 1, 8)
+                parts = {"a": F.coalesce(F.get(own, F.lit(0)), F.lit("")), "b": F.coalesce(F.get(own, F.lit(1)), F.lit("")), "rest": F.array_join(F.slice(own, 3, 6), " ")}
+                out = _line(templates[-1], parts)
+                for k in range(len(templates) - 1):
+                    out = F.when(i % len(templates) == k, _line(templates[k], parts)).otherwise(out)
+                return out
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / 8).cast("int") - 1), line), "\n")
+
+        code, lang = F.col("code"), F.lit("rust")
+        for natural, language in SNIPPET_LANGUAGES.items():
+            code = F.when(F.col("lang") == natural, lines(SNIPPETS[language])).otherwise(code)
+            lang = F.when(F.col("lang") == natural, language).otherwise(lang)
+        return self.ex.select("eid", lang.alias("lang"), code.alias("code"))
+
     @property
     def spans(self) -> DataFrame:
         t = self.tok
@@ -132,3 +201,26 @@ pairs AS (
   SELECT eid, m AS member, CASE WHEN (eid + m) % 7 <> 0 THEN ((eid * 37 + m * 11) % 101) / 101.0 END AS score FROM ex, (SELECT unnest([0, 1, 2]) AS m)
 ), exs AS (SELECT eid, max(logit) AS score, any_value(row_label) AS y, any_value(lang) AS lang, any_value(cwe) AS cwe FROM tok_scores GROUP BY eid)
 """
+
+
+def _sql_line(template: str) -> str:
+    text = template.replace("'", "''").replace("\\", "\\\\").replace("\n", "\\n")
+    for name in ("a", "b", "rest"):
+        text = text.replace("{" + name + "}", f"' || w.{name} || E'")
+    return f"E'{text}'"
+
+
+def _sql_lines(language: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {_sql_line(t)}" for k, t in enumerate(SNIPPETS[language]))
+    part = "{'i': i, 'a': coalesce(ws[i * 8 + 1], ''), 'b': coalesce(ws[i * 8 + 2], ''), 'rest': array_to_string(ws[i * 8 + 3:least(i * 8 + 8, len(ws))], ' ')}"
+    n = len(SNIPPETS[language])
+    return f"array_to_string(list_transform(list_transform(range((len(ws) + 7) // 8), lambda i: {part}), lambda w: CASE w.i % {n} {cases} END), chr(10))"
+
+
+#: The snippets for the other engine, after ``SQL``.
+SNIPPETS_SQL = f""", snippets AS (
+  SELECT eid, CASE {" ".join(f"WHEN lang = '{k}' THEN '{v}'" for k, v in SNIPPET_LANGUAGES.items())} ELSE 'rust' END AS lang,
+    CASE {" ".join(f"WHEN lang = '{k}' THEN {_sql_lines(v)}" for k, v in SNIPPET_LANGUAGES.items())} ELSE code END AS code
+  FROM (SELECT eid, lang, code, string_split(code, ' ') AS ws FROM ex)
+)
+"""

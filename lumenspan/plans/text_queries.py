@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lumenspan.functions import scalars as S
@@ -9,12 +11,14 @@ from lumenspan.functions import text as T
 from lumenspan.operators import diffs
 from lumenspan.operators import intervals as I
 from lumenspan.operators import labels as L
+from lumenspan.operators import lexing
 from lumenspan.operators import lines as N
 from lumenspan.operators import ngrams
-from lumenspan.plans.fixtures import SQL
+from lumenspan.plans.fixtures import SNIPPETS_SQL, SQL
+from lumenspan.plans.oracle import merged
 from lumenspan.plans.registry import longs, query, r6
 from lumenspan.sources import files
-from lumenspan.store import new_path
+from lumenspan.store import new_path, staged
 
 
 def _quoted(pattern: str) -> str:
@@ -87,13 +91,88 @@ _DROP = r"^\s*(#|//|/\*|\*|[A-Z][a-z]*s )"
 @query(SQL + _LINES + f"""SELECT eid, count(*) AS n, count(*) FILTER (live) AS n_live, CAST(coalesce(sum(ce - cs) FILTER (live), 0) AS BIGINT) AS chars
 FROM (SELECT t.eid, t.cs, t.ce, trim(replace(t.word, chr(10), ' ')) <> '' AND EXISTS (
   SELECT 1 FROM ln WHERE ln.eid = t.eid AND NOT regexp_matches(line, '{_DROP}') AND ln.s < t.ce AND ln.e > t.cs) AS live FROM tok t) GROUP BY eid""")
-def f16_live_mask(v):
+def f16_line_classes(v):
+    """The mask by one pattern for whole lines, for languages without a lexer."""
     x = v.ex.select("eid", "code")
     t = N.live_mask(v.tok.select("eid", "tok", "word", "cs", "ce"), N.live_ranges(x, _DROP))
     size = F.coalesce(F.sum(F.when(F.col("is_live"), F.col("ce") - F.col("cs"))), F.lit(0)).cast("long")
     return t.groupBy("eid").agg(F.count("*").alias("n"), F.count_if("is_live").alias("n_live"), size.alias("chars"))
 
 
+def _nested(of: str, step: str, out: str) -> str:
+    total = f"sum({step}) OVER (PARTITION BY eid ORDER BY i)"
+    return f"(SELECT * EXCLUDE (run), run - least(0, min(run) OVER (PARTITION BY eid ORDER BY i)) AS {out} FROM (SELECT *, {total} AS run FROM {of}))"
+
+
+def _re2(pattern: str) -> str:
+    """The pattern for an engine without possessive quantifiers."""
+    return _quoted(re.sub(r"([*+?}])\+", r"\1", pattern))
+
+
+_OPENS = "CASE WHEN t IN ('(', '[') THEN 1 WHEN t IN (')', ']') THEN -1 ELSE 0 END"
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_LIVE = SQL + SNIPPETS_SQL + f""", lx0 AS (
+  SELECT eid, lang AS fam, unnest(ts) AS t, unnest(range(len(ts))) AS i
+  FROM (SELECT eid, lang, CASE WHEN lang = 'python' THEN regexp_extract_all(chr(10) || code, {_re2(lexing.PYTHON)}) ELSE regexp_extract_all(chr(10) || code, {_re2(lexing.C_LIKE)}) END AS ts
+    FROM snippets WHERE lang <> 'rust')
+), lx1 AS (
+  SELECT *, CASE WHEN t = chr(10) THEN 'line' WHEN starts_with(t, chr(10)) THEN 'directive'
+    WHEN fam = 'python' AND starts_with(t, '#') OR fam <> 'python' AND (starts_with(t, '/*') OR starts_with(t, '//')) THEN 'comment'
+    WHEN regexp_full_match(t, '[ \\t\\r\\f\\v\\n\\\\]+') THEN 'space' ELSE 'code' END AS kind,
+    sum(length(t)) OVER (PARTITION BY eid ORDER BY i) - 1 AS e FROM lx0
+), lx AS (SELECT *, e - length(t) + CASE WHEN kind = 'directive' THEN 1 ELSE 0 END AS s FROM lx1),
+py0 AS (SELECT * FROM lx WHERE fam = 'python' AND kind IN ('code', 'line')),
+py1 AS {_nested("py0", "CASE WHEN t IN ('(', '[', '{') THEN 1 WHEN t IN (')', ']', '}') THEN -1 ELSE 0 END", "depth")},
+py2 AS (SELECT *, coalesce(sum(CASE WHEN depth = 0 AND t IN (chr(10), ';') THEN 1 ELSE 0 END) OVER (PARTITION BY eid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM py1),
+py3 AS (SELECT *, lead(s) OVER x AS next_s, lead(t) OVER x AS next_t, first_value(t) OVER (PARTITION BY eid, line ORDER BY i) AS f,
+  coalesce(sum(CASE WHEN depth = 0 AND t = ':' THEN 1 ELSE 0 END) OVER (PARTITION BY eid, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS colons
+  FROM py2 WHERE kind = 'code' AND NOT (depth = 0 AND t = ';') WINDOW x AS (PARTITION BY eid ORDER BY i)),
+py4 AS (SELECT eid, line, f IN {_IN(lexing.COMPOUND)} AND colons > 0 AS part, arg_min(t, i) AS f, coalesce(arg_min(next_t, i), '') AS g, min(s) AS s, max(e) AS e,
+  arg_min(coalesce(next_s, -1), i) FILTER (depth = 0 AND t = ':') AS body FROM py3 GROUP BY 1, 2, 3),
+py AS (SELECT eid, s, CASE WHEN f IN ('def', 'class') OR f = 'async' AND g = 'def' THEN CASE WHEN body >= 0 THEN body ELSE e END ELSE e END AS e FROM py4
+  WHERE (f IN ('def', 'class') OR f = 'async' AND g = 'def') AND NOT part OR f IN ('import', 'from', '@')),
+c1 AS {_nested("(SELECT * FROM lx WHERE fam <> 'python')", "CASE WHEN kind = 'directive' AND regexp_matches(t, '^.[ \\t]*#[ \\t]*if', 's') THEN 1 WHEN kind = 'directive' AND regexp_matches(t, '^.[ \\t]*#[ \\t]*endif', 's') THEN -1 ELSE 0 END", "off")},
+c2 AS {_nested("(SELECT * FROM c1 WHERE off = 0 AND kind = 'code')", _OPENS, "depth")},
+c3 AS (SELECT *, lag(t) OVER x AS last, lead(t) OVER x AS next_t, lead(e) OVER x AS next_e FROM c2 WINDOW x AS (PARTITION BY eid ORDER BY i)),
+c4 AS (SELECT *, coalesce(sum(CASE WHEN depth = 0 AND (t IN (';', '{{', '}}') OR fam = 'cpp' AND t = ':' AND last IN {_IN(lexing.ACCESS)}) THEN 1 ELSE 0 END) OVER (PARTITION BY eid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM c3),
+c5 AS {_nested("c4", "CASE WHEN depth = 0 AND t = '{' THEN 1 WHEN depth = 0 AND t = '}' THEN -1 ELSE 0 END", "braces")},
+c6 AS (SELECT eid, fam, st, arg_min(t, i) AS f, min(s) AS s, max(e) AS e, max(i) AS at, arg_max(t, i) AS et, arg_max(s, i) AS es, arg_max(braces, i) AS level,
+  min(i) FILTER (t = '(') AS paren, min(i) FILTER (depth = 0 AND t = '=' AND coalesce(last, '') NOT IN ('operator', '=', '<', '>', '!')) AS eq,
+  min(s) FILTER (depth = 0 AND t IN ('class', 'struct')) AS ty, min(s) FILTER (depth = 0 AND t = 'namespace') AS ns,
+  bool_or(depth = 0 AND t IN ('union', 'enum')) AS other, bool_or(t = 'enum') AS en, bool_or(t IN ('default', 'delete') AND coalesce(last, '') = '=') AS df FROM c5 GROUP BY 1, 2, 3),
+c7 AS (SELECT *, et = '{{' AND paren IS NULL AND (ty IS NOT NULL OR ns IS NOT NULL OR other OR f = 'extern') AS box FROM c6),
+c8 AS (SELECT *, et = '{{' AND coalesce((SELECT arg_max(o.box, o.at) FROM c7 o WHERE o.eid = c7.eid AND o.et = '{{' AND o.level = c7.level - 1 AND o.at < c7.at), TRUE) AS defines FROM c7),
+cc AS (
+  SELECT eid, s, e FROM c1 WHERE off > 0
+  UNION ALL SELECT eid, s, es FROM c8 WHERE et = '{{' AND paren IS NOT NULL AND (eq IS NULL OR eq > paren) AND f NOT IN {_IN(lexing.CONTROL)} AND defines
+  UNION ALL SELECT eid, s, e FROM c8 WHERE fam = 'cpp' AND et = ';' AND (paren IS NOT NULL AND df OR eq IS NULL AND f = 'using' OR f = 'namespace')
+  UNION ALL SELECT eid, coalesce(ns, ty), es FROM c8 WHERE fam = 'cpp' AND box AND NOT en AND coalesce(ns, ty) IS NOT NULL
+  UNION ALL SELECT eid, c5.s, next_e FROM c5 JOIN c7 USING (eid, st) WHERE c5.fam = 'cpp' AND t IN ('class', 'struct') AND regexp_matches(next_t, '^[A-Za-z_$\\x{{80}}-\\x{{10FFFF}}]') AND NOT box AND f <> 'template' AND NOT en
+), gone AS (SELECT eid, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (SELECT eid, s, e FROM lx WHERE kind IN ('comment', 'directive') UNION ALL SELECT * FROM py UNION ALL SELECT * FROM cc) WHERE s < e)
+""" + merged("m", "SELECT eid, s, e FROM gone") + """, edges AS (SELECT eid, s AS pos, e AS nx FROM m UNION ALL SELECT eid, length(code), NULL FROM snippets),
+live AS (SELECT eid, s, pos AS e FROM (SELECT eid, pos, coalesce(lag(nx) OVER (PARTITION BY eid ORDER BY pos, nx NULLS LAST), 0) AS s FROM edges) WHERE s < pos),
+stok0 AS (SELECT eid, lang, unnest(range(len(ws))) AS tok, unnest(ws) AS word FROM (SELECT *, string_split(code, ' ') AS ws FROM snippets)),
+stok1 AS (SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY eid ORDER BY tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cs FROM stok0),
+stok AS (SELECT *, cs + length(word) AS ce FROM stok1),
+lm AS (SELECT t.eid, t.tok, t.cs, t.ce, t.lang = 'rust' OR trim(replace(t.word, chr(10), ' ')) <> '' AND EXISTS (SELECT 1 FROM live WHERE live.eid = t.eid AND live.s < t.ce AND live.e > t.cs) AS live FROM stok t)
+"""
+
+
+@query(_LIVE + "SELECT eid, count(*) AS n, count(*) FILTER (live) AS n_live, CAST(coalesce(sum(ce - cs) FILTER (live), 0) AS BIGINT) AS chars, CAST(coalesce(any_value(z), 0) AS BIGINT) AS live_chars FROM lm LEFT JOIN (SELECT eid, sum(e - s) AS z FROM live GROUP BY eid) USING (eid) GROUP BY eid")
+def f16_live_mask(v):
+    """Tokens of source texts that hold live code; all tokens where the language has no lexer."""
+    x = staged(v.snippets, "snippets")
+    live = staged(lexing.live_code(x), "live-ranges")
+    t = F.posexplode(F.split("code", " ")).alias("tok", "word")
+    t = I.with_offsets(x.select("eid", "lang", t))
+    known = F.lower("lang").isin(*lexing.LANGUAGES)
+    t = N.live_mask(t, live).withColumn("is_live", F.col("is_live") | ~known)
+    size = F.coalesce(F.sum(F.when(F.col("is_live"), F.col("ce") - F.col("cs"))), F.lit(0)).cast("long")
+    sums = t.groupBy("eid").agg(F.count("*").alias("n"), F.count_if("is_live").alias("n_live"), size.alias("chars"))
+    chars = live.groupBy("eid").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("live_chars"))
+    return sums.join(chars, "eid", "left").fillna(0, ["live_chars"])
+
+
 @query(SQL + """, m AS (SELECT eid, tok, tok % 3 <> 0 AS live FROM tok WHERE eid % 4 <> 0), z AS (SELECT eid, count(*) + CASE WHEN eid % 5 = 0 THEN 1 ELSE 0 END AS n FROM m GROUP BY eid),
 c AS (SELECT eid, count(*) AS n FROM tok GROUP BY eid)
 SELECT t.eid, count(*) AS n, count(*) FILTER (CASE WHEN z.n = c.n THEN coalesce(m.live, TRUE) ELSE TRUE END) AS n_live
