@@ -5,10 +5,15 @@ of ``k`` template words of all documents are hash-joined with those of the bench
 enough of the item's windows stand on one diagonal of it (the item's words in order, give or take a few), and the slot
 values agree: an item's value must always stand for the same value of the document, and the other way round.
 
-A window needs words of its own for half its length at least; otherwise placeholders alone would match.  One with fewer
-matches only with the same words, values included; for this every capitalised word and every unit counts as a
-placeholder, so that what stands before the window makes no difference.  A sentence's first word is no name; as an item
-can stand inside a sentence of a document, its first word is looked up both ways.
+A window needs words of its own for half its length at least, or for three eighths if it holds two numbers or more;
+otherwise placeholders alone would match.  Signs of arithmetic are words.  One with fewer matches only with the same
+words, values included; for this every capitalised word and every unit counts as a placeholder, so that what stands
+before the window makes no difference.
+
+A capital letter doesn't tell a name from a sentence's first word, nor does a text in lower case have any.  Windows are
+therefore hashed in three ways, on both sides, where these differ: with the first word of a sentence as a word, with
+every capitalised word as a name, and with every name as a word in lower case.  As an item can stand inside a sentence
+of a document, its first word is also looked up as what it would be there.
 
 Documents are read once: of their windows only those pass whose hash is in a bitmap of the benchmark's hashes, which
 has a fixed largest size, and only for these are slot values taken.
@@ -42,6 +47,13 @@ UNITS = frozenset(
     "metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre "
     "litres ton tons tonne tonnes ounce ounces pint pints gallon gallons yard yards second seconds minute minutes hour hours day days week weeks month months year years degree degrees".split()
 )
+#: Spelled numbers; fixed list.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
+#: Signs of arithmetic that stand alone.
+SIGNS = re.compile(r"[+*/=<>×÷^]+")
 EDGES = re.compile(r"^[^\w$€£%]+|[^\w%]+$")
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-z]{1,3})")
@@ -69,11 +81,11 @@ class Canonical:
         self.tables: tuple[np.ndarray, ...] = ()
 
     def _learn(self, word: str) -> int:
-        core = EDGES.sub("", word)
+        core = EDGES.sub("", word) or ("" if SIGNS.fullmatch(word) is None else word)
         low = core.lower()
         if not core:
             kind = -1
-        elif NUMBER.fullmatch(core) or (m := NUMBER_UNIT.fullmatch(low)) and m[2] in UNITS:
+        elif low in NUMBER_WORDS or NUMBER.fullmatch(core) or (m := NUMBER_UNIT.fullmatch(low)) and m[2] in UNITS:
             kind = NUM
         elif low in UNITS:
             kind = UNIT
@@ -140,14 +152,25 @@ class Words:
         if n <= 0:
             return
         inside = self.text[:n] == self.text[size - 1 :]
-        kinds = [(self.placed, False), (self.kind, True)]
-        if as_found and (self.first & (self.placed != self.kind)).any():
-            kinds.append((np.where(self.first, self.kind, self.placed), False))
-        for kind, exact in kinds:
+        # Ways to take a window, and where they give something else than the first.
+        ways = [(self.placed, False, None), (self.kind, True, None)]
+        for other in (self.kind, np.where(self.placed == NAME, LITERAL, self.placed), *([np.where(self.first, self.kind, self.placed)] if as_found else [])):
+            unlike = np.concatenate([[0], np.cumsum(other != self.placed)])
+            ways.append((other, False, (unlike[size:] - unlike[:-size]) > 0))
+        for kind, exact, where in ways:
+            if where is not None and not where.any():
+                continue
             literal = kind == LITERAL
             plain = np.concatenate([[0], np.cumsum(literal)])
             plain = plain[size:] - plain[:-size]
-            fits = inside & ((plain * 2 < size) if exact else (plain * 2 >= size))
+            if exact:
+                fits = inside & (plain * 2 < size)
+            else:
+                numbers = np.concatenate([[0], np.cumsum(kind == NUM)])
+                numbers = numbers[size:] - numbers[:-size]
+                fits = inside & ((plain * 2 >= size) | (plain * 8 >= size * 3) & (numbers >= 2))
+            if where is not None:
+                fits &= where
             if not fits.any():
                 continue
             h = window_hashes(self.own if exact else np.where(literal, self.own, kind.astype(np.uint64)), size)
@@ -162,7 +185,7 @@ class Words:
     def slots(self, start: int, size: int, open_: np.ndarray) -> str | None:
         """The values at a window's placeholders."""
         at = np.flatnonzero(open_[start : start + size])
-        return "\x1f".join(EDGES.sub("", self.words[start + i]).lower() for i in at) if len(at) else None
+        return "\x1f".join((EDGES.sub("", w) or w).lower() for w in (self.words[start + i] for i in at)) if len(at) else None
 
 
 def word_code(low: str) -> int:

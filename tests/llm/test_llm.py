@@ -240,7 +240,8 @@ def test_decontamination_of_values_and_places(spark):
     texts = [f"so x {sums} y", f"we met {names} here", f"it asks {title} or so", f"{wrong} " + "q " * 40 + right, torn, wrong]
     texts += [sums.replace("1", "9"), " ".join(reversed(names.split()))]
     got = {(r["doc_id"], r["item_id"], r["other_values"]) for r in leaks(docs(spark, texts), bench).collect()}
-    assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, True), (4, 3, True)}
+    # The same arithmetic with other numbers is the same question.
+    assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, True), (4, 3, True), (6, 0, True)}
 
 
 def test_pipeline_drops_near_copies(spark):
