@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.scalars import cosine
+from lumenspan.operators.ranking import cumulative
 from lumenspan.store import staged
 
 
@@ -26,15 +27,18 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
 
+def _places(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds to (by, value, n) ``_upto``, the rows up to and with the value, and ``_all``, by buckets of values."""
+    c = cumulative(counts.select(*by, F.col("value").alias("score"), F.col("n").alias("pos"), F.lit(0).cast("long").alias("neg")), by)
+    return c.select(*by, F.col("score").alias("value"), F.col("pos").alias("n"), (F.col("P") - F.col("tp") + F.col("pos")).alias("_upto"), F.col("P").alias("_all"))
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """Exact percentiles, linear between neighbours, from counts per distinct value and cumulative counts.
 
-    No group's values are held in one place: counts are summed first, and only distinct values are put in order.
+    No group's values are put in order in one task: counts are summed first, and places come from buckets of values.
     """
-    counts = staged(value_counts(df, by, value), "value-counts")
-    order = Window.partitionBy(*by).orderBy("value")
-    c = counts.withColumn("_upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    c = c.withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
+    c = _places(value_counts(df, by, value), by)
     out = []
     for i, p in enumerate(shares):
         at = F.lit(p) * (F.col("_all") - 1)
@@ -50,11 +54,11 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank from 1 by ``value``; ties share the mean of their places.  Ranks are taken of distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(out, before + (F.col("_n") + 1) / 2.0).select(value, out)
-    return df.join(ranks, value)
+    """Rank from 1 by ``value``; ties share the mean of their places, rows with a null or NaN go.  Places are taken of distinct
+    values, by buckets."""
+    places = _places(value_counts(df.withColumn("_v", F.col(value)), [], "_v"), [])
+    ranks = places.select(F.col("value").alias("_v"), (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(value).cast("double") == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.scalars import sigmoid
+from lumenspan.operators.splits import ranked
 
 #: Lines of source text made of eight words of a text: {a} the first, {b} the second, {rest} the others; by line number.
 SNIPPETS = {
@@ -127,8 +128,7 @@ class Views:
 
     @property
     def pairs(self) -> DataFrame:
-        order = Window.partitionBy("grp", "row_label").orderBy("eid")
-        r = self.ex.withColumn("rn", F.row_number().over(order))
+        r = ranked(self.ex.select("grp", "row_label", "eid"), ["grp", "row_label"], F.col("eid").cast("double"), "eid", "rn")
         v = r.where("row_label = 1").select("grp", "rn", F.col("eid").alias("vuln_eid"))
         s = r.where("row_label = 0").select("grp", "rn", F.col("eid").alias("safe_eid"))
         return v.join(s, ["grp", "rn"]).select("grp", "rn", "vuln_eid", "safe_eid")
