@@ -63,3 +63,29 @@ def manifest(traces: DataFrame) -> DataFrame:
     trace = F.struct("start_line", "end_line", "cwe", "trace_id")
     files = traces.groupBy("repo_id", "file").agg(F.sort_array(F.collect_list(trace)).alias("traces"))
     return files.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("file", "traces"))).alias("files"))
+
+
+def benchmark_manifest(positives: DataFrame, fixed: DataFrame, decoys: DataFrame, sizes: DataFrame, traces: DataFrame) -> DataFrame:
+    """(repo_id, cwe, lang, files, traces, negative_regions): a small repository for each positive (eid, cwe, lang).
+
+    Its files are the faulty text, its mended counterpart (eid, safe_eid) where there is one, and the decoys (eid, decoy,
+    place); traces (eid, start_line, end_line) lie in the first, and all lines of the others (``sizes``: eid, n_lines) are
+    negative regions.  Lists are ordered: files by role and place, traces by line.
+    """
+    first = positives.select("eid", F.lit(0).alias("o"), F.lit(0).alias("place"), F.lit("vulnerable").alias("role"), F.col("eid").alias("row"), F.lit(1).alias("label"))
+    mended = fixed.join(positives.select("eid"), "eid").select("eid", F.lit(1), F.lit(0), F.lit("fixed_counterpart"), "safe_eid", F.lit(0))
+    safe = decoys.select("eid", F.lit(2), "place", F.lit("safe_decoy"), "decoy", F.lit(0))
+    folder = F.element_at(F.create_map(*(F.lit(x) for x in ("vulnerable", "src/", "fixed_counterpart", "fixed/", "safe_decoy", "decoys/"))), F.col("role"))
+    files = first.unionAll(mended).unionAll(safe).join(sizes.select(F.col("eid").alias("row"), "n_lines"), "row")
+    files = files.withColumn("path", F.concat(folder, F.col("place").cast("string"), F.lit("_"), F.col("row").cast("string")))
+    listed = files.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("o", "place", "path", "role", "row", "label", "n_lines"))).alias("f"))
+    found = traces.join(positives.select("eid"), "eid").groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line"))).alias("t"))
+    out = positives.join(listed, "eid").join(found, "eid", "left")
+    region = lambda x: F.struct(x["path"].alias("file"), F.lit(1).cast("long").alias("start_line"), x["n_lines"].alias("end_line"), x["role"].alias("role"))
+    none = F.array().cast("array<struct<file:string,start_line:long,end_line:long>>")
+    return out.select(
+        F.col("eid").alias("repo_id"), "cwe", "lang",
+        F.transform("f", lambda x: F.struct(x["path"].alias("path"), x["role"].alias("role"), x["row"].alias("source_row"), x["label"].alias("label"))).alias("files"),
+        F.coalesce(F.transform("t", lambda x: F.struct(F.get("f", F.lit(0))["path"].alias("file"), x["start_line"].cast("long").alias("start_line"), x["end_line"].cast("long").alias("end_line"))), none).alias("traces"),
+        F.transform(F.filter("f", lambda x: x["label"] == 0), region).alias("negative_regions"),
+    )

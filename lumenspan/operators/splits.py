@@ -125,6 +125,36 @@ def decoys(positives: DataFrame, negatives: DataFrame, k: int, seed: int) -> Dat
     return p.join(neg.withColumnRenamed("grp", "_other"), ["lang", "_other", "_at"]).select("eid", "decoy", "place")
 
 
+def sampled_decoys(positives: DataFrame, negatives: DataFrame, k: int, seed: int) -> DataFrame:
+    """(eid, decoy, place): ``k`` different negatives of other groups than the positive's, of its language where that has
+    so many, else of any; fewer only where all languages together have fewer.
+
+    The negatives of a language, and all of them, are put in a ring in which groups stand together.  A positive's own
+    group is one stretch of a ring; it takes places at equal distances from a start of its own in what is left.  Nothing
+    is paired but a positive with its decoys, and a group of any size costs no more than its two ends.
+    """
+    neg = negatives.select("lang", "grp", F.col("eid").alias("decoy"))
+    key = uniform_hash(F.lit(seed), "grp")
+    own = ranked(neg, ["lang"], key, "decoy", "_at").select(F.concat(F.lit("="), "lang").alias("_ring"), "grp", "decoy", "_at")
+    every = ranked(neg, [], key, "decoy", "_at").select(F.lit("*").alias("_ring"), "grp", "decoy", "_at")
+    rings = staged(own.unionByName(every), "decoy-rings")
+    sizes = rings.groupBy("_ring").agg(F.count("*").alias("_size"))
+    blocks = rings.groupBy("_ring", "grp").agg((F.min("_at") - 1).alias("_from"), (F.max("_at") - F.min("_at") + 1).alias("_own"))
+    p = positives.select("eid", "grp", F.explode(F.array(F.concat(F.lit("="), "lang"), F.lit("*"))).alias("_ring"))
+    p = p.join(sizes, "_ring").join(blocks, ["_ring", "grp"], "left")
+    p = p.select("eid", "_ring", F.coalesce("_own", F.lit(0)).alias("_own"), F.coalesce("_from", "_size").alias("_from"), (F.col("_size") - F.coalesce("_own", F.lit(0))).alias("_pool"))
+    # The language's ring first, if its pool is large enough.
+    fits = ((F.col("_ring") != "*") & (F.col("_pool") >= k)).cast("int")
+    named = ("_ring", "_own", "_from", "_pool")
+    p = p.groupBy("eid").agg(F.max_by(F.struct(*named), F.struct(fits, (F.col("_ring") == "*").cast("int"))).alias("r")).select("eid", "r.*").where("_pool > 0")
+    take = F.least(F.lit(k), F.col("_pool"))
+    start = F.floor(uniform_hash(F.lit(seed), "eid") * F.col("_pool"))
+    p = p.select("eid", *named, start.alias("_start"), F.floor(F.col("_pool") / take).alias("_step"), F.explode(F.sequence(F.lit(1), take.cast("int"))).alias("place"))
+    at = (F.col("_start") + (F.col("place") - 1) * F.col("_step")) % F.col("_pool")
+    p = p.withColumn("_at", at + F.when(at >= F.col("_from"), F.col("_own")).otherwise(0) + 1)
+    return p.join(rings.select("_ring", "_at", "decoy"), ["_ring", "_at"]).select("eid", "decoy", "place")
+
+
 def leave_one_out(ex: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
     """For each held-out value its rows are test and all others, NULL included, train; one-sided splits go."""
     v = broadcast_if_small(values.select(F.col(column).alias("held")))

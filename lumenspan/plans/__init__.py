@@ -1,6 +1,6 @@
 """Registered queries of the analytics operators and the SQL they are checked with."""
 
-from lumenspan.plans import fit_queries, metric_queries, report_queries, text_queries  # noqa: F401  they register their queries
+from lumenspan.plans import build_queries, fit_queries, metric_queries, report_queries, text_queries  # noqa: F401  they register their queries
 from lumenspan.plans import oracle, queries, registry
 from lumenspan.plans.queries import flagship
 
