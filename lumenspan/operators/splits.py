@@ -157,7 +157,12 @@ def sampled_decoys(positives: DataFrame, negatives: DataFrame, k: int, seed: int
 
 def leave_one_out(ex: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
     """For each held-out value its rows are test and all others, NULL included, train; one-sided splits go."""
-    v = broadcast_if_small(values.select(F.col(column).alias("held")))
+    held = values.select(F.col(column).alias("held")).distinct()
+    # A value that no row has leaves no test side, one that all rows have no training side.
+    sizes = ex.groupBy(F.col(column).alias("held")).agg(F.count("*").alias("_own"))
+    whole = ex.agg(F.count("*").alias("_all"))
+    two_sided = held.join(sizes, "held").crossJoin(F.broadcast(whole)).where("_own < _all").select("held")
+    v = broadcast_if_small(staged(two_sided, "held-values"))
     rows = ex.crossJoin(v).withColumn("side", F.when(F.col(column).eqNullSafe(F.col("held")), "test").otherwise("train"))
     return rows.select(F.concat(F.lit(name + "::"), "held").alias("split_name"), "eid", "row_label", "side")
 
