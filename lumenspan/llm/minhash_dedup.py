@@ -8,8 +8,9 @@
    have fewer bands, of which at most one for each unlike shingle differs).  Sets of up to 15 shingles are listed whole
    and without each one or two that a similar set may lack: exact, and no frequent shingle becomes a key.
 4. Candidates are not all pairs of a key: for a few turns each document is compared with one hub of its groups, and
-   groups that have become one component are done.  What is then still open is listed again by pairs of keys, as two
-   similar documents share two, so that a key which many unlike documents have makes no pairs by itself.
+   groups that have become one component are done.  What is then still open is listed again by pairs of keys of one of
+   four classes, so that a key which many unlike documents have makes no pairs by itself; similar documents that share
+   five keys share two of a class, all but about 3e-7 of those at the limit.
 5. Each candidate pair's similarity is estimated from both documents' registers, less the collisions that unlike hashes
    of these sizes have; pairs more than ``SPARE`` standard deviations below the limit go.  The rest is confirmed on the
    full sets.
@@ -28,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.components import connected_components
@@ -55,6 +56,8 @@ EMPTY = 0xFFFF
 BAND = 4
 #: Sets of so many shingles at most are listed with what a similar set may lack; those of TINY - 1 or more by bands.
 TINY = 15
+#: Classes of open keys, and how many of a member's keys in a class tell at which of them a pair is made.
+CLASSES, FIRST_KEYS = 4, 12
 #: An estimate so many standard deviations below the limit counts as unlike.
 SPARE = 6.5
 
@@ -166,43 +169,57 @@ def near_links(docs: DataFrame, drawn: DataFrame, k: int, percent: int, scratch:
     sets = scratch.staged(whole.select(F.col("doc_id").alias("id"), "tokens", "parity"), "sets")
     compared, components, rows = None, None, None
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that are new, and those of them that are links."""
         if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
         tried = scratch.staged(pairs, "pairs")
         found = scratch.staged(_links(likely(tried, drawn, percent), sets, percent), "links")
-        return tried.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+        return tried, found.where("linked").select("a", "b")
 
     for turn in range(HUB_TURNS):
         scratch.drop(rows)
         rows = listed.withColumn("component", F.col("id")) if components is None else _open_rows(listed, components, sets, scratch)
-        found = confirmed(_hub_pairs(rows, turn, percent))
-        compared = found if compared is None else compared.unionAll(found)
-        linked = found.where("linked").select("a", "b")
+        tried, linked = confirmed(_hub_pairs(rows, turn, percent))
+        compared = tried if compared is None else compared.unionAll(tried)
         if components is None or not linked.isEmpty():
             before, components = components, scratch.staged(connected_components(_with_stars(components, linked)), "components")
             scratch.drop(before)
     scratch.drop(rows)
-    last = confirmed(_pairs_of_two_keys(_open_rows(listed, components, sets, scratch), percent, scratch))
-    return _with_stars(components, last.where("linked").select("a", "b"))
+    _, last = confirmed(_pairs_of_two_keys(_open_rows(listed, components, sets, scratch), percent, scratch))
+    return _with_stars(components, last)
 
 
 def _pairs_of_two_keys(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): members of different components that may be similar and share two open keys; tiny sets share one.
+    """(a, b): members of different components that may be similar and share two open keys of a class; tiny sets share one.
 
     A pair that is similar and still apart has none of its keys among the groups that are done, so all it shares is open.
+    Keys fall into ``CLASSES`` by their last bits, which keeps a member's combinations few.  In each class a pair is made
+    at the first two keys it shares; ``own`` are a member's first few of the class.
     """
     by_id = rows.groupBy("id").agg(
-        F.first("n").alias("n"), F.first("component").alias("component"), F.first("parity").alias("parity"), F.sort_array(F.collect_set("key")).alias("keys")
+        F.first("n").alias("n"), F.first("component").alias("component"), F.first("parity").alias("parity"), F.collect_set("key").alias("keys")
     )
-    later = F.transform(F.col("keys"), lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y)))
-    single = F.when(F.col("n") <= TINY, F.col("keys")).otherwise(F.array().cast("array<long>"))
-    open_keys = by_id.select("id", "n", "component", "parity", F.explode(F.concat(F.flatten(later), single)).alias("key"))
+    # Half a key each; two of them make a whole one again.
+    half = F.array_sort(F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    by_class = by_id.withColumn("half", half).select(
+        "id", "n", "component", "parity", F.explode(F.array(*[F.filter("half", lambda x, c=c: F.pmod(x, F.lit(CLASSES)) == c) for c in range(CLASSES)])).alias("all")
+    )
+    later = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.xxhash64(x, y))))
+    names = ("id", "n", "component", "parity", "own")
+    open_keys = by_class.where("size(all) > 1").select("id", "n", "component", "parity", F.slice("all", 1, FIRST_KEYS).alias("own"), F.explode(later).alias("key"))
+    tiny = by_id.where(F.col("n") <= TINY).select("id", "n", "component", "parity", F.array().cast("array<int>").alias("own"), F.explode("keys").alias("key"))
+    open_keys = open_keys.unionAll(tiny)
     ends = open_keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_keys = scratch.staged(open_keys.join(ends, "key"), "two-keys")
-    other = open_keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "parity")))
+    other = open_keys.select("key", *(F.col(c).alias(f"{c}2") for c in names))
+    both = F.array_intersect("own", "own2")
     pairs = open_keys.join(other, "key").where(
-        (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _similar_size("n", "n2", percent) & _similar_parity(percent)
+        (F.col("id") < F.col("id2"))
+        & (F.col("component") != F.col("component2"))
+        & _similar_size("n", "n2", percent)
+        & _similar_parity(percent)
+        & F.when(F.size(both) >= 2, F.xxhash64(both[0], both[1]) == F.col("key")).otherwise(True)
     )
     return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
