@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +81,13 @@ def complement(merged: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def subtract_spans(base: DataFrame, removed: DataFrame) -> DataFrame:
-    """Parts of ``base`` that no removed range covers (both merged, keyed by eid)."""
-    packed = removed.groupBy("eid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_r"))
-    b = base.join(packed, "eid", "left").withColumn("_r", F.filter(F.coalesce("_r", F.array().cast("array<struct<s:long,e:long>>")), lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s"))))
-    starts = F.concat(F.array("s"), F.transform("_r", lambda x: x["e"]))
-    ends = F.concat(F.transform("_r", lambda x: x["s"]), F.array("e"))
-    parts = F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e")))
-    return b.select("eid", parts.alias("p")).select("eid", "p.s", "p.e").where("s < e")
+    """Parts of ``base`` that no removed range covers (both merged, keyed by eid): one pass over all ends by position."""
+    ends = [rows.select("eid", F.col(at).cast("long").alias("at"), F.lit(b).alias("b"), F.lit(r).alias("r")) for rows, side in ((base, 0), (removed, 1)) for at, up in (("s", 1), ("e", -1)) for b, r in [((up, 0) if side == 0 else (0, up))]]
+    steps = reduce(DataFrame.unionAll, ends).groupBy("eid", "at").agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
+    order = Window.partitionBy("eid").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    parts = steps.select("eid", F.col("at").alias("s"), F.lead("at").over(order).alias("e"), F.sum("b").over(upto).alias("b"), F.sum("r").over(upto).alias("r"))
+    return parts.where("b > 0 and r = 0 and s < e").select("eid", "s", "e")
 
 
 def islands(tok: DataFrame, flag: str = "y") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.text import CLASS_PATTERNS, SANITIZER, last_line
 from lumenspan.operators.intervals import merge_spans, subtract_spans
+from lumenspan.operators.lines import last_before, lines
 
 #: Span columns in order of precedence, and the label they give.
 SPAN_KEYS = {"evidence": 1, "vulnerable_line": 1, "sink": 1, "source": 1, "sanitizer": 0}
@@ -108,12 +112,58 @@ def paired_classes(ex: DataFrame) -> DataFrame:
     return ex.join(last, "grp", "left").select("eid", F.coalesce(own, "_last").alias("paired_cwe"))
 
 
+#: So many characters of pieces at once from a task.
+PIECES = 4 << 20
+
+
+def pieces(ex: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(eid, key, piece): the characters [s, e) of the ranges (eid, key, s, e) of each text (eid, code).
+
+    A text meets all its ranges in one row and is cut there, so that it is neither copied to each range nor counted
+    through from its start for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, lists = (batch.column(c) for c in ("eid", "code", "r"))
+            for i in range(batch.num_rows):
+                eid, text, own = ids[i].as_py(), texts[i].as_py() or "", lists[i].values
+                key, s, e = (own.field(c).to_pylist() for c in ("key", "s", "e"))
+                at = 0
+                while at < len(key):
+                    out, held = [], 0
+                    while at + len(out) < len(key) and held < PIECES:
+                        j = at + len(out)
+                        out.append(text[max(0, s[j]) : max(0, e[j])])
+                        held += len(out[-1]) + 50
+                    arrays = [pa.array([eid] * len(out), pa.int64()), pa.array(key[at : at + len(out)], pa.int64()), pa.array(out, pa.string())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["eid", "key", "piece"])
+                    at += len(out)
+
+    listed = ranges.groupBy("eid").agg(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("key", "s", "e")))).alias("r"))
+    rows = ex.select(F.col("eid").cast("long").alias("eid"), "code").join(listed, "eid")
+    return rows.mapInArrow(run, "eid long, key long, piece string")
+
+
 def contexts(tok: DataFrame, ex: DataFrame, around: int = 48) -> DataFrame:
     """(eid, tok, surface, context): a token as it stands in the text, and with some characters on both sides."""
-    lo = F.greatest(F.lit(0), F.col("cs") - around)
-    surface = F.expr("substring(code, cast(cs as int) + 1, cast(ce - cs as int))")
-    context = F.substring("code", (lo + 1).cast("int"), (F.col("ce") + around - lo).cast("int"))
-    return tok.join(ex.select("eid", "code"), "eid").select("eid", "tok", surface.alias("surface"), context.alias("context"))
+    wide = tok.select("eid", F.col("tok").alias("key"), (F.col("cs") - around).alias("s"), (F.col("ce") + around).alias("e"))
+    cut = pieces(ex, wide).select("eid", F.col("key").cast(dict(tok.dtypes)["tok"]).alias("tok"), F.col("piece").alias("context"))
+    inside = F.substring("context", (F.least(F.lit(around), F.col("cs")) + 1).cast("int"), (F.col("ce") - F.col("cs")).cast("int"))
+    return cut.join(tok.select("eid", "tok", "cs", "ce"), ["eid", "tok"]).select("eid", "tok", inside.alias("surface"), "context")
+
+
+def grown_to_lines(spans: DataFrame, ex: DataFrame) -> DataFrame:
+    """(eid, key, s, e, line_s, line_e): spans grown to whole lines, the last one's line feed included.
+
+    Starts and ends are looked up among the line starts by position; texts are only cut into lines.
+    """
+    rows = lines(ex).select("eid", F.col("s").alias("at"), F.struct("s", "e").alias("value"))
+    own = spans.select("eid", "s", "e").distinct()
+    first = last_before(own.select("eid", F.col("s").alias("at"), F.col("s").alias("point")), rows, "eid").select("eid", F.col("point").alias("s"), F.col("value.s").alias("line_s"))
+    at = F.greatest("e", F.col("s") + 1) - 1
+    last = last_before(own.select("eid", at.alias("at"), at.alias("point")).distinct(), rows, "eid").select("eid", F.col("point").alias("_at"), F.col("value.e").alias("line_e"))
+    return spans.withColumn("_at", at).join(first.distinct(), ["eid", "s"]).join(last, ["eid", "_at"]).select("eid", "key", "s", "e", "line_s", "line_e")
 
 
 def pattern_spans(ex: DataFrame, pattern: str) -> DataFrame:

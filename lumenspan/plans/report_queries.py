@@ -8,6 +8,7 @@ from lumenspan.functions import scalars as S
 from lumenspan.functions import text as T
 from lumenspan.operators import diffs
 from lumenspan.operators import intervals as I
+from lumenspan.operators import labels as L
 from lumenspan.operators import learning as M
 from lumenspan.operators import lines as N
 from lumenspan.operators import ngrams
@@ -357,10 +358,8 @@ def s14_repo_manifest(v):
 SELECT eid, tok, md5(substr(code, CAST(greatest(0, cs - 48) + 1 AS BIGINT), CAST(ce + 48 - greatest(0, cs - 48) AS BIGINT))) AS context FROM w""")
 def p9_all_contexts(v):
     """The surroundings of every token, as a digest."""
-    x = v.ex.select("eid", "code")
-    lo = F.greatest(F.lit(0), F.col("cs") - 48)
-    context = F.substring("code", (lo + 1).cast("int"), (F.col("ce") + 48 - lo).cast("int"))
-    return v.tok.select("eid", "tok", "cs", "ce").join(x, "eid").select("eid", F.col("tok").cast("long").alias("tok"), F.md5(context).alias("context"))
+    c = L.pieces(v.ex.select("eid", "code"), v.tok.select("eid", F.col("tok").alias("key"), (F.col("cs") - 48).alias("s"), (F.col("ce") + 48).alias("e")))
+    return c.select("eid", F.col("key").alias("tok"), F.md5("piece").alias("context"))
 
 
 

@@ -66,9 +66,7 @@ def f19_token_kinds(v):
   CASE WHEN strpos(substr(code, CAST(greatest(e, s + 1) AS BIGINT)), chr(10)) = 0 THEN length(code) ELSE strpos(substr(code, CAST(greatest(e, s + 1) AS BIGINT)), chr(10)) + greatest(e, s + 1) - 1 END AS line_e
 FROM (SELECT s.eid, s.key, s.s, s.e, x.code, substr(x.code, 1, CAST(s.s AS BIGINT)) AS b FROM spans s JOIN ex x USING (eid) WHERE s.key = 'sink')""")
 def f12_whole_lines(v):
-    x = v.spans.where("key = 'sink'").join(v.ex.select("eid", "code"), "eid")
-    s, e = T.whole_lines("code", "s", "e")
-    return x.select("eid", "key", *longs("s", "e"), s.cast("long").alias("line_s"), e.cast("long").alias("line_e"))
+    return L.grown_to_lines(v.spans.where("key = 'sink'").select("eid", "key", *longs("s", "e")), v.ex.select("eid", "code"))
 
 
 @query(SQL + """, p AS (SELECT p.grp, p.rn, a.code AS a, b.code AS b FROM pairs p JOIN ex a ON a.eid = vuln_eid JOIN ex b ON b.eid = safe_eid),
