@@ -126,6 +126,24 @@ def c2_token_report(v):
     return R.level_bundle(rows, ["split", "level"]).select("split", "level", *r6(*BUNDLE), *longs("n_total", "n_pos"))
 
 
+@query()
+def c2_level_intervals(v):
+    """The test side's levels: AUC with an interval over examples, beside a random score and the length."""
+    t = v.tok_scores.where("is_test").select("eid", "tok", "prob", "y", "is_code", "row_label", F.length("word").cast("double").alias("length"), S.uniform_hash(F.lit(7), "eid", "tok").alias("random"))
+    names = ("eid", "y", "prob", "random", "length")
+    level = lambda df, name: df.select(*names, F.lit(name).alias("level"))
+    examples = t.groupBy("eid").agg(F.max("row_label").alias("y"), F.max("prob").alias("prob"), F.max("random").alias("random"), F.sum("length").alias("length"))
+    rows = staged(level(t, "all_tokens").unionByName(level(t.where("is_code"), "code_tokens")).unionByName(level(examples, "examples")), "levels")
+    out = R.roc_auc(rows, ["level"], "prob")
+    for name in ("random", "length"):
+        out = out.join(R.roc_auc(rows, ["level"], name).select("level", F.col("auc").alias(f"{name}_auc")), "level")
+    ci = None
+    for name in ("all_tokens", "code_tokens", "examples"):
+        one = B.interval(B.resampled_auc(rows.where(F.col("level") == name), ["eid"], "prob", "y", N_BOOT, 7)).select(F.lit(name).alias("level"), "lo", "hi", "n_draws")
+        ci = one if ci is None else ci.unionByName(one)
+    return out.join(ci, "level").select("level", *r6("auc", "lo", "hi", "random_auc", "length_auc"), *longs("n_pos", "n_neg", "n_draws"))
+
+
 # pooling, slices, agreement
 
 
