@@ -1,4 +1,4 @@
-"""Queries of the reference's operators on views of the given tables.  SQL texts follow in ``oracle``."""
+"""Registered queries of the operators, each on the views of the given tables."""
 
 from __future__ import annotations
 
