@@ -12,7 +12,7 @@ The vocabulary comes from a tokenizer file's pieces in order of rank.  Where the
 files hold ranks), a piece's score is the log of its share by Zipf's law, 1 / (rank + 2.7); the scores are a parameter.
 
 Cases: null and empty texts have no token.  Repeated rows are counted one by one; null ids are kept.  Very long words
-and texts are counted whole.  An empty table gives an empty result.  Other columns are not carried.
+and texts are counted whole; a word takes a few copies of its characters and a window of scores.  An empty table gives an empty result.  Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: The cache holds so many words of so many characters at most, about 50 MB.
 KEEP, KEEP_CHARS = 200_000, 64
+#: Positions of a word that may be held beside those of the longest piece before the oldest go.
+HELD = 4_096
 
 
 def zipf_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -59,6 +61,7 @@ class UnigramCounter:
             if i != unknown_id and piece:
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=1)
         self.seen: dict[str, int] = {}
 
     def word(self, word: str) -> int:
@@ -72,32 +75,34 @@ class UnigramCounter:
         return n
 
     def viterbi(self, word: str) -> int:
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.pieces.iter(word):
-            ends[end].append(found)
-        best, count, joins = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
+        """Pieces of the best cut.  Only the positions that a piece can still begin at are held."""
+        best, count, joins = [0.0], [0], False
+        matches = self.pieces.iter(word)
+        match = next(matches, None)
+        for end, character in enumerate(word):
+            found = []
+            while match is not None and match[0] == end:
+                found.append(match[1])
+                match = next(matches, None)
             top, own = None, False
             # Longest first is leftmost first; an unknown character is tried last, as its start is the last.
-            for size, score in sorted(ends[end], reverse=True):
-                start = end + 1 - size
-                total = score + best[start]
+            for size, score in sorted(found, reverse=True):
+                total = score + best[-size]
                 if size == 1:
                     own = True
                 if top is None or total > top:
-                    top, pick = total, start
-            unknown = not own and (top is None or self.unknown + best[end] > top)
-            if unknown:
-                best[end + 1] = self.unknown + best[end]
-                if self.bytes:
-                    count[end + 1] = count[end] + len(word[end].encode())
-                else:
-                    count[end + 1] = count[end] + (not joins[end])
-                joins[end + 1] = True
+                    top, pick = total, size
+            if not own and (top is None or self.unknown + best[-1] > top):
+                top = self.unknown + best[-1]
+                pieces = count[-1] + (len(character.encode()) if self.bytes else not joins)
+                joins = True
             else:
-                best[end + 1], count[end + 1] = top, count[pick] + 1
-        return count[n]
+                pieces, joins = count[-pick] + 1, False
+            best.append(top)
+            count.append(pieces)
+            if len(best) > HELD + self.longest:
+                del best[: -self.longest], count[: -self.longest]
+        return count[-1]
 
     def text(self, text: str) -> int:
         """Words begin at spaces, which belong to the word they begin; a text that begins with none gets one."""
@@ -116,9 +121,12 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
             counter = counter or UnigramCounter(*zipf_vocabulary(model))
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = batch.column("text").to_pylist()
-                tokens = [counter.text(t or "") for t in texts]
-                arrays = [batch.column("doc_id"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(tokens, pa.int64())]
+                chars, tokens = [], []
+                for value in batch.column("text"):
+                    text = value.as_py() or ""
+                    chars.append(len(text))
+                    tokens.append(counter.text(text))
+                arrays = [batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_chars", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
