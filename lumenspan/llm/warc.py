@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.store import new_path, staged
+from lumenspan.store import held_bytes, new_path, staged
 
 #: Format values of WARC-in-Zstandard: magic of the dictionary's skippable frame, and of a Zstandard frame.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -41,11 +41,12 @@ def base32_sha1(raw: Column) -> Column:
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def deduplicated(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+def deduplicated(rows: DataFrame, least_bytes: int = 0, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, url, payload) -> the same with digest, record_type and refers_to.
 
     Among rows with equal payloads of at least ``least_bytes`` bytes the one with the largest key is the response.
-    Only digests that occur twice or more go into the join, and payloads are summed up before it.
+    Digests that occur twice or more are broadcast up to ``broadcast_bytes``.  Beyond, rows without payloads find their
+    response by digest, and payloads meet what was found by their row, so no digest brings its payloads together.
     """
     rows = rows.select("key", "url", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"))
     # Rows are told apart by their key.  Only where keys repeat they get a number, which must not change: written first.
@@ -63,8 +64,14 @@ def deduplicated(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
         .select("digest", "kept.key", F.col("kept.row").alias("kept_row"))
         .withColumnRenamed("key", "kept_key")
     )
+    shared = staged(shared, "shared-digests")
+    if held_bytes(shared) <= broadcast_bytes:
+        found = rows.join(F.broadcast(shared), "digest", "left")
+    else:
+        named = rows.select("row", "digest").join(shared.hint("merge"), "digest").drop("digest")
+        found = rows.join(named.hint("merge"), "row", "left")
     copy = F.col("kept_row").isNotNull() & (F.col("kept_row") != F.col("row"))
-    return rows.join(shared, "digest", "left").select(
+    return found.select(
         "key",
         "url",
         "payload",

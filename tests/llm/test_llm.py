@@ -135,6 +135,48 @@ def test_unigram_counts_equal_tokenizers():
         assert own.text(t) == len(tok.encode(t, add_special_tokens=False).ids), t
 
 
+def test_long_words_are_counted_in_bounded_memory():
+    public = pytest.importorskip("public_tokenizers")
+    import random
+    import tracemalloc
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from lumenspan.llm.token_counts import UnigramCounter, zipf_vocabulary
+
+    vocabulary, unknown = zipf_vocabulary(public.path("piece_bpe_32k.model"))
+    own = UnigramCounter(vocabulary, unknown)
+    tok = Tokenizer(models.Unigram(vocabulary, unknown, True))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    rng = random.Random(5)
+    pieces = [p.replace("▁", "") for p, _ in vocabulary if not p.startswith("<")] + ["日", "😀", "é"]
+    mixed = "".join(rng.choice(pieces) for _ in range(6_000))
+    assert len(mixed) > 20_000
+    assert own.text(mixed) == len(tok.encode(mixed, add_special_tokens=False).ids)
+    word = mixed * 10
+    tracemalloc.start()
+    try:
+        own.text(word)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * len(word) + (4 << 20)
+
+
+def test_warc_finds_the_same_responses_by_a_shuffle(spark):
+    from lumenspan.llm.warc import deduplicated
+
+    rows = [(i, f"u{i}", ["", "one", "two", None, f"own {i}"][i % 5]) for i in range(200)] + [(None, "u", "one")]
+    for repeats in ([], [(3, "u3", None), (1, "u1", "one")]):
+        table = spark.createDataFrame(rows + repeats, "key long, url string, html string")
+        table = table.selectExpr("key", "url", "encode(html, 'UTF-8') payload")
+        for least in (0, 1):
+            got = [deduplicated(table, least, limit) for limit in (64 << 20, -1)]
+            small, large = (sorted(map(str, d.drop("url").collect())) for d in got)
+            assert small == large and len(small) == len(rows) + len(repeats)
+            assert sum("revisit" in r for r in small) > 50
+
+
 def test_warc_round_trip(spark):
     from lumenspan.llm.warc import archived_pages
 
