@@ -28,15 +28,25 @@ def cumulative(counts: DataFrame, by: list[str], rows_in_bucket: int = 200_000)
     """Adds ``tp``, ``fp``: positives and negatives with at least this score; ``P``, ``N``: all of the group.
 
     ``place`` is the score's place from the highest, 1, and ``n_scores`` how many distinct scores the group has.  The
-    counts are written once; the number of buckets follows from theirs.
+    counts are written once; the number of buckets follows from theirs.  Where no group has more than one bucket's
+    scores, however many groups there are, each is put in order as it is.
     """
     counts = staged(counts, "score-counts")
-    buckets = counts.count() // rows_in_bucket + 1
-    bucket = F.lit(0)
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        for c in sorted(set(counts.agg(F.percentile_approx("score", shares, 1000)).first()[0] or [])):
-            bucket = bucket + (F.col("score") >= c).cast("int")
+    sizes = counts.groupBy(*by).count() if by else counts.groupBy().count()
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= rows_in_bucket:
+        order, group = Window.partitionBy(*by).orderBy(F.desc("score")), Window.partitionBy(*by)
+        within = order.rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(
+            *by, "score", "pos", "neg", F.sum("pos").over(within).alias("tp"), F.sum("neg").over(within).alias("fp"),
+            F.sum("pos").over(group).alias("P"), F.sum("neg").over(group).alias("N"),
+            F.row_number().over(order).alias("place"), F.count("*").over(group).alias("n_scores"),
+        )
+    buckets = total // rows_in_bucket + 1
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(counts.agg(F.percentile_approx("score", shares, 1000)).first()[0] or []))
+    # One literal array, as an expression for each cut would nest as deep as there are cuts.
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score")))
     counts = counts.withColumn("_b", bucket)
     sums = counts.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.count("*").alias("_k"))
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
