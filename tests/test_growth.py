@@ -22,3 +22,26 @@ def test_cumulative_counts_of_many_groups_and_many_cuts(spark):
     # In buckets of few scores (some 1,000 cuts), and without buckets, as no group passes one.
     for size in (4, 1500):
         assert sorted(map(tuple, cumulative(counts, ["g"], size).collect())) == sorted(want)
+
+
+def test_merged_ranges_in_sql_do_not_hang_on_ties():
+    duckdb = pytest.importorskip("duckdb")
+    from lumenspan.plans.oracle import merged
+
+    rng, rows = random.Random(3), []
+    for i in range(20):
+        at = 0
+        for _ in range(60):
+            at += rng.randrange(1, 8)
+            rows += [(i, at, at + rng.randrange(1, 4))] * rng.randrange(1, 4)
+    want = []
+    for eid, s, e in sorted(rows):
+        if want and want[-1][0] == eid and s <= want[-1][2]:
+            want[-1] = (eid, want[-1][1], max(want[-1][2], e), want[-1][3] + 1)
+        else:
+            want.append((eid, s, e, 1))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE spans (eid BIGINT, s BIGINT, e BIGINT)")
+    con.executemany("INSERT INTO spans VALUES (?, ?, ?)", rows)
+    got = con.execute("WITH z AS (SELECT 1)" + merged("m", "SELECT eid, s, e FROM spans") + "SELECT eid, s, e, members FROM m").fetchall()
+    assert sorted(got) == sorted(want)
