@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions.text import CLASS_PATTERNS, SANITIZER, last_line
 from lumenspan.operators.intervals import merge_spans, subtract_spans
 from lumenspan.operators.lines import last_before, lines
+from lumenspan.store import staged
 
 #: Span columns in order of precedence, and the label they give.
 SPAN_KEYS = {"evidence": 1, "vulnerable_line": 1, "sink": 1, "source": 1, "sanitizer": 0}
@@ -166,29 +167,32 @@ def grown_to_lines(spans: DataFrame, ex: DataFrame) -> DataFrame:
     return spans.withColumn("_at", at).join(first.distinct(), ["eid", "s"]).join(last, ["eid", "_at"]).select("eid", "key", "s", "e", "line_s", "line_e")
 
 
-def pattern_spans(ex: DataFrame, pattern: str) -> DataFrame:
-    """(eid, s, e) of every match of a pattern (never an empty one) in each text.
+def pattern_spans(ex: DataFrame, pattern: str | Column) -> DataFrame:
+    """(eid, s, e) of every match of a pattern (never an empty one) in each text; a column gives each text its own.
 
-    A match begins where the pieces between matches and the matches before it end; both are summed per text.
+    A match begins where the pieces between matches and the matches before it end; both are summed per text.  A row of a
+    match carries two lengths, never the text or its other matches.
     """
-    rows = ex.select("eid", F.posexplode(F.split("code", pattern, -1)).alias("_i", "_piece"), F.regexp_extract_all("code", F.lit(pattern), F.lit(0)).alias("_m"))
-    rows = rows.withColumn("_own", F.length(F.get("_m", F.col("_i")))).where("_own is not null")
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    length = lambda x: F.length(x)
+    pieces, own = F.transform(F.split("code", pattern, -1), length), F.transform(F.regexp_extract_all("code", pattern, F.lit(0)), length)
+    both = F.zip_with(pieces, own, lambda a, b: F.struct((a + b).alias("both"), b.alias("own")))
+    rows = ex.select("eid", F.posexplode(both).alias("_i", "_x")).select("eid", "_i", "_x.both", "_x.own").where("own is not null")
     before = Window.partitionBy("eid").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("_piece") + F.col("_own")).over(before)
-    return rows.select("eid", (end - F.col("_own")).cast("long").alias("s"), end.cast("long").alias("e"))
+    end = F.sum("both").over(before)
+    return rows.select("eid", (end - F.col("own")).cast("long").alias("s"), end.cast("long").alias("e"))
 
 
 def class_spans(ex: DataFrame, patterns: dict[str, tuple[str, str]] = CLASS_PATTERNS, sanitizer: str = SANITIZER) -> DataFrame:
     """(eid, key, s, e) of positives (eid, code, cwe, row_label): sinks and sources of their class, checks, last line, evidence."""
-    pos = ex.where("row_label = 1")
-    found = {"sink": None, "source": None}
-    for cls, both in patterns.items():
-        own = pos.where(F.col("cwe") == cls)
-        for key, pattern in zip(found, both, strict=True):
-            if pattern:
-                one = pattern_spans(own, pattern)
-                found[key] = one if found[key] is None else found[key].unionByName(one)
-    sinks, sources = (merge_spans(found[k], ["eid"]).select("eid", "s", "e") for k in ("sink", "source"))
+    pos = staged(ex.where("row_label = 1").select("eid", "code", "cwe"), "class-texts")
+    found = []
+    for which in (0, 1):
+        # A text's pattern is looked up by its class, so that all classes are one pass.
+        table = [F.lit(x) for cls, both in patterns.items() if both[which] for x in (cls, both[which])]
+        own = pos.withColumn("_p", F.element_at(F.create_map(*table), F.col("cwe"))).where("_p is not null") if table else pos.withColumn("_p", F.lit("x")).limit(0)
+        found.append(staged(merge_spans(pattern_spans(own, F.col("_p")), ["eid"]).select("eid", "s", "e"), "class-spans"))
+    sinks, sources = found
     ends = last_lines(pos)
     keyed = {"evidence": evidence(sinks, sources, ends), "vulnerable_line": ends, "sink": sinks, "source": sources}
     keyed["sanitizer"] = merge_spans(pattern_spans(pos, sanitizer), ["eid"]).select("eid", "s", "e")

@@ -60,3 +60,18 @@ def test_soft_labels_look_ahead_without_a_shrinking_frame(spark):
     for df in (got, nearest_distance(spans, spans)):
         plan = df._jdf.queryExecution().toString().lower()
         assert "currentrow$(), unboundedfollowing" not in plan
+
+
+def test_pattern_spans_by_a_pattern_for_each_text(spark):
+    from lumenspan.operators.labels import class_spans, pattern_spans
+
+    rows = [(1, "a1 b22 c", "[0-9]+"), (2, "a1 Bb cc", "[a-z]+"), (3, "", "x"), (4, None, "x")]
+    got = pattern_spans(spark.createDataFrame(rows, "eid long, code string, p string"), F.col("p"))
+    want = [(i, m.start(), m.end()) for i, t, p in rows if t for m in re.finditer(p, t)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # A match's row carries neither the text nor the other matches.
+    assert not any("array" in t or "string" in t for _, t in got.dtypes)
+    ex = spark.createDataFrame([(1, "ab 12", "A", 1), (2, "ab 12", "B", 1), (3, "ab 12", "C", 1), (4, "ab 12", "A", 0)], "eid long, code string, cwe string, row_label int")
+    found = class_spans(ex, {"A": ("[0-9]+", ""), "B": ("[a-z]+", "[0-9]+")}, "b")
+    assert sorted((r["eid"], r["s"], r["e"]) for r in found.where("key = 'sink'").collect()) == [(1, 3, 5), (2, 0, 2)]
+    assert [(r["eid"], r["s"], r["e"]) for r in found.where("key = 'source'").collect()] == [(2, 3, 5)]
