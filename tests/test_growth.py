@@ -75,3 +75,14 @@ def test_pattern_spans_by_a_pattern_for_each_text(spark):
     found = class_spans(ex, {"A": ("[0-9]+", ""), "B": ("[a-z]+", "[0-9]+")}, "b")
     assert sorted((r["eid"], r["s"], r["e"]) for r in found.where("key = 'sink'").collect()) == [(1, 3, 5), (2, 0, 2)]
     assert [(r["eid"], r["s"], r["e"]) for r in found.where("key = 'source'").collect()] == [(2, 3, 5)]
+
+
+def test_trigrams_cut_a_text_once(spark, tmp_path):
+    from lumenspan.plans import QUERIES
+
+    texts = ["abcabc", "ab", "\U0001f600bc", None, ""]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["f22_char_ngrams"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [("abc", 2), ("bca", 1), ("cab", 1), ("\U0001f600bc", 1)]
+    assert "substring(" not in got._jdf.queryExecution().optimizedPlan().toString()
