@@ -89,9 +89,23 @@ def negative_cap(positives: int, most: int = 60_000, each: int = 25, least: int
     return min(most, max(each * positives, least))
 
 
+#: Stretches of the hash that rows are counted by.
+STRETCHES = 4096
+
+
 def sampled(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
-    """``n`` rows in order of their hash."""
-    return ranked(rows, [], uniform_hash(F.lit(seed), *keys), keys[-1], "_r").where(F.col("_r") <= n).drop("_r")
+    """``n`` rows in order of their hash.
+
+    Rows are counted by stretches of the hash; only those up to the stretch that holds the n-th are put in order.
+    """
+    key = uniform_hash(F.lit(seed), *keys)
+    stretch, before, last = F.floor(key * STRETCHES), 0, -1
+    # At most STRETCHES rows.
+    for s, k in sorted((r["s"], r["k"]) for r in rows.groupBy(stretch.alias("s")).agg(F.count("*").alias("k")).collect()):
+        if before >= n:
+            break
+        before, last = before + k, s
+    return ranked(rows.where(stretch <= last), [], key, keys[-1], "_r").where(F.col("_r") <= n).drop("_r")
 
 
 def masked_negatives(tok: DataFrame) -> DataFrame:

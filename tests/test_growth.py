@@ -86,3 +86,16 @@ def test_trigrams_cut_a_text_once(spark, tmp_path):
     got = QUERIES["f22_char_ngrams"](spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [("abc", 2), ("bca", 1), ("cab", 1), ("\U0001f600bc", 1)]
     assert "substring(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sample_orders_only_rows_near_its_bound(spark, monkeypatch):
+    from lumenspan.functions.scalars import uniform_hash
+    from lumenspan.operators import splits
+
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("eid"), F.col("id").alias("tok"))
+    want = {r["tok"] for r in rows.withColumn("k", uniform_hash(F.lit(5), "eid", "tok")).orderBy("k").limit(300).collect()}
+    seen, real = [], splits.ranked
+    monkeypatch.setattr(splits, "ranked", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    assert {r["tok"] for r in splits.sampled(rows, 300, 5, ["eid", "tok"]).collect()} == want
+    assert 300 <= seen[0] < 350
+    assert splits.sampled(rows, 30_000, 5, ["eid", "tok"]).count() == 20_000 and splits.sampled(rows, 0, 5, ["eid", "tok"]).count() == 0
