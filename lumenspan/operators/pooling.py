@@ -43,6 +43,14 @@ def span_max(tok: DataFrame, token_spans: DataFrame, score: str = "prob", block:
     return inner.select(*columns).unionByName(ends.select(*columns)).groupBy("eid", "first_tok", "last_tok").agg(F.max("_v").alias("span_score"))
 
 
+def run_max(tok: DataFrame, score: str, keep: list[str]) -> DataFrame:
+    """(eid, y, ``score``, keep...): the highest score of each run of tokens with equal ``y``; ``keep`` is the same for a
+    whole example.  One pass in order of position."""
+    place = F.row_number().over(Window.partitionBy("eid", "y").orderBy("tok"))
+    runs = tok.withColumn("_k", F.col("tok") - place).groupBy("eid", "y", "_k")
+    return runs.agg(F.max(score).alias(score), *[F.first(c).alias(c) for c in keep]).drop("_k")
+
+
 def pair_accuracy(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """How often the vulnerable side of a pair outscores the safe side: strictly, and with ties as half."""
     v = scores.select(F.col("eid").alias("vuln_eid"), F.col("score").alias("v"))

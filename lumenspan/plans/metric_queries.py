@@ -113,15 +113,12 @@ _LEVELS = """SELECT {'split': CASE WHEN is_test THEN 'test' ELSE 'train' END, 'l
 @query(_bundle(_LEVELS) + "SELECT grp.split AS split, grp.level AS level, * EXCLUDE (grp) FROM bundle")
 def c2_token_report(v):
     """Tokens, live tokens, runs of equal tokens and examples, on either side of the split."""
-    t = v.tok_scores.select("eid", "tok", "prob", "y", "is_code", "is_test", "row_label")
-    runs = I.islands(t).select("eid", "first_tok", "last_tok", F.lit(1).alias("y"))
-    other = I.islands(t.withColumn("y", 1 - F.col("y"))).select("eid", "first_tok", "last_tok", F.lit(0).alias("y"))
-    both = runs.unionByName(other)
-    spans = P.span_max(t, both).join(both, ["eid", "first_tok", "last_tok"]).join(t.select("eid", "is_test").distinct(), "eid")
+    t = staged(v.tok_scores.select("eid", "tok", "prob", "y", "is_code", "is_test", "row_label"), "report-tokens")
+    spans = P.run_max(t, "prob", ["is_test"])
     level = lambda df, name: df.select("is_test", F.lit(name).alias("level"), "prob", F.col("y").cast("int").alias("y"))
     examples = t.groupBy("eid").agg(F.first("is_test").alias("is_test"), F.max("prob").alias("prob"), F.max("row_label").alias("y"))
     rows = level(t, "all_tokens").unionByName(level(t.where("is_code"), "code_tokens")).unionByName(level(examples, "examples"))
-    rows = rows.unionByName(level(spans.withColumn("prob", F.col("span_score")), "spans"))
+    rows = rows.unionByName(level(spans, "spans"))
     rows = rows.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train")).withColumn("prob", F.round("prob", 9))
     return R.level_bundle(rows, ["split", "level"]).select("split", "level", *r6(*BUNDLE), *longs("n_total", "n_pos"))
 

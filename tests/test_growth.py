@@ -99,3 +99,15 @@ def test_a_sample_orders_only_rows_near_its_bound(spark, monkeypatch):
     assert {r["tok"] for r in splits.sampled(rows, 300, 5, ["eid", "tok"]).collect()} == want
     assert 300 <= seen[0] < 350
     assert splits.sampled(rows, 30_000, 5, ["eid", "tok"]).count() == 20_000 and splits.sampled(rows, 0, 5, ["eid", "tok"]).count() == 0
+
+
+def test_highest_score_of_each_run(spark):
+    from itertools import groupby
+
+    from lumenspan.operators.pooling import run_max
+
+    rng = random.Random(2)
+    rows = [(g, i, rng.randrange(2), rng.random(), g == 1) for g in range(3) for i in range(100)]
+    got = run_max(spark.createDataFrame(rows, "eid long, tok int, y int, prob double, side boolean"), "prob", ["side"])
+    want = [(*k, max(r[3] for r in own), k[0] == 1) for k, own in ((k, list(own)) for k, own in groupby(rows, key=lambda r: (r[0], r[2])))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
