@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from lumenspan.operators.intervals import complement, merge_spans
 DROPPED_LINE = r"^\s*(#|//|/\*|\*|import |from |def |class |@)"
 
 
+#: So many characters of excerpts at once from a task.
+EXCERPTS = 4 << 20
+
+
 def lines(ex: DataFrame) -> DataFrame:
     """(eid, line_no, s, e, line): 1-based lines and their ranges, line feed included but for the last."""
     rows = ex.select("eid", F.length("code").alias("_n"), F.posexplode(F.split("code", "\n")).alias("_i", "line"))
@@ -63,12 +72,44 @@ def last_before(points: DataFrame, starts: DataFrame, by: str) -> DataFrame:
 
 
 def excerpts(ex: DataFrame, spans: DataFrame, around: int = 2) -> DataFrame:
-    """(eid, s, e, excerpt): the lines of a span and some around it, numbered, the span between « and »."""
-    marked = F.concat(F.substring("code", F.lit(1), F.col("s").cast("int")), F.lit("«"), F.expr("substring(code, cast(s + 1 as int), cast(e - s as int))"), F.lit("»"), F.expr("substring(code, cast(e + 1 as int))"))
-    rows = spans.join(ex, "eid").withColumn("_l", F.split(marked, "\n"))
-    first = F.array_position(F.transform("_l", lambda x: F.contains(x, F.lit("«"))), True)
-    last = F.array_position(F.transform("_l", lambda x: F.contains(x, F.lit("»"))), True)
-    rows = rows.withColumn("_a", F.greatest(F.lit(1), first - around)).withColumn("_z", F.least(F.size("_l"), last + around))
-    own = F.slice("_l", F.col("_a").cast("int"), (F.col("_z") - F.col("_a") + 1).cast("int"))
-    text = F.array_join(F.transform(own, lambda x, i: F.concat(F.lpad((F.col("_a") + i).cast("string"), 5, " "), F.lit(" | "), x)), "\n")
-    return rows.select("eid", "s", "e", text.alias("excerpt"))
+    """(eid, s, e, excerpt): the lines of a span and some around it, numbered, the span between « and ».
+
+    A text meets all its spans in one row and is cut into lines once; what a span costs is its own excerpt.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, lists = (batch.column(c) for c in ("eid", "code", "r"))
+            for i in range(batch.num_rows):
+                eid, parts, own = ids[i].as_py(), texts[i].as_py().split("\n"), lists[i].values
+                starts = [0, *accumulate(len(x) + 1 for x in parts)][:-1]
+                places, out, held = list(zip(own.field("s").to_pylist(), own.field("e").to_pylist(), strict=True)), [], 0
+                for s, e in places:
+                    out.append((s, e, one(parts, starts, s, e)))
+                    held += len(out[-1][2]) + 50
+                    if held >= EXCERPTS:
+                        yield rows(eid, out)
+                        out, held = [], 0
+                if out:
+                    yield rows(eid, out)
+
+    def one(parts: list[str], starts: list[int], s: int, e: int) -> str:
+        first, last = bisect_right(starts, s) - 1, bisect_right(starts, e) - 1
+        shown = []
+        for k in range(max(0, first - around), min(len(parts), last + around + 1)):
+            line, at, to = parts[k], s - starts[k], e - starts[k]
+            if k == last:
+                line = f"{line[:to]}»{line[to:]}"
+            if k == first:
+                line = f"{line[:at]}«{line[at:]}"
+            shown.append(f"{k + 1:>5} | {line}")
+        return "\n".join(shown)
+
+    def rows(eid: int, out: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        s, e, text = zip(*out, strict=True)
+        arrays = [pa.array([eid] * len(out), pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(text, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, ["eid", "s", "e", "excerpt"])
+
+    listed = spans.groupBy("eid").agg(F.collect_list(F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))).alias("r"))
+    texts = ex.where("code is not null").select(F.col("eid").cast("long").alias("eid"), "code")
+    return texts.join(listed, "eid").mapInArrow(run, "eid long, s long, e long, excerpt string")

@@ -111,3 +111,15 @@ def test_highest_score_of_each_run(spark):
     got = run_max(spark.createDataFrame(rows, "eid long, tok int, y int, prob double, side boolean"), "prob", ["side"])
     want = [(*k, max(r[3] for r in own), k[0] == 1) for k, own in ((k, list(own)) for k, own in groupby(rows, key=lambda r: (r[0], r[2])))]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_excerpts_of_a_text_that_holds_the_marks_itself(spark):
+    from lumenspan.operators.lines import excerpts
+
+    text = "zero «q»\none\ntwo word here\nthree\nfour"
+    at = text.index("word")
+    got = excerpts(spark.createDataFrame([(1, text), (2, None)], "eid long, code string"), spark.createDataFrame([(1, at, at + 4), (1, at, at + 12), (2, 0, 1)], "eid long, s long, e long"), 1)
+    assert {(r["s"], r["e"]): r["excerpt"] for r in got.collect()} == {
+        (at, at + 4): "    2 | one\n    3 | two «word» here\n    4 | three",
+        (at, at + 12): "    2 | one\n    3 | two «word here\n    4 | th»ree\n    5 | four",
+    }
