@@ -150,3 +150,20 @@ def test_vectors_in_the_task_equal_those_from_rows(spark, monkeypatch):
     assert {r["gram"]: r["df"] for r in words.collect()}.keys() >= {"alpha", "x", "delta"}
     plan = ngrams.text_vectors(docs, ngrams.word_pieces, words, 60)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_matcher_finds_the_blocks_of_the_standard_one():
+    import difflib
+
+    from lumenspan.operators.diffs import Matcher
+
+    rng = random.Random(8)
+    for alphabet, size in (("ab", 400), ("abcdefgh é\U0001f600", 1500), ("a", 300)):
+        for _ in range(4):
+            a = "".join(rng.choice(alphabet) for _ in range(size))
+            b = a[: size // 3] + "".join(rng.choice(alphabet) for _ in range(size // 2)) + a[size // 2 :]
+            for x, y in ((a, b), (b, a), (a, "".join(rng.choice(alphabet) for _ in range(size)))):
+                got = Matcher(x, y)
+                assert got.ranks and got.get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+    for x, y in (("", ""), ("", "a" * 30_000), ("a" * 200, "b" * 200)):
+        assert Matcher(x, y).get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
