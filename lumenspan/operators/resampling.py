@@ -19,6 +19,8 @@ from lumenspan.functions.scalars import POISSON_1
 from lumenspan.store import staged
 
 CHUNK = 1024
+#: Rows times draws in a range.
+RANGE = 20_000_000
 PARTS = "top double, draw int, pos double, neg double, wins double"
 
 
@@ -30,11 +32,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LEADING = 12
+_BOUNDS = np.array(POISSON_1)
+_LOW = np.searchsorted(_BOUNDS, np.arange(1 << LEADING) / (1 << LEADING), side="right").astype(np.float64)
+_SPLIT = np.searchsorted(_BOUNDS, (np.arange(1 << LEADING) + 1) / (1 << LEADING), side="right") != _LOW
+
+
 def draw_weights(units: np.ndarray, draws: int, seed: int) -> np.ndarray:
     """(units, draws) Poisson(1) weights."""
     salt = mixed(np.arange(draws, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
-    u = mixed(units[:, None] ^ salt[None, :]) >> np.uint64(11)
-    return np.searchsorted(np.array(POISSON_1), u / float(1 << 53), side="right").astype(np.float64)
+    u = mixed(units[:, None] ^ salt[None, :])
+    # Nearly all weights follow from the leading bits; where a bound lies between, the whole number is looked up.
+    top = (u >> np.uint64(64 - LEADING)).astype(np.intp)
+    weights = _LOW[top]
+    split = np.nonzero(_SPLIT[top])
+    weights[split] = np.searchsorted(_BOUNDS, (u[split] >> np.uint64(11)) / float(1 << 53), side="right")
+    return weights
 
 
 def _curve(rows: DataFrame, draws: int, positives: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -67,7 +80,10 @@ def _curve(rows: DataFrame, draws: int, positives: Callable[[pa.RecordBatch], tu
         arrays = [np.full(draws, top), np.arange(draws, dtype=np.int32), pos + held[1], neg + held[2], wins]
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["top", "draw", "pos", "neg", "wins"])
 
-    ordered = rows.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score"))
+    # A range's work is its rows times the draws, whatever few bytes the rows are; with a number ranges are not put together.
+    rows = staged(rows, "resampled")
+    ranges = max(1, -(-rows.count() * draws // RANGE))
+    ordered = rows.repartitionByRange(ranges, F.desc("score")).sortWithinPartitions(F.desc("score"))
     # A row per range and draw.
     parts = ordered.mapInArrow(run, PARTS)
     above = Window.partitionBy("draw").orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)

@@ -167,3 +167,29 @@ def test_matcher_finds_the_blocks_of_the_standard_one():
                 assert got.ranks and got.get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
     for x, y in (("", ""), ("", "a" * 30_000), ("a" * 200, "b" * 200)):
         assert Matcher(x, y).get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
+def test_weights_of_draws_by_their_leading_bits():
+    import numpy as np
+
+    from lumenspan.functions.scalars import POISSON_1
+    from lumenspan.operators.resampling import draw_weights, mixed
+
+    units = np.arange(3000, dtype=np.uint64)
+    salt = mixed(np.arange(200, dtype=np.uint64) + np.uint64(7) * np.uint64(1_000_003))
+    u = mixed(units[:, None] ^ salt[None, :]) >> np.uint64(11)
+    assert (draw_weights(units, 200, 7) == np.searchsorted(np.array(POISSON_1), u / float(1 << 53), side="right")).all()
+
+
+def test_resampling_is_dealt_by_its_work(spark, monkeypatch):
+    from lumenspan.operators import resampling
+
+    rng = random.Random(3)
+    rows = [(i % 40, float(rng.randrange(60)), rng.randrange(2)) for i in range(900)]
+    df = spark.createDataFrame(rows, "eid long, score double, y int")
+    want = sorted(map(tuple, resampling.resampled_auc(df, ["eid"], "score", "y", 20, 7).collect()))
+    monkeypatch.setattr(resampling, "RANGE", 2000)
+    got = resampling.resampled_auc(df, ["eid"], "score", "y", 20, 7)
+    assert re.search(r"rangepartitioning\(score#\d+ DESC NULLS LAST, [2-9]\)", got._jdf.queryExecution().executedPlan().toString())
+    for a, b in zip(sorted(map(tuple, got.collect())), want, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1])
