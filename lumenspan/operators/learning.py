@@ -6,8 +6,10 @@ Fits are sums over all rows in every step; what reaches the driver is a vector o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,11 +112,25 @@ def span_max_step(tok: DataFrame, w: np.ndarray, b: float, omega: float, pos_wei
 
     The loss is the weighted token loss, (1 - omega) of it, and omega of each example's loss at its highest token.
     """
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch gives one row for each example it has tokens of, so that the tokens themselves are not put in order.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            eid, y = batch.column("eid").to_numpy(), batch.column("y").to_numpy()
+            s = np.asarray(batch.column("x").flatten()).reshape(len(eid), -1) @ w + b
+            order = np.lexsort((-s, eid))
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(eid[order]) != 0]))
+            first = order[starts]
+            arrays = [pa.array(eid[first]), batch.column("x").take(pa.array(first)), pa.array(s[first]), pa.array(np.maximum.reduceat(y[order], starts).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["eid", "x", "z", "y"])
+
     z = dot(F.col("x"), F.array(*map(F.lit, w.tolist()))) + float(b)
     t = tok.withColumn("z", z)
     weight = F.when(F.col("y") == 1, float(pos_weight)).otherwise(1.0)
-    top = F.max_by(F.struct("x", "y", "z"), "z")
-    ex = t.groupBy("eid").agg(top.alias("t"), F.max("y").alias("ey")).select("t.x", "t.z", F.col("ey").alias("y"), F.lit(1.0).alias("w"), F.lit("e").alias("k"))
+    tops = tok.select(F.col("eid").cast("long").alias("eid"), "x", F.col("y").cast("int").alias("y")).mapInArrow(highest, "eid long, x array<double>, z double, y int")
+    ex = tops.groupBy("eid").agg(F.max_by(F.struct("x", "z"), "z").alias("t"), F.max("y").alias("ey")).select("t.x", "t.z", F.col("ey").alias("y"), F.lit(1.0).alias("w"), F.lit("e").alias("k"))
     rows = t.select("x", "z", "y", weight.alias("w"), F.lit("t").alias("k")).unionByName(ex)
     rows = rows.withColumn("r", F.col("w") * (sigmoid(F.col("z")) - F.col("y")))
     loss = F.col("w") * (F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z"))))

@@ -193,3 +193,23 @@ def test_resampling_is_dealt_by_its_work(spark, monkeypatch):
     assert re.search(r"rangepartitioning\(score#\d+ DESC NULLS LAST, [2-9]\)", got._jdf.queryExecution().executedPlan().toString())
     for a, b in zip(sorted(map(tuple, got.collect())), want, strict=True):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1])
+
+
+def test_span_max_steps_give_a_row_for_each_example_of_a_batch(spark):
+    import numpy as np
+
+    from lumenspan.operators.learning import span_max_step
+
+    rng = np.random.default_rng(1)
+    x, eid, y = rng.standard_normal((300, 3)), rng.integers(0, 9, 300), rng.integers(0, 2, 300)
+    df = spark.createDataFrame([(int(e), r.tolist(), int(t)) for e, r, t in zip(eid, x, y, strict=True)], "eid long, x array<double>, y int").repartition(4)
+    w, b = np.array([0.3, -0.2, 0.5]), 0.1
+    grad, gb, loss = span_max_step(df, w, b, 0.4, 3.0)
+    z = x @ w + b
+    tops = [max(np.flatnonzero(eid == e), key=lambda i: z[i]) for e in range(9)]
+    target = np.concatenate([y, [y[eid == e].max() for e in range(9)]])
+    part = np.concatenate([0.6 * np.where(y == 1, 3.0, 1.0) / np.where(y == 1, 3.0, 1.0).sum(), np.full(9, 0.4 / 9)])
+    zz, xx = np.concatenate([z, z[tops]]), np.concatenate([x, x[tops]])
+    r = part * (1 / (1 + np.exp(-zz)) - target)
+    assert np.allclose(grad, r @ xx) and gb == pytest.approx(r.sum())
+    assert loss == pytest.approx((part * (np.maximum(zz, 0) - zz * target + np.log1p(np.exp(-np.abs(zz))))).sum())
