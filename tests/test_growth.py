@@ -213,3 +213,17 @@ def test_span_max_steps_give_a_row_for_each_example_of_a_batch(spark):
     r = part * (1 / (1 + np.exp(-zz)) - target)
     assert np.allclose(grad, r @ xx) and gb == pytest.approx(r.sum())
     assert loss == pytest.approx((part * (np.maximum(zz, 0) - zz * target + np.log1p(np.exp(-np.abs(zz))))).sum())
+
+
+def test_equal_rows_are_fitted_as_one_with_their_number(spark):
+    import numpy as np
+
+    from lumenspan.operators import fitting
+
+    rng = random.Random(6)
+    rows = [([float(rng.randrange(3)), float(rng.randrange(2))], rng.randrange(2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x array<double>, y int")
+    one = df.groupBy("x", "y").agg(F.count("*").alias("n"))
+    assert one.count() <= 12
+    a, b = (fitting.fit_many(d, [fitting.Setting(0, 2)], lambda batch: batch.column("y").to_numpy().astype(float)[:, None])[0] for d in (df, one))
+    assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1])
