@@ -190,20 +190,25 @@ def near_links(docs: DataFrame, drawn: DataFrame, k: int, percent: int, scratch:
     return _with_stars(components, last)
 
 
+def _of_class(keys: str, c: int) -> Column:
+    # A function of one argument: Spark gives a second one the element's place.
+    return F.filter(keys, lambda x: F.pmod(x, F.lit(CLASSES)) == c)
+
+
 def _pairs_of_two_keys(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): members of different components that may be similar and share two open keys of a class; tiny sets share one.
 
     A pair that is similar and still apart has none of its keys among the groups that are done, so all it shares is open.
-    Keys fall into ``CLASSES`` by their last bits, which keeps a member's combinations few.  In each class a pair is made
+    Keys fall into ``CLASSES`` by bits of their own, which keeps a member's combinations few.  In each class a pair is made
     at the first two keys it shares; ``own`` are a member's first few of the class.
     """
     by_id = rows.groupBy("id").agg(
         F.first("n").alias("n"), F.first("component").alias("component"), F.first("parity").alias("parity"), F.collect_set("key").alias("keys")
     )
-    # Half a key each; two of them make a whole one again.
-    half = F.array_sort(F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    # Half a key each, the one that all of its bits have a part in; two of them make a whole one again.
+    half = F.array_sort(F.transform("keys", lambda x: F.shiftrightunsigned(x, 33).cast("int")))
     by_class = by_id.withColumn("half", half).select(
-        "id", "n", "component", "parity", F.explode(F.array(*[F.filter("half", lambda x, c=c: F.pmod(x, F.lit(CLASSES)) == c) for c in range(CLASSES)])).alias("all")
+        "id", "n", "component", "parity", F.explode(F.array(*[_of_class("half", c) for c in range(CLASSES)])).alias("all")
     )
     later = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.xxhash64(x, y))))
     names = ("id", "n", "component", "parity", "own")

@@ -182,6 +182,25 @@ def test_near_duplicates(spark):
     assert got == expected and len({r[2] for r in expected}) < len(texts) - 60
 
 
+def test_near_copies_that_only_their_source_links(spark):
+    from lumenspan.llm.minhash_dedup import near_duplicates
+
+    # Copies are similar to their source and not to each other; the source is the hub of few groups.
+    rng = random.Random(9)
+    texts = []
+    for size, edits, copies in ((300, 7, 90), (60, 1, 40)):
+        source = [f"s{size}w{rng.randrange(5000)}" for _ in range(size)]
+        texts.append(" ".join(source))
+        for _ in range(copies):
+            copy = list(source)
+            for at in rng.sample(range(2, size - 2), edits):
+                copy[at] = f"u{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rows = [(i, t, 1, "x", "y") for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect())
+    assert got == brute_near(texts) and len({r[2] for r in got}) == 2
+
+
 def test_near_duplicates_of_odd_tables(spark):
     from lumenspan.llm.minhash_dedup import near_duplicates
 
