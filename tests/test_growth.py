@@ -169,6 +169,32 @@ def test_matcher_finds_the_blocks_of_the_standard_one():
         assert Matcher(x, y).get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
 
 
+def test_long_texts_are_compared_by_characters(spark):
+    import difflib
+
+    from lumenspan.operators.diffs import Matcher, blamed_lines, diff_spans
+
+    rng = random.Random(12)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(6)) for _ in range(400)]
+    long = "\n".join(lines)
+    after = long[:3000] + "X" + long[3001:9000] + long[9004:]
+    many = "".join(f"{i}\n" for i in range(5000))
+    rows = [(1, long, after), (2, many, many.replace("\n2500\n", "\n25_00\n")), (3, many, many.replace("\n2500\n", "\n2_0\n")), (4, None, "x" * 7000)]
+    pairs = spark.createDataFrame(rows, "eid long, before string, after string")
+    got = {r["eid"]: ([(x["s"], x["e"]) for x in r["spans"]], r["how"]) for r in diff_spans(pairs, "eid").collect()}
+    at = many.index("\n2500\n") + 1
+    assert got == {1: ([(3000, 3001), (9000, 9004)], "chars"), 2: ([], "chars"), 3: ([(at + 1, at + 3)], "chars"), 4: ([], "chars")}
+    lines = {(r["eid"], r["s"], r["e"], r["how"]) for r in blamed_lines(pairs.where("eid in (2, 3)")).collect()}
+    assert lines == {(2, at, at + 5, "inserted"), (3, at, at + 5, "deleted")}
+    # Unlike and near texts, with pieces longer than are taken length by length.
+    near = list(long[:2500])
+    for _ in range(12):
+        k = rng.randrange(len(near))
+        near[k : k + rng.randrange(60)] = rng.choice(["", "zz", long[:70]])
+    for x, y in ((long[:2500], "".join(near)), ("".join(near), long[:2500]), (long[:1500], long[4000:6000]), ("x\n" * 401, "y\n" * 500), ("ab" * 400, "ac" * 500)):
+        assert Matcher(x, y).get_opcodes() == difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
 def test_weights_of_draws_by_their_leading_bits():
     import numpy as np
 
